@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, ogg, secrets
+from ledgerline.llm import bpe, mixing, ogg, quality, secrets
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as Ogg, read back and described."""
     return ogg.digests(table(spark, sf_dir, "documents"))
@@ -28,10 +33,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality, toxicity and the decision for every document."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
     "op5_ogg_media": op5_ogg_media,
     "op6_secret_scan": op6_secret_scan,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
