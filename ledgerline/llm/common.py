@@ -80,7 +80,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words (WORD) of each text: code of every word, the distinct words, and the n+1 offsets of the rows."""
-    flat, offsets = text_bytes(texts)
+    return split_bytes(*text_bytes(texts))
+
+
+def split_bytes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """split_words of texts given as bytes and offsets."""
     space = (flat == 32) | ((flat >= 9) & (flat <= 13))
     inside = ~space
     edge = np.empty(len(flat), bool)

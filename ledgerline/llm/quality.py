@@ -378,7 +378,7 @@ def _patterns_of_sample(sample: pa.Table, distinct: np.ndarray, terms: np.ndarra
     return quality, np.where(hits > 0, BAD, GOOD) + 3 * np.where(known >= 2, BAD, np.where(known == 0, GOOD, NONE))
 
 
-def classify(docs: DataFrame, model: Model, column: str = "text", quality: float = 0.5, toxic: float = 0.25) -> DataFrame:
+def classify(docs: DataFrame, model: Model, column: str = "text", quality: float = 0.5, toxic: float = 0.35) -> DataFrame:
     """All columns, and quality_score, toxic_score, keep (good enough and not toxic)."""
     kept = [f for f in docs.schema.fields if f.name not in {"quality_score", "toxic_score", "keep"}]
     schema = T.StructType([*kept, T.StructField("quality_score", T.DoubleType()), T.StructField("toxic_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])

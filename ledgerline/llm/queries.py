@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, mixing, ogg, quality, secrets
+from ledgerline.llm import bpe, mixing, ogg, ppm, quality, secrets
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of all documents under the trie and under the base."""
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as Ogg, read back and described."""
     return ogg.digests(table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_ppm_score": op3_ppm_score,
     "op5_ogg_media": op5_ogg_media,
     "op6_secret_scan": op6_secret_scan,
     "op7_byte_bpe": op7_byte_bpe,
