@@ -161,7 +161,7 @@ def gather(docs: DataFrame, held_out: Callable[[object], bool], order: int = ORD
 def _lower(c: Column, t: Column, d: Column, r: Column, x: Column, e: Column) -> Column:
     """Log-probability at a level with count c, total t, distinct symbols d and the levels below r, when symbols of mass x, e of them, are excluded."""
     total, left = t - x, d - e
-    return F.when(total <= 0, r).when(c > 0, F.log10(c / (total + left))).otherwise(F.log10(left / (total + left)) + r)
+    return F.when(total <= 0, r).when(c > 0, F.log10((c - 0.5) / total)).otherwise(F.log10(left / 2 / total) + r)
 
 
 def train(counts: DataFrame, order: int = ORDER) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, mixing, ogg, ppm, quality, secrets
+from ledgerline.llm import bpe, hamming, mixing, ogg, ppm, quality, secrets, urls
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,11 @@ def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as Ogg, read back and described."""
     return ogg.digests(table(spark, sf_dir, "documents"))
@@ -43,13 +48,20 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every twentieth row, by the signs of the embeddings."""
+    return hamming.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_ppm_score": op3_ppm_score,
+    "op4_url_filter": op4_url_filter,
     "op5_ogg_media": op5_ogg_media,
     "op6_secret_scan": op6_secret_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLES: dict[str, str] = {}
