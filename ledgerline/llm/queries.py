@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, hamming, mixing, ogg, ppm, quality, secrets, urls
+from ledgerline.llm import bpe, hamming, mixing, ogg, ppm, quality, secrets, suffixes, urls
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without strings of 100 bytes that start earlier."""
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every twentieth row, by the signs of the embeddings."""
     return hamming.nearest(table(spark, sf_dir, "embeddings"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_topk": op10_exact_topk,
 }
 
