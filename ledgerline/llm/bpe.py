@@ -261,6 +261,20 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text", offsets
     return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(_encoded(path, pattern, column, make), schema)
 
 
+def encode_checked(df: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
+    """All columns but the text, and ids array<int>, n_tokens, round_trips (decoding the ids gives the text's bytes), in one pass."""
+    kept = [f for f in df.schema.fields if f.name not in {column, "ids", "n_tokens", "round_trips"}]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trips", T.BooleanType())])
+
+    def make(part: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray, code: Codec) -> pa.RecordBatch:
+        texts = part.column(column).cast(pa.binary()).to_pylist()
+        same = [code.decode(ids[a:b].tolist()) == (t or b"") for t, a, b in zip(texts, rows, rows[1:])]
+        listed = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))
+        return pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), listed, pa.array(np.diff(rows)), pa.array(same)], schema.fieldNames())
+
+    return df.select(*[f"`{f.name}`" for f in kept], f"`{column}`").mapInArrow(_encoded(path, pattern, column, make), schema)
+
+
 def decode(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
     """All columns, and ``decoded`` binary and ``decoded_text`` string (a character that the ids split is U+FFFD)."""
     kept = [f for f in df.schema.fields if f.name not in {"decoded", "decoded_text"}]

@@ -75,7 +75,7 @@ class Words:
     ends: np.ndarray  # whether the word ends a sentence
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Words:
+    def of(cls, texts: pa.Array, trim: np.ndarray = _TRIM) -> Words:
         code, distinct, rows = split_words(texts)
         n = len(distinct)
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + n + 1] if n else np.zeros(1, np.int64)
@@ -90,7 +90,7 @@ class Words:
         ends = np.isin(flat[offsets[1:] - 1], [*b".!?"])
         # letters only, lower-cased: bytes up to the last that isn't trimmed
         within = np.arange(len(flat)) - np.repeat(start, length)
-        kept = np.where(_TRIM[flat], 0, within + 1)
+        kept = np.where(trim[flat], 0, within + 1)
         size = np.maximum.reduceat(kept, start)
         low = np.where(within < np.repeat(size, length), _LOWER[flat], 0).astype(np.uint64)
         powers = _powers(int(length.max()) + 1)

@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, hamming, mixing, ogg, ppm, quality, secrets, suffixes, urls
+from ledgerline.llm import bpe, hamming, mixing, ogg, ppm, quality, secrets, simhash, suffixes, urls
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and its number of links."""
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source."""
     return mixing.report(table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_ppm_score": op3_ppm_score,
     "op4_url_filter": op4_url_filter,
