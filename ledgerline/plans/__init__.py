@@ -1 +1 @@
-
+"""Contracts and the registered queries."""
