@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import report
+from ledgerline.plans.contract import Field, Table
 from ledgerline.plans.queries_checks import VALIDATE_SQL, validate_contract
 from ledgerline.plans.queries_evolve import _DIFF_SQL, diff_contracts
 from ledgerline.plans.registry import query, read
+from ledgerline.streaming import enforce
 
 _R = f"({VALIDATE_SQL})"
 
@@ -78,6 +80,11 @@ def latest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two newest of dated snapshots (a top-k report)."""
     d = read(spark, sf_dir, "orders").select(F.concat(F.lit("s"), F.date_format("o_orderdate", "yyyyMMdd")).alias("snapshot")).distinct()
     top = d.orderBy(F.col("snapshot").desc()).limit(2)
-    from pyspark.sql import Window
-
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("snapshot").desc())))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*)::BIGINT AS \"rows\", count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup') OR value < 0 OR value > 100)::BIGINT AS violations FROM events GROUP BY 1")
+def stream_violation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations by day, as the streaming extension counts them, over the table."""
+    table = Table("events", (Field("event_type", enum=("view", "click", "purchase", "signup")), Field("value", "number", minimum=0, maximum=100)))
+    return enforce.violation_windows(read(spark, sf_dir, "events"), table, "ts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "rows", "violations")
