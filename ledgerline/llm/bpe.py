@@ -27,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import slices
+from ledgerline.llm.common import release, slices
 
-#: Distinct pieces remembered by one worker; when full, the memory starts anew. It bounds memory, not results.
+#: Distinct pieces remembered by a task; when full, the memory starts anew. It bounds memory, not results.
 REMEMBER = 400_000
 
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]"
@@ -156,7 +156,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 class _Memory:
-    """Ids of pieces seen by this worker, flat: piece k has ids[start[k]:start[k] + length[k]]."""
+    """Ids of pieces seen by a task, flat: piece k has ids[start[k]:start[k] + length[k]]."""
 
     def __init__(self) -> None:
         self.clear()
@@ -187,12 +187,6 @@ def _grown(array: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-@lru_cache(2)
-def _memory(path: str, pattern: str) -> _Memory:
-    """One memory per worker process."""
-    return _Memory()
-
-
 def encode_texts(texts: pa.Array, code: Codec, memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of texts and the n+1 offsets of its rows."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -236,11 +230,13 @@ def _encoded(path: str, pattern: str, column: str, make):
     """A mapInArrow function; ``make`` turns (batch, ids, rows, codec) to a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, memory = codec(path, pattern), _memory(path, pattern)
+        code, memory = codec(path, pattern), _Memory()
         for batch in batches:
             for part in slices(batch, column):
                 ids, rows = encode_texts(part.column(column), code, memory)
                 yield make(part, ids, rows, code)
+        del memory
+        release()
 
     return run
 

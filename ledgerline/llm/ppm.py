@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, slices, split_bytes, text_bytes
+from ledgerline.llm.common import cut, release, slices, split_bytes, text_bytes
 
 ORDER = 5
 #: Entries of each broadcast table, at most; 12 bytes each, 24 with a hash table's room.
@@ -153,6 +153,8 @@ def gather(docs: DataFrame, held_out: Callable[[object], bool], order: int = ORD
             for a in range(0, len(keys), 100_000):
                 own = keys[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own)), pa.array(own), pa.array(n[a : a + 100_000, 0]), pa.array(n[a : a + 100_000, 1])], ["kind", "key", "train", "other"])
+        found.clear()
+        release()
 
     parts = docs.mapInArrow(run, "kind string, key long, train long, other long")
     return parts.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("other").alias("other"))
