@@ -13,7 +13,7 @@ equals, by the next) and compares neighbours:
 
 A leading token on a splitter lies in two buckets: its runs all go on, which decides the same and needs no comparison
 across the boundary; equal keys are always in one bucket. A task first merges its own equal runs, so that a passage that
-a third of all documents share sends a row a task, and not one a document. Fingerprints have 128 bits together.
+a third of all documents share sends a row a task, and not one a document. Fingerprints have 112 bits together (64 and 48).
 
 Defined results: a null text is empty; a text shorter than ``LENGTH`` bytes has no window; matches never cross rows; rows of
 one id are one document, which repeats nothing of itself at the same start (its rows must have one text); a null id
@@ -23,6 +23,8 @@ comes before all others; an empty table gives an empty table; other columns don'
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import partitions_for, ragged, slices, text_bytes
+from ledgerline.llm.common import partitions_for, ragged, release, slices, text_bytes
 
 LENGTH = 100
 #: Bytes of the leading token, level by level; the last is a whole window.
@@ -42,7 +44,9 @@ REPEATED, OPEN, SELF = 1, 2, 3
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _INT = np.iinfo(np.int64)
-_ROWS = "bucket int, flag byte, g long, c long, doc long, s int, n int"
+_ROWS = "bucket int, packed binary"
+#: Keys that a task merges and packs at a time.
+WAITING = 1_500_000
 _power: dict[int, np.ndarray] = {}
 
 
@@ -103,7 +107,7 @@ def runs(flat: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENGTH)
         again = at_head[stop] > at_head[start]  # a window begins with the leading token and isn't the last
     whole = second.of(start, stop + length)
     own = piece[start]
-    return own, start - offsets[own], stop - start + 1, leading.view(np.int64), whole.view(np.int64), again
+    return own, start - offsets[own], stop - start + 1, leading.view(np.int64), (whole & np.uint64((1 << 48) - 1)).view(np.int64), again
 
 
 def bucket_of(g: np.ndarray, c: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -150,9 +154,34 @@ def _firsts(g: np.ndarray, c: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tup
 
 
 def _mapper(gram: int, length: int, splitters: np.ndarray, first: bool):
-    """Texts (and their open stretches) to rows of _ROWS: what is known to repeat, and keys to compare."""
+    """Texts (and their open stretches) to rows of _ROWS: what is known to repeat, and keys to compare, packed by bucket."""
+
+    def flush(keys: list[tuple[np.ndarray, ...]], known: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        g, c, doc, s, n, again = (np.concatenate(x) for x in zip(*keys)) if keys else (np.zeros(0, np.int64),) * 6
+        if len(g):
+            order, repeated, _ = _firsts(g, c, doc, s)
+            g, c, doc, s, n, again = (x[order] for x in (g, c, doc, s, n, again))
+            known.append((doc[repeated], s[repeated], n[repeated]))
+            g, c, doc, s, n, again = (x[~repeated] for x in (g, c, doc, s, n, again))
+        rows = []
+        bucket = bucket_of(g, c, splitters)
+        order = np.lexsort((s, doc, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(len(splitters) + 2))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[b] : cuts[b + 1]]
+            rows.append((b, _pack(doc[own], s[own], n[own], np.where(again[own], SELF, OPEN), g[own], c[own])))
+        doc, s, n = _joined(*(np.concatenate(x) for x in zip(*known))) if known else (np.zeros(0, np.int64),) * 3
+        spread = doc.view(np.uint64) % np.uint64(len(splitters) + 1)
+        for b in np.unique(spread).tolist():
+            own = spread == b
+            rows.append((b, _pack(doc[own], s[own], n[own])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[tuple[np.ndarray, ...]] = []
+        known: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 ids = part.column(0).to_numpy(zero_copy_only=False)
@@ -164,28 +193,57 @@ def _mapper(gram: int, length: int, splitters: np.ndarray, first: bool):
                     row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
                     each = lists.flatten()
                     flag, s, n = (np.asarray(each.field(i)).astype(np.int64) for i in range(3))
-                    known = flag == REPEATED
-                    yield _rows(np.zeros(known.sum(), np.int32), np.full(known.sum(), REPEATED, np.int8), np.zeros(known.sum(), np.int64), np.zeros(known.sum(), np.int64), ids[row[known]], s[known], n[known])
-                    piece_row, base = row[~known], s[~known]
-                    flat, offsets = ragged(flat, offsets[piece_row] + base, n[~known] + length - 1)
+                    old = flag == REPEATED
+                    known.append((ids[row[old]], s[old], n[old]))
+                    piece_row, base = row[~old], s[~old]
+                    flat, offsets = ragged(flat, offsets[piece_row] + base, n[~old] + length - 1)
+                    waiting += int(old.sum())
                 piece, s, n, g, c, again = runs(flat, offsets, gram, length)
-                if not len(piece):
-                    continue
-                doc, s = ids[piece_row[piece]], s + base[piece]
-                order, repeated, _ = _firsts(g, c, doc, s)
-                flag = np.where(again[order], SELF, OPEN)
-                flag[repeated] = REPEATED
-                g, c, doc, s, n = g[order], c[order], doc[order], s[order], n[order]
-                keep = ~repeated
-                yield _rows(bucket_of(g[keep], c[keep], splitters), flag[keep], g[keep], c[keep], doc[keep], s[keep], n[keep])
-                doc, s, n = _joined(doc[repeated], s[repeated], n[repeated])
-                zero = np.zeros(len(doc), np.int64)
-                spread = (doc.view(np.uint64) % np.uint64(max(1, len(splitters) + 1))).astype(np.int32)
-                yield _rows(spread, np.full(len(doc), REPEATED), zero, zero, doc, s, n)
+                keys.append((g, c, ids[piece_row[piece]], s + base[piece], n, again))
+                waiting += len(g)
+                if waiting > WAITING:
+                    yield from flush(keys, known)
+                    keys, known, waiting = [], [], 0
+        yield from flush(keys, known)
+        del keys, known
+        release()
 
     return run
 
 
+def _pack(doc: np.ndarray, s: np.ndarray, n: np.ndarray, flag: np.ndarray | None = None, g: np.ndarray | None = None, c: np.ndarray | None = None) -> bytes:
+    """Rows in order of doc and s; places are compressed, fingerprints aren't."""
+    steps = np.diff(doc, prepend=0)
+    place = np.diff(s, prepend=0)
+    place[steps != 0] = s[steps != 0]
+    columns = [steps.astype(np.int64), place.astype(np.int32), n.astype(np.int32), (np.full(len(doc), REPEATED) if flag is None else flag).astype(np.int8)]
+    # bytes of equal significance stand together
+    small = zlib.compress(b"".join(x.view(np.uint8).reshape(len(doc), -1).T.tobytes() for x in columns), 1)
+    keys = b"" if g is None else g.tobytes() + c.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return struct.pack("<qq", len(doc), len(small)) + small + keys
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
+    """flag, g, c, doc, s, n; g and c are 0 where none were packed."""
+    rows, size = struct.unpack_from("<qq", packed)
+    small = np.frombuffer(zlib.decompress(packed[16 : 16 + size]), np.uint8)
+    out, at = [], 0
+    for kind, width in ((np.int64, 8), (np.int32, 4), (np.int32, 4), (np.int8, 1)):
+        out.append(np.ascontiguousarray(small[at : at + rows * width].reshape(width, rows).T).view(kind)[:, 0].astype(np.int64))
+        at += rows * width
+    steps, place, n, flag = out
+    doc = np.cumsum(steps)
+    head = np.flatnonzero((steps != 0) | (np.arange(rows) == 0))
+    total = np.cumsum(place)
+    s = total - np.repeat(total[head] - place[head], np.diff(np.append(head, rows)))
+    keys = packed[16 + size :]
+    if not keys:
+        return flag, np.zeros(rows, np.int64), np.zeros(rows, np.int64), doc, s, n
+    c = np.zeros((rows, 8), np.uint8)
+    c[:, :6] = np.frombuffer(keys, np.uint8, offset=8 * rows).reshape(rows, 6)
+    return flag, np.frombuffer(keys, np.int64, rows), c.view(np.int64)[:, 0], doc, s, n
+
+
 def _joined(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Join stretches that touch."""
     if not len(doc):
@@ -198,21 +256,15 @@ def _joined(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return doc[at], s[at], stop - s[at]
 
 
-def _rows(bucket: np.ndarray, flag: np.ndarray, g: np.ndarray, c: np.ndarray, doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t.to_pandas_dtype(), copy=False), t) for x, t in zip((bucket, flag, g, c, doc, s, n), kinds)], ["bucket", "flag", "g", "c", "doc", "s", "n"])
-
-
 def _bucket(last: bool, splitters: np.ndarray):
     """Sort a bucket's keys and compare neighbours; what is decided or open, without keys."""
     edges = np.unique(splitters[:, 0]) if len(splitters) else np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+        parts = [_unpack(x) for b in batches for x in b.column(1).to_pylist()]
         if not parts:
             return
-        got = pa.Table.from_batches(parts)
-        flag, g, c, doc, s, n = (got.column(i).to_numpy() for i in ("flag", "g", "c", "doc", "s", "n"))
+        flag, g, c, doc, s, n = (np.concatenate(x) for x in zip(*parts))
         done = flag == REPEATED
         out = [(np.full(int(done.sum()), REPEATED), doc[done], s[done], n[done])]
         flag, g, c, doc, s, n = (x[~done] for x in (flag, g, c, doc, s, n))
