@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, hamming, mixing, ogg, ppm, quality, secrets, simhash, suffixes, urls
+from ledgerline.llm import bpe, hamming, mixing, ogg, oracles, ppm, quality, secrets, simhash, suffixes, urls
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,7 +31,8 @@ def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url."""
-    return urls.judge(table(spark, sf_dir, "pages"))
+    judged = urls.judge(table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_topk": op10_exact_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -5,7 +5,7 @@ Shannon entropy of a sliding window by incremental counts, against a threshold f
 with an allow-list that suppresses known harmless forms.
 
 Classes: ``hex`` candidates hold hex digits only (upper or mixed case; lower-case runs that are long enough are the
-base's), ``base64`` candidates hold letters, digits and ``+/_=-``. A candidate must mix letters and digits; a window
+base's), ``base64`` candidates hold letters, digits and ``+/_-``. A candidate must mix letters and digits; a window
 that reaches its class's threshold makes the whole candidate a span of kind ``entropy``. Spans that a base span
 covers wholly aren't repeated.
 
@@ -45,7 +45,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = re.compile(rb"passw(?:or)?d|secret|token|api_?key")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CANDIDATE = np.zeros(256, bool)
-_CANDIDATE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
+_CANDIDATE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 _HEXDIGIT = frozenset("0123456789abcdefABCDEF")
 
 Span = tuple[str, int, int]
@@ -56,7 +56,7 @@ def window_entropy(s: str, window: int = WINDOW) -> float:
     n = min(window, len(s))
     if not n:
         return 0.0
-    term = [0.0, *(c * math.log2(c) for c in range(1, n + 1))]
+    term = [0.0, *(c * math.log2(c) for c in range(1, n + 2))]  # one more is there for a moment
     counts: dict[str, int] = {}
     total = 0.0  # of count * log2(count) over the window's characters
     best = math.inf
