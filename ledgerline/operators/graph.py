@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs as X
 
+#: Names that are broadcast, at most.
+FEW = 10_000
+
 
 def reachable(edges: DataFrame, start: DataFrame, most: int = 16) -> DataFrame:
     """(node, depth): the fewest steps from any start, up to ``most``; a start that a cycle leads back to is included. Edges source, target.
@@ -36,11 +39,13 @@ def direct(subscriptions: DataFrame, source: str) -> DataFrame:
 def lineage_matches(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """Nodes whose label or path holds a name, in either case, once each; nodes node_id, label, path; names name.
 
-    A substring is no equality, so this compares all of the (few) names with every node, names broadcast.
+    A substring is no equality, so this compares all names with every node; up to FEW names are broadcast.
     """
+    names = names.filter("name <> ''").distinct()
+    names = F.broadcast(names) if names.limit(FEW + 1).count() <= FEW else names
     n = F.lower("name")
     hit = F.contains(F.lower(F.coalesce("label", F.lit(""))), n) | F.contains(F.lower(F.coalesce("path", F.lit(""))), n)
-    return nodes.join(F.broadcast(names.filter("name <> ''").distinct()), hit).dropDuplicates(["node_id", "path"]).select("node_id", "label", "path")
+    return nodes.join(names, hit).dropDuplicates(["node_id", "path"]).select("node_id", "label", "path")
 
 
 def blame(commits: DataFrame, now: str, hops: int = 0, most: int = 5) -> DataFrame:

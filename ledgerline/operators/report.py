@@ -46,8 +46,7 @@ def actions(results: DataFrame, changes: DataFrame, most: int = 3) -> DataFrame:
 def remediation(results: DataFrame, templates: DataFrame) -> DataFrame:
     """check_id and step of each failing result, by the template of its check type, else of the longest prefix, else the default; templates pattern, template."""
     bad = results.filter("status in ('FAIL', 'ERROR')").select("check_id", "check_type", "column_name")
-    t = F.broadcast(templates)  # a settings table
-    fit = bad.join(t, (F.col("pattern") == F.col("check_type")) | (F.endswith("pattern", F.lit("*")) & F.startswith("check_type", F.rtrim("pattern", F.lit("*")))))
+    fit = bad.join(templates, (F.col("pattern") == F.col("check_type")) | (F.endswith("pattern", F.lit("*")) & F.startswith("check_type", F.rtrim("pattern", F.lit("*")))))
     best = fit.groupBy("check_id", "column_name").agg(F.max_by("template", F.when(F.col("pattern") == F.col("check_type"), 1000).otherwise(F.length("pattern"))).alias("template"))
     return best.select("check_id", F.replace("template", F.lit("{column}"), F.col("column_name")).alias("step"))
 

@@ -16,7 +16,7 @@ def bag(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     texts = df.select(*by, words.alias("w")).filter(F.size("w") > 0).withColumn("share", 1 / F.size("w"))
     totals = texts.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"))
     sums = texts.select(*by, "share", F.explode("w").alias("token")).groupBy(*by, "token").agg(F.sum("share").alias("s"))
-    joined = sums.join(F.broadcast(totals), list(by)) if by else sums.crossJoin(F.broadcast(totals))  # totals: a row a group
+    joined = sums.join(totals, list(by)) if by else sums.crossJoin(totals)  # without groups, one row
     return joined.select(*by, "token", (F.col("s") / F.col("texts")).alias("weight"))
 
 
