@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import release, slices
+from ledgerline.llm.common import bounded_batches, release, slices
 
 #: Distinct pieces remembered by a task; when full, the memory starts anew. It bounds memory, not results.
 REMEMBER = 400_000
@@ -93,7 +93,7 @@ class Codec:
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece."""
-        out = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = [e.ids for i in range(0, len(pieces), 4096) for e in self.library.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
         if len(self.tied):
             encoded = [p.encode() for p in pieces]
             ends = np.cumsum([len(p) for p in encoded])
@@ -226,8 +226,8 @@ def _picked(texts: pa.Array, mask: np.ndarray) -> Iterator[str | None]:
         yield texts[i].as_py() if m else None
 
 
-def _encoded(path: str, pattern: str, column: str, make):
-    """A mapInArrow function; ``make`` turns (batch, ids, rows, codec) to a batch."""
+def _encoded(df: DataFrame, path: str, pattern: str, column: str, make, schema) -> DataFrame:
+    """Map with Arrow; ``make`` turns (batch, ids, rows, codec) to a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, memory = codec(path, pattern), _Memory()
@@ -238,7 +238,8 @@ def _encoded(path: str, pattern: str, column: str, make):
         del memory
         release()
 
-    return run
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, column: str = "text", offsets: bool = False) -> DataFrame:
@@ -254,7 +255,7 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text", offsets
             listed.append(pa.array([code.starts(ids[a:b].tolist(), t or "") for t, a, b in zip(texts, rows, rows[1:])], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *listed], schema.fieldNames())
 
-    return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(_encoded(path, pattern, column, make), schema)
+    return _encoded(df.select(*[f"`{f.name}`" for f in kept]), path, pattern, column, make, schema)
 
 
 def encode_checked(df: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
@@ -268,7 +269,7 @@ def encode_checked(df: DataFrame, path: str, pattern: str, column: str = "text")
         listed = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))
         return pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), listed, pa.array(np.diff(rows)), pa.array(same)], schema.fieldNames())
 
-    return df.select(*[f"`{f.name}`" for f in kept], f"`{column}`").mapInArrow(_encoded(path, pattern, column, make), schema)
+    return _encoded(df.select(*[f"`{f.name}`" for f in kept], f"`{column}`"), path, pattern, column, make, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
@@ -298,5 +299,5 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id"
         same = [d == (t or b"") for d, t in zip(decoded, part.column(column).cast(pa.binary()).to_pylist())]
         return pa.RecordBatch.from_arrays([part.column(id_column), pa.array(np.diff(rows)), pa.array(listed), pa.array([hashlib.sha256(d).hexdigest() for d in decoded]), pa.array(same)], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trips"])
 
-    out = df.select(f"`{id_column}`", f"`{column}`").mapInArrow(_encoded(path, pattern, column, make), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trips boolean")
+    out = _encoded(df.select(f"`{id_column}`", f"`{column}`"), path, pattern, column, make, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trips boolean")
     return out.withColumnRenamed("id", id_column)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside an Arrow batch; bounds a worker's temporaries.
 SLICE_BYTES = 2 << 20
+#: Bytes in an Arrow batch between Spark and Python.
+BATCH = "16m"
 
 #: A word of the contracts: a run of anything but space, tab, newlines and form feeds.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +69,13 @@ def release() -> None:
         trim(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH of data, where the session has Spark's own default, so that long texts don't fill an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "1").rstrip("b") in ("67108864", "64m"):
+        spark.conf.set(name, BATCH)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` of ``fn`` over slices of bounded size; ``fn`` returns record batches."""
 
@@ -76,6 +85,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
                 yield from fn(part)
         release()
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, release, slices, split_bytes, text_bytes
+from ledgerline.llm.common import bounded_batches, cut, release, slices, split_bytes, text_bytes
 
 ORDER = 5
 #: Entries of each broadcast table, at most; 12 bytes each, 24 with a hash table's room.
@@ -259,6 +259,7 @@ def _most(table: DataFrame, by: str, value: str, held: int) -> tuple[np.ndarray,
 def score(docs: DataFrame, id_column: str = "doc_id", column: str = "text", held_out: Callable[[object], bool] = every_fifth, order: int = ORDER, held_grams: int = HELD_GRAMS, held_words: int = HELD_WORDS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of each document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[id_column].dataType.simpleString()
     own = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{column}`").alias("text"))
     counts = cut(gather(own, held_out, order))

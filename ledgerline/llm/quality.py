@@ -301,8 +301,6 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_
     bucket_row, bucket = _flat(sample.column("buckets"))
     toxic_label = label_votes("toxic", 1)
     distinct, place = np.unique(bucket, return_inverse=True)
-    n_bad = np.bincount(place, weights=toxic_label[bucket_row] == BAD, minlength=len(distinct))
-    n_good = np.bincount(place, weights=toxic_label[bucket_row] == GOOD, minlength=len(distinct))
     # the half of the sample with even places names the terms, so that the other half tells how good they are
     half = bucket_row % 2 == 0
     h_bad = np.bincount(place, weights=half & (toxic_label[bucket_row] == BAD), minlength=len(distinct))
@@ -350,7 +348,6 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_
     to2[chosen] = np.arange(len(chosen))
     keep = to2[col] >= 0 if len(col) else np.zeros(0, bool)
     w, b = fit_linear(row[keep], to2[col[keep]], np.ones(int(keep.sum())), y_t, len(chosen), 0, 1e-4, True)
-    del n_bad, n_good
     return Model(shape_weight, shape_bias, distinct[usable[chosen]], w, b, accuracies)
 
 

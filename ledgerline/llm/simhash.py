@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, partitions_for, release, slices
+from ledgerline.llm.common import bounded_batches, cut, partitions_for, release, slices
 from ledgerline.llm.quality import Words
 
 BITS = 128
@@ -86,6 +86,7 @@ def fingerprint_column(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["id", "a", "b"])
         release()
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, "id long, a long, b long")
 
 

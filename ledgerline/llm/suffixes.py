@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import partitions_for, ragged, release, slices, text_bytes
+from ledgerline.llm.common import bounded_batches, partitions_for, ragged, release, slices, text_bytes
 
 LENGTH = 100
 #: Bytes of the leading token, level by level; the last is a whole window.
@@ -329,6 +329,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", column: str = "text", le
 def _removed(docs: DataFrame, id_column: str, column: str, length: int, levels: tuple[int, ...], digest: bool) -> DataFrame:
     kind = docs.schema[id_column].dataType.simpleString()
     own = docs.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(int(_INT.min))).alias("doc"), F.col(f"`{column}`").alias("text"))
+    bounded_batches(docs.sparkSession)
     found = repeated_stretches(own, length, levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
