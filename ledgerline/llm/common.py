@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside an Arrow batch; bounds a worker's temporaries.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes in an Arrow batch between Spark and Python.
-BATCH = "16m"
+BATCH = "8m"
 
 #: A word of the contracts: a run of anything but space, tab, newlines and form feeds.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,8 @@ def partitions_for(spark: SparkSession) -> int:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges whose ``column`` holds about ``limit`` bytes; a longer text stays whole."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())  # it keeps no freed memory
     n = batch.num_rows
     if not n:
         return

@@ -40,7 +40,7 @@ RECALL = 0.99
 LEAF = 512
 LONG = 4096
 SEED = 77
-SLICE = 2 << 20
+SLICE = 1 << 19
 _TRIM = np.zeros(256, bool)
 _TRIM[[*b".,;:!?\"'()"]] = True
 

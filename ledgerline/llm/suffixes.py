@@ -39,7 +39,7 @@ LENGTH = 100
 GRAMS = (48, 80)
 #: Documents whose keys give the splitters, about.
 SAMPLE = 2000
-SLICE = 2 << 20
+SLICE = 1 << 20
 REPEATED, OPEN, SELF = 1, 2, 3
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
