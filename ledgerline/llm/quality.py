@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import arrow_map, split_words
+from ledgerline.llm.common import arrow_map, release, split_words
 
 #: Rows that train the scorers, at most: those of the lowest hash among the labelled ones.
 TRAIN_ROWS = 6000
@@ -281,7 +281,7 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Row of each element, and the elements."""
     column = column.combine_chunks()
     lengths = np.asarray(pa.compute.list_value_length(column), dtype=np.int64)
-    return np.repeat(np.arange(len(lengths)), lengths), np.asarray(column.flatten())
+    return np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), np.asarray(column.flatten())
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", column: str = "text", train_rows: int = TRAIN_ROWS, lexicon: Iterable[str] = LEXICON) -> Model:
@@ -301,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_
     bucket_row, bucket = _flat(sample.column("buckets"))
     toxic_label = label_votes("toxic", 1)
     distinct, place = np.unique(bucket, return_inverse=True)
+    place = place.astype(np.int32)
     # the half of the sample with even places names the terms, so that the other half tells how good they are
     half = bucket_row % 2 == 0
     h_bad = np.bincount(place, weights=half & (toxic_label[bucket_row] == BAD), minlength=len(distinct))
@@ -348,6 +349,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_
     to2[chosen] = np.arange(len(chosen))
     keep = to2[col] >= 0 if len(col) else np.zeros(0, bool)
     w, b = fit_linear(row[keep], to2[col[keep]], np.ones(int(keep.sum())), y_t, len(chosen), 0, 1e-4, True)
+    del sample, bucket, bucket_row, place, row, col, keep, half
+    release()
     return Model(shape_weight, shape_bias, distinct[usable[chosen]], w, b, accuracies)
 
 
