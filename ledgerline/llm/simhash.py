@@ -7,8 +7,8 @@ neighbouring words (lower-cased, without punctuation at the end). Documents are
 Links are found by filtering. A repetition permutes the coordinates and cuts them to strips; random centres are drawn for each
 strip, and a fingerprint passes a centre's filter when its partial weight (its distance from the centre on the strip) is WEIGHT at most.
 Who passes is filtered again on the next strip, until lists are expected to be small (``leaf``); lists are compared by
-brute force. Repetitions are as many as it takes for a pair at ``design`` bits to meet in a list with probability
-``recall``; the probabilities are computed exactly.
+brute force. Repetitions are as many as it takes for a pair at ``radius`` bits, the hardest link, to meet in a list with
+probability ``recall``; the probabilities are computed exactly.
 
 Documents of one fingerprint are one entry from the start, so that copies are no hot group. A list that is far longer
 than expected (near copies of one text) is cut to pieces at random, anew in every repetition; all pieces
@@ -22,7 +22,7 @@ an empty table; ``kept`` passes all other columns on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, log
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from ledgerline.llm.quality import Words
 
 BITS = 128
 STRIP, WEIGHT = 8, 1
-CENTRES = 28  # about 2^STRIP / (STRIP + 1): a fingerprint passes one filter a strip on average
-RADIUS, DESIGN = 26, 20
+CENTRES = 28  # about 2^STRIP / (STRIP + 1): a fingerprint passes one filter a strip on average, and none with probability 0.37
+RADIUS = 26
 RECALL = 0.99
 LEAF = 512
 LONG = 4096
@@ -103,12 +103,25 @@ def pass_probability(share: float) -> float:
     return both / single
 
 
-def shape(entries: int, leaf: int = LEAF, design: int = DESIGN, recall: float = RECALL) -> tuple[int, int]:
+def meeting(bits: int, strips: int) -> float:
+    """P(two fingerprints that differ in ``bits`` bits share a list of a repetition): on each strip at least one centre passes both."""
+    passes = [sum(1 for z in range(1 << STRIP) if z.bit_count() <= WEIGHT and (z ^ ((1 << x) - 1)).bit_count() <= WEIGHT) / 2**STRIP for x in range(STRIP + 1)]
+    common = [1 - (1 - q) ** CENTRES for q in passes]
+    left = {bits: 1.0}  # differing bits that the strips so far don't hold, by the probability of having met
+    for i in range(strips):
+        rest, after = BITS - i * STRIP, {}
+        for d, p in left.items():
+            for x in range(max(0, d - rest + STRIP), min(STRIP, d) + 1):
+                after[d - x] = after.get(d - x, 0.0) + p * common[x] * comb(d, x) * comb(rest - d, STRIP - x) / comb(rest, STRIP)
+        left = after
+    return sum(left.values())
+
+
+def shape(entries: int, leaf: int = LEAF, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
     """(strips, repetitions) for so many fingerprints."""
     rate = sum(comb(STRIP, x) for x in range(WEIGHT + 1)) / 2**STRIP
     strips = max(1, min(BITS // STRIP, ceil(log(max(2, entries / leaf)) / log(1 / rate))))
-    met = (CENTRES * rate * pass_probability(design / BITS)) ** strips
-    return strips, max(4, ceil(log(1 / (1 - recall)) / met))
+    return strips, max(4, ceil(log(1 - recall) / log1p(-meeting(radius, strips))))
 
 
 def _leaves(strips: int, repetitions: int, seed: int = SEED):
@@ -207,9 +220,9 @@ def _compare(radius: int):
     return run
 
 
-def find_links(entries: DataFrame, n: int, radius: int = RADIUS, design: int = DESIGN, recall: float = RECALL, leaf: int = LEAF, long: int = LONG) -> DataFrame:
+def find_links(entries: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, long: int = LONG) -> DataFrame:
     """Distinct (u, v), v the smaller: links that join entries (a, b, node) to components."""
-    strips, repetitions = shape(n, leaf, design, recall)
+    strips, repetitions = shape(n, leaf, radius, recall)
     parts = partitions_for(entries.sparkSession)
     lists = entries.select("a", "b", "node").mapInArrow(_leaves(strips, repetitions), "leaf long, a long, b long, node long")
     sizes = lists.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "a", "b")).alias("p")).filter(F.col("n") > long)
@@ -237,12 +250,12 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text", radius: int = RADIUS, design: int = DESIGN, recall: float = RECALL) -> DataFrame:
+def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """id, class_id, n_links (to other texts), copies (rows of the same fingerprint), keep (the class's first) of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
     prints = cut(fingerprint_column(docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{column}`").alias("text"))))
     entries = cut(prints.groupBy("a", "b").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.coalesce("low", -F.abs(F.col("a") % (1 << 62)) - 1)))
-    edges = cut(find_links(entries, entries.count(), radius, design, recall))
+    edges = cut(find_links(entries, entries.count(), radius, recall))
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labels = connected(edges).join(degree, "node", "left")
     known = entries.join(labels, "node", "left").select("a", "b", "copies", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

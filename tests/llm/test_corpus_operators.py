@@ -83,6 +83,32 @@ def test_probability_and_repetitions():
     assert simhash.shape(10)[0] == 1 and simhash.shape(10**7)[0] > simhash.shape(10**5)[0]
 
 
+def planted_pairs(spark, n, bits, seed=3):
+    """Random fingerprints 2i and 2i + 1 that differ in so many bits."""
+    rng = np.random.default_rng(seed)
+    f = rng.integers(0, 2, (n, 128), dtype=np.uint8)
+    g = f.copy()
+    for i in range(n):
+        g[i, rng.permutation(128)[:bits]] ^= 1
+    both = np.packbits(np.stack([f, g], 1).reshape(2 * n, 128), axis=1).view(np.int64)
+    return both, spark.createDataFrame([(*map(int, x), i) for i, x in enumerate(both)], "a bigint, b bigint, node bigint")
+
+
+def recall_of(prints, links):
+    """The share of pairs within the radius, by brute force, whose ends share a component of ``links``."""
+    label = {r["node"]: r["label"] for r in simhash.connected(links).collect()}
+    f = prints.view(np.uint64)
+    pairs = [(i, int(j) + i + 1) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f[i + 1 :, 0] ^ f[i, 0]) + np.bitwise_count(f[i + 1 :, 1] ^ f[i, 1]) <= simhash.RADIUS)]
+    return sum(i in label and label[i] == label.get(j) for i, j in pairs) / len(pairs)
+
+
+@pytest.mark.parametrize("strips,leaf", [(1, 512), (2, 20), (3, 1)])
+def test_recall_at_the_radius_by_brute_force(spark, strips, leaf):
+    prints, entries = planted_pairs(spark, 500, simhash.RADIUS)
+    assert simhash.shape(1000, leaf)[0] == strips
+    assert recall_of(prints, simhash.find_links(entries, 1000, leaf=leaf)) > 0.97  # 0.99 less four deviations
+
+
 def test_simhash_odd_inputs(odd, empty):
     got = simhash.classes(odd).collect()
     assert len(got) == odd.count() and all(r["class_id"] == 0 for r in got if r["doc_id"] in (0, 1, 2))
