@@ -11,8 +11,8 @@ brute force. Repetitions are as many as it takes for a pair at ``radius`` bits,
 probability ``recall``; the probabilities are computed exactly.
 
 Documents of one fingerprint are one entry from the start, so that copies are no hot group. A list that is far longer
-than expected (near copies of one text) is cut to pieces at random, anew in every repetition; all pieces
-are compared with the list's smallest entry as well, so that no task gets a whole list. A list sends its components as stars, not as pairs.
+than expected (near copies of one text) is cut to pieces, and each two pieces are compared as a block, so that no task gets
+a whole list and every pair of it is compared. A block sends its components as stars, not as pairs.
 
 Defined results: null and empty texts are one class; rows of one id are one document; a null id takes part under a
 negative class number if nobody else in its class has an id; the class is the smallest id in it; an empty table gives
@@ -21,7 +21,7 @@ an empty table; ``kept`` passes all other columns on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, comb, log, log1p
 
 import numpy as np
@@ -149,91 +149,110 @@ def _leaves(strips: int, repetitions: int, seed: int = SEED):
     return run
 
 
-def components(a: np.ndarray, b: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, smallest node) of the components of entries within ``radius`` bits."""
-    m = len(a)
+def near(a: np.ndarray, b: np.ndarray, half: int, radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, matrix) of who is within ``radius`` bits of whom, each pair once: all pairs, or, where ``half`` is less than all, the first half's with the others."""
     a, b = a.view(np.uint64), b.view(np.uint64)  # bitwise_count takes absolute values
-    left, right = [], []
-    for i in range(0, m, 512):
-        j = slice(i, min(m, i + 512))
-        near = np.bitwise_count(a[j, None] ^ a[None, i:]) + np.bitwise_count(b[j, None] ^ b[None, i:]) <= radius
-        x, y = np.nonzero(near)
-        keep = x < y
-        left.append(x[keep] + i)
-        right.append(y[keep] + i)
-    x, y = np.concatenate(left), np.concatenate(right)
-    if not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one = half == len(a)
+    for i in range(0, half, 512):
+        j, k = min(half, i + 512), i if one else half
+        found = np.bitwise_count(a[i:j, None] ^ a[None, k:]) + np.bitwise_count(b[i:j, None] ^ b[None, k:]) <= radius
+        yield i, k, np.triu(found, 1) if one else found
+
+
+def components(a: np.ndarray, b: np.ndarray, node: np.ndarray, radius: int, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (node, smallest node) of the components of entries within ``radius`` bits (see ``near``)."""
     order = np.argsort(np.argsort(node, kind="stable"), kind="stable")
-    label = order.copy()
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        back = np.empty(m, np.int64)
-        back[order] = np.arange(m)
-        new = new[back[new]]  # follow the smallest to its own smallest
-        if (new == label).all():
-            break
-        label = new
+    label = np.arange(len(a))
+    for i, k, found in near(a, b, len(a) if half is None else half, radius):
+        x, y = np.nonzero(found)
+        if not len(x):
+            continue
+        # pairs of these rows and the stars so far, so that no more than these are held
+        x, y = np.concatenate([order[x + i], np.arange(len(a))]), np.concatenate([order[y + k], label])
+        while True:
+            low = np.minimum(label[x], label[y])
+            new = label.copy()
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            new = new[new]  # follow the smallest to its own smallest
+            if (new == label).all():
+                break
+            label = new
     by_rank = np.sort(node, kind="stable")
-    moved = by_rank[label] != node
-    return node[moved], by_rank[label][moved]
-
-
-def _compare(radius: int):
-    """Partitions of (leaf, piece, a, b, node, pa, pb, pnode), sorted by list and piece, to edges (node, other)."""
-
-    def edges(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        leaf, piece, a, b, node, pivot_a, pivot_b, pivot = rows
-        cuts = np.concatenate([[0], np.flatnonzero((leaf[1:] != leaf[:-1]) | (piece[1:] != piece[:-1])) + 1, [len(leaf)]])
-        out = []
-        for i, j in zip(cuts, cuts[1:]):
-            x, y, z = a[i:j], b[i:j], node[i:j]
-            if pivot_a[i] or pivot_b[i] or pivot[i]:
-                x, y, z = np.append(x, pivot_a[i]), np.append(y, pivot_b[i]), np.append(z, pivot[i])
-            if j - i > 1:
-                out.append(components(x, y, z, radius))
-        if out:
-            u, v = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-            if len(u):
-                uv = np.unique(np.stack([u, v], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy())], ["u", "v"])
+    moved = by_rank[label] != by_rank
+    return by_rank[moved], by_rank[label][moved]
+
+
+def blocks(lists: DataFrame, key: str, sizes: DataFrame, long: int) -> DataFrame:
+    """(key, block, side, a, b, node): lists as blocks that compare each of their pairs once.
+
+    A list of up to ``long`` entries is one block. A longer one is cut to pieces, and each two pieces are a block of two sides, each piece one
+    of one side. sizes: key, n.
+    """
+    whole = [F.lit(0).alias("block"), F.lit(0).alias("side")]
+    sizes = cut(sizes.filter(F.col("n") > long).select(key, F.ceil(F.col("n") / long).cast("int").alias("pieces")))
+    if sizes.isEmpty():
+        return lists.select(key, *whole, "a", "b", "node")
+    own, pieces = F.col("piece"), F.col("pieces")
+    with_piece = lists.join(sizes, key, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("a", "b", key), pieces).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), pieces - 1), lambda q: F.struct((F.least(own, q) * pieces + F.greatest(own, q)).alias("block"), F.when(q < own, 1).otherwise(0).alias("side")))
+    return with_piece.select(key, F.explode(met).alias("m"), "a", "b", "node").select(key, "m.block", "m.side", "a", "b", "node")
+
+
+def compared(blocked: DataFrame, key: str, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn`` of the arrays (key, block, side, a, b, node) and the bounds of the blocks in them, over whole blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+            return fn(rows, np.concatenate([[0], cuts, [len(rows[0])]]))
+
         held: list[np.ndarray] | None = None
         for batch in batches:
-            own = [np.asarray(pa.compute.fill_null(c, 0)) for c in batch.columns]
+            own = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 own = [np.concatenate([x, y]) for x, y in zip(held, own)]
             if not len(own[0]):
                 continue
-            # the last list may go on in the next batch
-            last = int(np.flatnonzero((own[0] != own[0][-1]) | (own[1] != own[1][-1]))[-1]) + 1 if ((own[0] != own[0][-1]) | (own[1] != own[1][-1])).any() else 0
+            # the last block may go on in the next batch
+            ended = np.flatnonzero((own[0] != own[0][-1]) | (own[1] != own[1][-1]))
+            last = int(ended[-1]) + 1 if len(ended) else 0
             if last:
-                yield from edges([x[:last] for x in own])
+                yield from of([x[:last] for x in own])
             held = [x[last:] for x in own]
         if held is not None and len(held[0]):
-            yield from edges(held)
+            yield from of(held)
 
-    return run
+    parts = partitions_for(blocked.sparkSession)
+    return blocked.repartition(parts, key, "block").sortWithinPartitions(key, "block", "side").mapInArrow(run, schema)
+
+
+def _half(side: np.ndarray) -> int:
+    """Entries of a block's first side; all, where it has one side."""
+    return int(np.searchsorted(side, 1))
+
+
+def _stars(radius: int):
+    """Blocks to edges (u, v)."""
+
+    def edges(rows: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, _, side, a, b, node = rows
+        out = [components(a[i:j], b[i:j], node[i:j], radius, _half(side[i:j])) for i, j in zip(cuts, cuts[1:]) if j - i > 1]
+        if out:
+            u, v = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+            if len(u):
+                uv = np.unique(np.stack([u, v], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy())], ["u", "v"])
+
+    return edges
 
 
 def find_links(entries: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, long: int = LONG) -> DataFrame:
     """Distinct (u, v), v the smaller: links that join entries (a, b, node) to components."""
     strips, repetitions = shape(n, leaf, radius, recall)
-    parts = partitions_for(entries.sparkSession)
     lists = entries.select("a", "b", "node").mapInArrow(_leaves(strips, repetitions), "leaf long, a long, b long, node long")
-    sizes = lists.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "a", "b")).alias("p")).filter(F.col("n") > long)
-    sizes = cut(sizes.select("leaf", F.ceil(F.col("n") / long).cast("int").alias("pieces"), F.col("p.a").alias("pa"), F.col("p.b").alias("pb"), F.col("p.node").alias("pnode")))
-    if sizes.isEmpty():
-        cutted = lists.select("leaf", F.lit(0).alias("piece"), "a", "b", "node", F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"), F.lit(0).cast("long").alias("pnode"))
-    else:
-        piece = F.coalesce(F.pmod(F.xxhash64("node", "leaf"), F.col("pieces")).cast("int"), F.lit(0))
-        cutted = lists.join(sizes, "leaf", "left").select("leaf", piece.alias("piece"), "a", "b", "node", "pa", "pb", "pnode")
-    found = cutted.repartition(parts, "leaf", "piece").sortWithinPartitions("leaf", "piece").mapInArrow(_compare(radius), "u long, v long")
-    return found.distinct()
+    blocked = blocks(lists, "leaf", lists.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), long)
+    return compared(blocked, "leaf", _stars(radius), "u long, v long").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -109,6 +109,11 @@ def test_recall_at_the_radius_by_brute_force(spark, strips, leaf):
     assert recall_of(prints, simhash.find_links(entries, 1000, leaf=leaf)) > 0.97  # 0.99 less four deviations
 
 
+def test_every_pair_of_a_long_list_is_compared(spark):
+    prints, entries = planted_pairs(spark, 500, simhash.RADIUS)
+    assert recall_of(prints, simhash.find_links(entries, 1000, long=4)) > 0.97
+
+
 def test_simhash_odd_inputs(odd, empty):
     got = simhash.classes(odd).collect()
     assert len(got) == odd.count() and all(r["class_id"] == 0 for r in got if r["doc_id"] in (0, 1, 2))
