@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm.common import bounded_batches, cut, partitions_for, release, slices
 from ledgerline.llm.quality import Words
@@ -269,25 +270,52 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """id, class_id, n_links (to other texts), copies (rows of the same fingerprint), keep (the class's first) of every row."""
-    kind = docs.schema[id_column].dataType.simpleString()
+def _judged(docs: DataFrame, id_column: str, column: str, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+    """id, a, b (the fingerprint), class_id, n_links, copies of every row."""
     prints = cut(fingerprint_column(docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{column}`").alias("text"))))
     entries = cut(prints.groupBy("a", "b").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.coalesce("low", -F.abs(F.col("a") % (1 << 62)) - 1)))
     edges = cut(find_links(entries, entries.count(), radius, recall))
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labels = connected(edges).join(degree, "node", "left")
     known = entries.join(labels, "node", "left").select("a", "b", "copies", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = prints.join(known, ["a", "b"])
+    return prints.join(known, ["a", "b"])
+
+
+def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text", **options: object) -> DataFrame:
+    """id, class_id, n_links (to other texts), copies (rows of the same fingerprint), keep (the class's first) of every row."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    out = _judged(docs, id_column, column, **options)
     return out.select(F.col("id").cast(kind).alias(id_column), "class_id", "n_links", "copies", F.col("id").eqNullSafe(F.col("class_id")).alias("keep"))
 
 
+def _with_prints(docs: DataFrame, column: str) -> DataFrame:
+    """All columns and rows, and the fingerprint as _print_a, _print_b."""
+    names = [*docs.columns, "_print_a", "_print_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column, SLICE):
+                f = fingerprints(part.column(column))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], names)
+        release()
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_print_a", T.LongType()), T.StructField("_print_b", T.LongType())]))
+
+
 def kept(docs: DataFrame, id_column: str = "doc_id", column: str = "text", **options: object) -> DataFrame:
-    """One document of each class, with its own columns. Where no row of a class has an id, one of them stays."""
-    judged = classes(docs, id_column, column, **options)
-    stay = cut(judged.groupBy("class_id").agg(F.min(F.col(id_column)).alias("stay"), F.max(F.when(F.col("keep"), 1)).alias("some"), F.sum(F.col("keep").cast("int")).alias("rows")))
-    ids = stay.select(F.col("stay").alias("stay_id"))
-    out = docs.join(ids, F.col(f"`{id_column}`").eqNullSafe(F.col("stay_id")), "left_semi")
-    if not stay.filter("rows > 1 or rows = 0").isEmpty():  # rows of one id, or classes without ids
-        out = out.dropDuplicates([id_column])
-    return out
+    """One document of each class, with its own columns: one of its smallest id. Where no row of a class has an id, one of them stays."""
+    judged = cut(_judged(docs, id_column, column, **options))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")
+    stay = cut(judged.groupBy("class_id").agg(F.min(first).alias("s")).select(F.col("class_id").alias("_class_id"), F.col("s.id").alias("_stay_id"), F.col("s.a").alias("_stay_a"), F.col("s.b").alias("_stay_b")))
+    own = F.col(f"`{id_column}`").cast("long")
+    # an id of one row names it; of ids of more rows, and of none, the fingerprint says which row
+    rows = judged.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id")
+    unsure = cut(stay.join(rows, F.col("_stay_id").eqNullSafe(F.col("id")), "left_semi"))
+    if unsure.isEmpty():
+        return docs.join(stay.select("_stay_id"), own == F.col("_stay_id"), "left_semi")
+    named = stay.join(unsure.select("_class_id"), "_class_id", "left_anti").select("_stay_id")
+    asked = docs.join(unsure.select("_stay_id").distinct(), own.eqNullSafe(F.col("_stay_id")), "left_semi")
+    same = own.eqNullSafe(F.col("_stay_id")) & (F.col("_print_a") == F.col("_stay_a")) & (F.col("_print_b") == F.col("_stay_b"))
+    found = _with_prints(asked, column).join(unsure, same).dropDuplicates(["_class_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(named, own == F.col("_stay_id"), "left_semi").unionByName(found)

@@ -114,6 +114,20 @@ def test_every_pair_of_a_long_list_is_compared(spark):
     assert recall_of(prints, simhash.find_links(entries, 1000, long=4)) > 0.97
 
 
+def test_one_of_each_class_stays_without_ids_too(spark):
+    texts, groups = copies(n=12)
+    ids = [None if g % 3 else i for i, g in enumerate(groups)]
+    ids[groups.index(6)] = ids[groups.index(3)]  # one id, two texts: one document
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in zip(ids, rows_of(texts))], DOCS)
+    left = simhash.kept(df)
+    by_text = dict(zip(texts, groups))
+    assert left.columns == df.columns
+    got = sorted(by_text[r["text"]] for r in left.collect())
+    assert [g for g in got if g not in (3, 6)] == [g for g in range(12) if g not in (3, 6)]
+    assert len([g for g in got if g in (3, 6)]) == 1
+    assert all((r["doc_id"] is None) == bool(by_text[r["text"]] % 3) for r in left.collect())
+
+
 def test_simhash_odd_inputs(odd, empty):
     got = simhash.classes(odd).collect()
     assert len(got) == odd.count() and all(r["class_id"] == 0 for r in got if r["doc_id"] in (0, 1, 2))
