@@ -248,6 +248,32 @@ def _stars(radius: int):
     return edges
 
 
+def _partners(radius: int):
+    """Blocks to (a, b, n): how many others of the block are within ``radius`` of an entry that has any."""
+
+    def counts(rows: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, _, side, a, b, _ = rows
+        n = np.zeros(len(a), np.int64)
+        for i, j in zip(cuts, cuts[1:]):
+            own = n[i:j]
+            for row, column, found in near(a[i:j], b[i:j], _half(side[i:j]), radius):
+                own[row : row + found.shape[0]] += found.sum(1)
+                own[column : column + found.shape[1]] += found.sum(0)
+        some = np.flatnonzero(n)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some]), pa.array(n[some])], ["a", "b", "n"])
+
+    return counts
+
+
+def link_counts(labelled: DataFrame, radius: int = RADIUS, long: int = LONG) -> DataFrame:
+    """(a, b, n_links): the entries within ``radius`` of each that has any, exactly; entries a, b, node, class_id. Links lie within classes, so each class's entries are compared."""
+    sizes = cut(labelled.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = labelled.join(sizes.select("class_id"), "class_id", "left_semi")
+    found = compared(blocks(shared, "class_id", sizes, long), "class_id", _partners(radius), "a long, b long, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n_links"))
+
+
 def find_links(entries: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, long: int = LONG) -> DataFrame:
     """Distinct (u, v), v the smaller: links that join entries (a, b, node) to components."""
     strips, repetitions = shape(n, leaf, radius, recall)
@@ -275,14 +301,13 @@ def _judged(docs: DataFrame, id_column: str, column: str, radius: int = RADIUS,
     prints = cut(fingerprint_column(docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{column}`").alias("text"))))
     entries = cut(prints.groupBy("a", "b").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.coalesce("low", -F.abs(F.col("a") % (1 << 62)) - 1)))
     edges = cut(find_links(entries, entries.count(), radius, recall))
-    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = connected(edges).join(degree, "node", "left")
-    known = entries.join(labels, "node", "left").select("a", "b", "copies", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labelled = cut(entries.join(connected(edges), "node", "left").withColumn("class_id", F.coalesce("label", "node")))
+    known = labelled.join(link_counts(labelled, radius), ["a", "b"], "left").select("a", "b", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return prints.join(known, ["a", "b"])
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text", **options: object) -> DataFrame:
-    """id, class_id, n_links (to other texts), copies (rows of the same fingerprint), keep (the class's first) of every row."""
+    """id, class_id, n_links (other fingerprints within the radius), copies (rows of the same fingerprint), keep (the class's first) of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
     out = _judged(docs, id_column, column, **options)
     return out.select(F.col("id").cast(kind).alias(id_column), "class_id", "n_links", "copies", F.col("id").eqNullSafe(F.col("class_id")).alias("keep"))

@@ -128,6 +128,23 @@ def test_one_of_each_class_stays_without_ids_too(spark):
     assert all((r["doc_id"] is None) == bool(by_text[r["text"]] % 3) for r in left.collect())
 
 
+def test_n_links_by_brute_force(spark):
+    texts, _ = copies(n=24)
+    chain = texts[-1].split()
+    for _ in range(12):  # each near the one before, the ends far apart
+        for _ in range(4):
+            chain[random.Random(len(texts)).randrange(len(chain))] = f"new{len(texts)}"
+        texts.append(" ".join(chain))
+    f = simhash.fingerprints(pa.array(texts)).view(np.uint64)
+    distinct = np.unique(f, axis=0)
+    want = [int((np.bitwise_count(distinct ^ x).sum(1) <= simhash.RADIUS).sum()) - 1 for x in f]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    assert [r["n_links"] for r in simhash.classes(df).orderBy("doc_id").collect()] == want
+    labelled = spark.createDataFrame([(*map(int, x.view(np.int64)), i, 0) for i, x in enumerate(distinct)], "a bigint, b bigint, node bigint, class_id bigint")
+    got = {(r["a"], r["b"]): r["n_links"] for r in simhash.link_counts(labelled, long=5).collect()}
+    assert [got.get(tuple(map(int, x.view(np.int64))), 0) for x in f] == want
+
+
 def test_simhash_odd_inputs(odd, empty):
     got = simhash.classes(odd).collect()
     assert len(got) == odd.count() and all(r["class_id"] == 0 for r in got if r["doc_id"] in (0, 1, 2))
