@@ -11,22 +11,35 @@ from ledgerline.functions import exprs as X
 FEW = 10_000
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 16) -> DataFrame:
-    """(node, depth): the fewest steps from any start, up to ``most``; a start that a cycle leads back to is included. Edges source, target.
+#: Levels after which those found are joined to one table.
+LEVELS = 16
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage, in the checkpoint folder where one is named."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, depth): the fewest steps from any start, however many; a start that a cycle leads back to is included. Edges source, target.
 
     Level by level: each step is one join of the new nodes, so a cycle ends where nothing is new.
     """
-    edges = edges.select("source", "target").distinct()
+    edges = _cut(edges.select("source", "target").distinct())
     found = None
     front = start.select(F.col("node"))
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = front.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         if found is not None:
             step = step.join(found.select("node"), "node", "left_anti")
-        step = step.withColumn("depth", F.lit(depth)).checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.withColumn("depth", F.lit(depth))
+        step = _cut(step.withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
+        if depth % LEVELS == 0:
+            found = _cut(found)
         front = step.select("node")
     return found if found is not None else start.select("node", F.lit(0).alias("depth")).filter(F.lit(False))
 

@@ -98,6 +98,12 @@ def test_reach_has_the_start_of_a_cycle(spark):
     assert {(r["node"], r["depth"]) for r in graph.reachable(e, spark.createDataFrame([("a",)], "node string")).collect()} == {("b", 1), ("c", 2), ("a", 3)}
 
 
+def test_reach_follows_long_chains(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 5)], "source bigint, target bigint")
+    got = {(r["node"], r["depth"]) for r in graph.reachable(e, spark.createDataFrame([(0,)], "node bigint")).collect()}
+    assert got == {(i, i) for i in range(1, 21)}
+
+
 def test_scrub_and_json_faults(spark):
     df = spark.createDataFrame([('{"a": "x", "n": 1.5}',), ('{"a": null, "n": true}',), ("no",), ("{}",)], "r string")
     got = [r[0] for r in df.select(textchecks.json_faults(F.col("r"), {"a": "string", "n": "number"})).collect()]
