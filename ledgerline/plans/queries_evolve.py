@@ -87,6 +87,14 @@ def reach_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(edges, spark.createDataFrame([(3,)], "node bigint"))
 
 
+@query("WITH e AS (SELECT DISTINCT c_custkey % 40 AS source, (c_custkey * 7 + c_nationkey) % 40 AS target FROM customer), w AS (WITH RECURSIVE r(node, depth) AS (SELECT target, 1 FROM e WHERE source = 3 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 40) SELECT * FROM r) SELECT node::BIGINT AS node, min(depth)::INTEGER AS depth FROM w GROUP BY 1")
+def reach_all_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reach_subscribers over the edges of all customers; of 40 nodes none is more than 40 steps away."""
+    c = read(spark, sf_dir, "customer")
+    edges = c.select((F.col("c_custkey") % 40).alias("source"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 40).alias("target"))
+    return graph.reachable(edges, spark.createDataFrame([(3,)], "node bigint"))
+
+
 @query("SELECT c_custkey::BIGINT AS subscriber FROM customer WHERE c_mktsegment = 'BUILDING' OR c_name = 'BUILDING'")
 def direct_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions by source or contract."""
@@ -103,6 +111,15 @@ def lineage_match_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lineage_matches(nodes, names)
 
 
+@query("SELECT DISTINCT p_partkey::VARCHAR AS node_id, p_name AS label, p_brand AS path FROM part, (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT 'brand#1') n WHERE name <> '' AND (contains(lower(p_name), lower(name)) OR contains(lower(p_brand), lower(name)))")
+def lineage_match_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineage_match_parts with the first words of all parts as names."""
+    p = read(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("path"))
+    names = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).unionByName(spark.createDataFrame([("brand#1",)], "name string"))
+    return graph.lineage_matches(nodes, names)
+
+
 _COMMITS = "SELECT o_orderkey::VARCHAR AS hash, round(greatest(0, least(1, 1 - 0.1 * ((epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate)) / 86400 / 400) - 0.2 * 1)), 4) AS score FROM orders ORDER BY score DESC, hash LIMIT 5"
 
 

@@ -104,6 +104,15 @@ def test_reach_follows_long_chains(spark):
     assert got == {(i, i) for i in range(1, 21)}
 
 
+def test_whole_tables_are_reached_and_matched(spark, tmp_path):
+    from ledgerline.plans.queries_evolve import lineage_match_all_parts, reach_all_subscribers
+
+    spark.createDataFrame([(3, 0), (21, 0), (27, 0)], "c_custkey bigint, c_nationkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(9, "plum a", "Brand#2"), (10, "a plum", "Brand#2")], "p_partkey bigint, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    assert {(r["node"], r["depth"]) for r in reach_all_subscribers(spark, str(tmp_path)).collect()} == {(21, 1), (27, 2), (29, 3)}
+    assert {r["node_id"] for r in lineage_match_all_parts(spark, str(tmp_path)).collect()} == {"9", "10"}
+
+
 def test_scrub_and_json_faults(spark):
     df = spark.createDataFrame([('{"a": "x", "n": 1.5}',), ('{"a": null, "n": true}',), ("no",), ("{}",)], "r string")
     got = [r[0] for r in df.select(textchecks.json_faults(F.col("r"), {"a": "string", "n": "number"})).collect()]
