@@ -131,6 +131,12 @@ def etl_regex_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter("kind <> 'phrase'")
 
 
+@query("WITH t AS (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', 'z', 'g') AS html FROM pages), m AS (SELECT page_id, 'amount' AS kind, unnest(regexp_extract_all(html, '[$€£]\\s?\\d[\\d,]*(?:\\.\\d+)?')) AS value FROM t UNION ALL SELECT page_id, 'phrase', unnest(regexp_extract_all(html, '\\b(?:[A-Z][a-z]+ ){1,3}[A-Z][a-z]+\\b')) FROM t UNION ALL SELECT page_id, 'acronym', unnest(regexp_extract_all(html, '\\b[A-Z]{2,6}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b\\d{4}-\\d{2}-\\d{2}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b\\d{1,2}/\\d{1,2}/\\d{4}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b(?:19|20)\\d{2}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \\d{1,2}, \\d{4}\\b')) FROM t) SELECT DISTINCT page_id, kind, value FROM m WHERE kind <> 'phrase' OR split_part(value, ' ', 1) NOT IN ('The', 'This', 'That', 'And', 'For')")
+def etl_regex_all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """etl_regex_entities with title-case phrases too, which no stop word begins."""
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(etl.regex_entities(F.regexp_replace("html", r"[^\x00-\x7F]", "z"))).alias("e")).select("page_id", "e.kind", "e.value")
+
+
 @query("SELECT l_orderkey, l_returnflag AS flag, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2")
 def etl_facts_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each order and flag."""

@@ -113,6 +113,14 @@ def test_whole_tables_are_reached_and_matched(spark, tmp_path):
     assert {r["node_id"] for r in lineage_match_all_parts(spark, str(tmp_path)).collect()} == {"9", "10"}
 
 
+def test_all_kinds_of_entities_are_returned(spark, tmp_path):
+    from ledgerline.plans.queries_etl import etl_regex_all_entities
+
+    spark.createDataFrame([(1, "see Annual Report Of May 2020, $5 for ACME. The Big Dog ran")], "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r["kind"], r["value"]) for r in etl_regex_all_entities(spark, str(tmp_path)).collect()}
+    assert got == {("phrase", "Annual Report Of May"), ("date", "2020"), ("amount", "$5"), ("acronym", "ACME")}
+
+
 def test_scrub_and_json_faults(spark):
     df = spark.createDataFrame([('{"a": "x", "n": 1.5}',), ('{"a": null, "n": true}',), ("no",), ("{}",)], "r string")
     got = [r[0] for r in df.select(textchecks.json_faults(F.col("r"), {"a": "string", "n": "number"})).collect()]
