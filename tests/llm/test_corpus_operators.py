@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import hamming, mixing, secrets, simhash, suffixes, urls
+from ledgerline.llm import mixing, secrets, simhash, suffixes, urls
 from tests.llm.conftest import DOCS, rows_of
 
 
@@ -322,34 +322,6 @@ def test_suffixes_odd_inputs(odd, empty):
     assert suffixes.digests(empty).count() == 0
 
 
-def brute_nearest(codes, k, every):
-    out = []
-    for q, c in codes.items():
-        if q % every == 0:
-            near = sorted((bin((c ^ d) & (2**64 - 1)).count("1"), i) for i, d in codes.items() if i != q)[:k]
-            out += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
-    return sorted(out)
-
-
-def test_topk_equals_brute_force(spark):
-    rng = random.Random(6)
-    hot = rng.getrandbits(64)
-    codes = {i: hot if i % 3 == 0 else rng.getrandbits(64) if i % 3 == 1 else hot ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for i in range(200)}
-    signed = {i: c - 2**64 if c >= 2**63 else c for i, c in codes.items()}
-    df = spark.createDataFrame(list(signed.items()), "id bigint, code bigint")
-    got = hamming.search(df, df.filter("id % 20 = 0"), 7)
-    assert sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in got.collect()) == brute_nearest(signed, 7, 20)
-
-
-def test_topk_from_vectors_odd_inputs(spark):
-    rows = [(0, [1.0, -1.0]), (1, [1.0, None]), (2, None), (3, []), (3, []), (None, [1.0]), (20, [-1.0] * 80), (40, [1.0] * 80)]
-    df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id bigint, embedding array<float>, id int")
-    codes = {0: 1, 1: 1, 2: 0, 3: 0, 20: 0, 40: 2**64 - 1}
-    got = hamming.nearest(df, 3)
-    assert sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in got.collect()) == brute_nearest(codes, 3, 20)
-    assert hamming.nearest(df, 50).count() == 15 and hamming.nearest(df.limit(0), 3).count() == 0
-
-
 def test_pipeline_stages(spark, sf, monkeypatch):
     import corpus_pipeline as cp
 
