@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ledgerline.functions.lineage import cut, ensure_checkpoint_dir  # noqa: F401 (for the operators)
 
 #: Bytes of text handled at once inside an Arrow batch; bounds a worker's temporaries.
 SLICE_BYTES = 1 << 20
@@ -26,21 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder of our own only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def partitions_for(spark: SparkSession) -> int:
     """The session's shuffle width, which the cluster sizes to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -144,8 +129,3 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     index = np.repeat(starts - bounds[:-1], lengths)
     index += np.arange(bounds[-1])
     return flat[index], bounds
-
-
-def renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Only the named columns, under new names, so that extra columns can't clash."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])

@@ -5,10 +5,11 @@ neighbouring words (lower-cased, without punctuation at the end). Documents are
 ``radius`` bits at most; classes are the connected components of links.
 
 Links are found by filtering. A repetition permutes the coordinates and cuts them to strips; random centres are drawn for each
-strip, and a fingerprint passes a centre's filter when its partial weight (its distance from the centre on the strip) is WEIGHT at most.
-Who passes is filtered again on the next strip, until lists are expected to be small (``leaf``); lists are compared by
-brute force. Repetitions are as many as it takes for a pair at ``radius`` bits, the hardest link, to meet in a list with
-probability ``recall``; the probabilities are computed exactly.
+strip, and a fingerprint passes a centre's filter when its partial weight (its distance from the centre on the strip) is small enough.
+Who passes is filtered again on the next strip, until lists are expected to be small; lists are compared by brute force. ``Plan``
+computes exactly how probably a pair meets in a list of a repetition, from the chance of at least one common centre on each
+strip; repetitions are as many as it takes for a pair at ``radius`` bits, the hardest link, to meet with probability ``recall``. Of
+the plans of that recall (bits of a strip, weight, centres, strips) the one is taken that costs least for so many fingerprints.
 
 Documents of one fingerprint are one entry from the start, so that copies are no hot group. A list that is far longer
 than expected (near copies of one text) is cut to pieces, and each two pieces are compared as a block, so that no task gets
@@ -22,6 +23,8 @@ an empty table; ``kept`` passes all other columns on.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 from math import ceil, comb, log, log1p
 
 import numpy as np
@@ -34,14 +37,19 @@ from ledgerline.llm.common import bounded_batches, cut, partitions_for, release,
 from ledgerline.llm.quality import Words
 
 BITS = 128
-STRIP, WEIGHT = 8, 1
-CENTRES = 28  # about 2^STRIP / (STRIP + 1): a fingerprint passes one filter a strip on average, and none with probability 0.37
 RADIUS = 26
 RECALL = 0.99
-LEAF = 512
-LONG = 4096
+#: Strips' bits and partial weights that a plan may have, and the centres that a fingerprint passes on a strip on average.
+FILTERS = ((8, 1), (16, 3), (24, 5), (24, 6), (32, 8), (32, 9), (42, 12), (64, 20), (64, 21))
+PASSES = (1, 2, 3)
+#: Seconds that a list's entry, a comparison with a centre and one of two entries take, about; they choose among plans of equal recall.
+ENTRY_S, CENTRE_S, PAIR_S = 4e-6, 3e-9, 7e-9
+LONG = 1 << 14
 SEED = 77
 SLICE = 1 << 19
+CENTRES_AT_ONCE = 1 << 19
+#: The bits of each byte as the bytes of a 64-bit number, in memory's order.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 _TRIM = np.zeros(256, bool)
 _TRIM[[*b".,;:!?\"'()"]] = True
 
@@ -53,6 +61,18 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _bit_sums(hashes: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes (rows of 16 bytes; a text's begin at ``at``) have each of the bits: eight sums at once, as the bytes of a 64-bit sum of 255 rows at most."""
+    pieces = -(-count // 255)
+    heads = np.cumsum(pieces) - pieces
+    starts = np.repeat(at - 255 * heads, pieces) + 255 * np.arange(int(pieces.sum()))
+    out = np.empty((len(at), BITS), np.int64)
+    for i in range(BITS // 8):
+        part = np.add.reduceat(_SPREAD[hashes[:, i]], starts)
+        out[:, 8 * i : 8 * i + 8] = np.add.reduceat(part.view(np.uint8).reshape(-1, 8).astype(np.int64), heads, axis=0)
+    return out
+
+
 def fingerprints(texts: pa.Array) -> np.ndarray:
     """(n, 2) 64-bit halves."""
     words = Words.of(texts, _TRIM)
@@ -68,10 +88,9 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     own = (key >> np.uint64(40)).astype(np.int64)
     feature = key & np.uint64((1 << 40) - 1)
-    bits = np.unpackbits(np.stack([_mix(feature, 11), _mix(feature, 13)], 1).view(np.uint8), axis=1)
     at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    sums = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
     count = np.diff(np.append(at, len(own)))
+    sums = _bit_sums(np.stack([_mix(feature, 11), _mix(feature, 13)], 1).view(np.uint8), at, count)
     out = np.zeros((n, 2), np.int64)
     out[own[at]] = np.packbits(sums * 2 > count[:, None], axis=1).view(np.int64)
     return out
@@ -91,44 +110,65 @@ def fingerprint_column(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, a long, b long")
 
 
-def pass_probability(share: float) -> float:
-    """P(a fingerprint passes a filter | another one passes that differs in ``share`` of the bits)."""
-    both = single = 0.0
-    for x in range(WEIGHT + 1):
-        p = comb(STRIP, x) / 2**STRIP
-        single += p
-        for lost in range(x + 1):
-            for new in range(STRIP - x + 1):
-                if x - lost + new <= WEIGHT:
-                    both += p * comb(x, lost) * share**lost * (1 - share) ** (x - lost) * comb(STRIP - x, new) * share**new * (1 - share) ** (STRIP - x - new)
-    return both / single
-
-
-def meeting(bits: int, strips: int) -> float:
-    """P(two fingerprints that differ in ``bits`` bits share a list of a repetition): on each strip at least one centre passes both."""
-    passes = [sum(1 for z in range(1 << STRIP) if z.bit_count() <= WEIGHT and (z ^ ((1 << x) - 1)).bit_count() <= WEIGHT) / 2**STRIP for x in range(STRIP + 1)]
-    common = [1 - (1 - q) ** CENTRES for q in passes]
-    left = {bits: 1.0}  # differing bits that the strips so far don't hold, by the probability of having met
-    for i in range(strips):
-        rest, after = BITS - i * STRIP, {}
-        for d, p in left.items():
-            for x in range(max(0, d - rest + STRIP), min(STRIP, d) + 1):
-                after[d - x] = after.get(d - x, 0.0) + p * common[x] * comb(d, x) * comb(rest - d, STRIP - x) / comb(rest, STRIP)
-        left = after
-    return sum(left.values())
-
-
-def shape(entries: int, leaf: int = LEAF, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
-    """(strips, repetitions) for so many fingerprints."""
-    rate = sum(comb(STRIP, x) for x in range(WEIGHT + 1)) / 2**STRIP
-    strips = max(1, min(BITS // STRIP, ceil(log(max(2, entries / leaf)) / log(1 / rate))))
-    return strips, max(4, ceil(log(1 - recall) / log1p(-meeting(radius, strips))))
-
-
-def _leaves(strips: int, repetitions: int, seed: int = SEED):
+@cache
+def both_pass(strip: int, weight: int, differ: int) -> float:
+    """P(a random centre passes both of two fingerprints that differ in ``differ`` bits of the strip)."""
+    both = 0
+    for x in range(min(differ, weight) + 1):  # of the bits that differ, those in which the centre differs from the first
+        for rest in range(min(strip - differ, weight - max(x, differ - x)) + 1):
+            both += comb(differ, x) * comb(strip - differ, rest)
+    return both / 2**strip
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How a repetition filters: ``strips`` strips of ``strip`` bits, on each the centres within ``weight``."""
+
+    strip: int
+    weight: int
+    centres: int
+    strips: int
+
+    @property
+    def rate(self) -> float:
+        """The share of all fingerprints that pass a filter."""
+        return both_pass(self.strip, self.weight, 0)
+
+    def meeting(self, bits: int) -> float:
+        """P(two fingerprints that differ in ``bits`` bits share a list of a repetition): on each strip at least one centre passes both."""
+        common = [1 - (1 - both_pass(self.strip, self.weight, x)) ** self.centres for x in range(self.strip + 1)]
+        left = {bits: 1.0}  # differing bits that the strips so far don't hold, by the probability of having met
+        for i in range(self.strips):
+            rest, after = BITS - i * self.strip, {}
+            for d, p in left.items():
+                for x in range(max(0, d - rest + self.strip), min(self.strip, d) + 1):
+                    after[d - x] = after.get(d - x, 0.0) + p * common[x] * comb(d, x) * comb(rest - d, self.strip - x) / comb(rest, self.strip)
+            left = after
+        return sum(left.values())
+
+    def repetitions(self, radius: int = RADIUS, recall: float = RECALL) -> int:
+        """As many as a pair at the radius needs to meet with probability ``recall``."""
+        return max(4, ceil(log(1 - recall) / log1p(-min(self.meeting(radius), 1 - 1e-9))))
+
+    def cost(self, entries: int, repetitions: int) -> float:
+        """Seconds a fingerprint."""
+        passed = [(self.centres * self.rate) ** i for i in range(self.strips + 1)]
+        return repetitions * (passed[-1] * (ENTRY_S + entries * self.rate**self.strips / 2 * PAIR_S) + sum(passed[:-1]) * self.centres * CENTRE_S)
+
+
+@cache
+def plan_for(entries: int, radius: int = RADIUS, recall: float = RECALL) -> Plan:
+    """The cheapest plan for so many fingerprints; all have the same recall."""
+    plans = [Plan(m, w, max(1, round(mu / both_pass(m, w, 0))), k) for m, w in FILTERS for mu in PASSES for k in range(1, BITS // m + 1)]
+    usable = [p for p in plans if p.meeting(radius) > 1e-6]
+    return min(usable, key=lambda p: p.cost(entries, p.repetitions(radius, recall)))
+
+
+def _leaves(plan: Plan, repetitions: int, seed: int = SEED):
     """Entries to (leaf, a, b, node): the lists that each entry is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CENTRES_AT_ONCE // plan.centres)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -137,14 +177,17 @@ def _leaves(strips: int, repetitions: int, seed: int = SEED):
             for r in range(repetitions):
                 rng = np.random.default_rng([seed, r])
                 order = rng.permutation(BITS)
-                centres = rng.integers(0, 1 << STRIP, (strips, CENTRES), dtype=np.uint8)
-                at, leaf = np.arange(len(a)), np.full(len(a), r, np.int64)
-                for i in range(strips):
-                    value = np.packbits(bits[at][:, order[i * STRIP : (i + 1) * STRIP]], axis=1)[:, 0]
-                    passed = np.bitwise_count(value[:, None] ^ centres[i][None, :]) <= WEIGHT
-                    who, centre = np.nonzero(passed)
-                    at, leaf = at[who], leaf[who] * CENTRES + centre
-                key = _mix(leaf.astype(np.uint64), r).view(np.int64)
+                centres = rng.integers(0, 1 << plan.strip, (plan.strips, plan.centres), dtype=np.uint64, endpoint=False) if plan.strip < 64 else rng.integers(0, 2**64 - 1, (plan.strips, plan.centres), dtype=np.uint64, endpoint=True)
+                at, leaf = np.arange(len(a)), np.full(len(a), r, np.uint64)
+                for i in range(plan.strips):
+                    strip = np.zeros((len(a), 64), np.uint8)
+                    strip[:, : plan.strip] = bits[:, order[i * plan.strip : (i + 1) * plan.strip]]
+                    value = np.packbits(strip, axis=1, bitorder="little").view(np.uint64)[:, 0][at]
+                    found = [np.nonzero(np.bitwise_count(value[j : j + step, None] ^ centres[i][None, :]) <= plan.weight) for j in range(0, len(value), step)]
+                    who = np.concatenate([f[0] + j for f, j in zip(found, range(0, len(value), step))]) if found else np.zeros(0, np.int64)
+                    centre = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+                    at, leaf = at[who], _mix(leaf[who] * np.uint64(plan.centres) + centre.astype(np.uint64), i + 1)
+                key = _mix(leaf, r).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a[at]), pa.array(b[at]), pa.array(node[at])], ["leaf", "a", "b", "node"])
 
     return run
@@ -156,7 +199,12 @@ def near(a: np.ndarray, b: np.ndarray, half: int, radius: int) -> Iterator[tuple
     one = half == len(a)
     for i in range(0, half, 512):
         j, k = min(half, i + 512), i if one else half
-        found = np.bitwise_count(a[i:j, None] ^ a[None, k:]) + np.bitwise_count(b[i:j, None] ^ b[None, k:]) <= radius
+        found = np.empty((j - i, len(a) - k), bool)
+        for h in range(i, j, 32):  # what these rows need stays in the cache
+            m = min(j, h + 32)
+            differ = np.bitwise_count(a[h:m, None] ^ a[None, k:])
+            differ += np.bitwise_count(b[h:m, None] ^ b[None, k:])
+            np.less_equal(differ, radius, out=found[h - i : m - i])
         yield i, k, np.triu(found, 1) if one else found
 
 
@@ -274,10 +322,10 @@ def link_counts(labelled: DataFrame, radius: int = RADIUS, long: int = LONG) ->
     return found.groupBy("a", "b").agg(F.sum("n").alias("n_links"))
 
 
-def find_links(entries: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, long: int = LONG) -> DataFrame:
+def find_links(entries: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, long: int = LONG, plan: Plan | None = None) -> DataFrame:
     """Distinct (u, v), v the smaller: links that join entries (a, b, node) to components."""
-    strips, repetitions = shape(n, leaf, radius, recall)
-    lists = entries.select("a", "b", "node").mapInArrow(_leaves(strips, repetitions), "leaf long, a long, b long, node long")
+    plan = plan or plan_for(n, radius, recall)
+    lists = entries.select("a", "b", "node").mapInArrow(_leaves(plan, plan.repetitions(radius, recall)), "leaf long, a long, b long, node long")
     blocked = blocks(lists, "leaf", lists.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), long)
     return compared(blocked, "leaf", _stars(radius), "u long, v long").distinct()
 
