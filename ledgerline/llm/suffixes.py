@@ -15,9 +15,13 @@ A leading token on a splitter lies in two buckets: its runs all go on, which dec
 across the boundary; equal keys are always in one bucket. A task first merges its own equal runs, so that a passage that
 a third of all documents share sends a row a task, and not one a document. Fingerprints have 112 bits together (64 and 48).
 
+Fingerprints stand for bytes in this order: with the bytes themselves a key would be a hundred bytes, and the keys several
+times the input. Buckets are as many as the sample says that BUCKET_KEYS keys each need, and at least the session's shuffle width.
+
 Defined results: a null text is empty; a text shorter than ``LENGTH`` bytes has no window; matches never cross rows; rows of
-one id are one document, which repeats nothing of itself at the same start (its rows must have one text); a null id
-comes before all others; an empty table gives an empty table; other columns don't matter.
+one id are documents of their own, in the order of their texts' SHA-1, and where id and text are the same, all but one repeat
+that one; a null id comes before all others; ids may be of any type that has an order; an empty table gives an empty table; other columns don't matter.
+Whole numbers that are there and differ are the documents' own order; otherwise rows get hidden numbers first, which takes one more shuffle of the texts.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import bounded_batches, partitions_for, ragged, release, slices, text_bytes
+from ledgerline.llm.common import bounded_batches, cut, partitions_for, ragged, release, slices, text_bytes
+from ledgerline.operators.textchecks import numbered
 
 LENGTH = 100
 #: Bytes of the leading token, level by level; the last is a whole window.
@@ -40,6 +46,10 @@ GRAMS = (48, 80)
 #: Documents whose keys give the splitters, about.
 SAMPLE = 2000
 SLICE = 1 << 20
+#: Keys of a bucket, about.
+BUCKET_KEYS = 4_000_000
+#: Rows that the quicksort leaves to a plain sort, character by character.
+SMALL = 1 << 15
 REPEATED, OPEN, SELF = 1, 2, 3
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -122,8 +132,31 @@ def bucket_of(g: np.ndarray, c: np.ndarray, splitters: np.ndarray) -> np.ndarray
     return out
 
 
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by keys: by the first one, then equal stretches by the rest."""
+def multikey_order(keys: list[np.ndarray], small: int = SMALL) -> np.ndarray:
+    """The order of rows by the characters ``keys``, by multikey quicksort: parts below, at and above a pivot, and only those at it go on to the next character."""
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == len(keys):
+            continue
+        own = order[lo:hi]
+        if hi - lo <= small:
+            order[lo:hi] = own[_plain_order([k[own] for k in keys[depth:]])]
+            continue
+        k = keys[depth][own]
+        sample = np.sort(k[:: max(1, len(k) // 101)])
+        pivot = sample[len(sample) // 2]
+        below, above = k < pivot, k > pivot
+        parts = own[below], own[~(below | above)], own[above]
+        order[lo:hi] = np.concatenate(parts)
+        i, j = lo + len(parts[0]), hi - len(parts[2])
+        todo += [(lo, i, depth), (i, j, depth + 1), (j, hi, depth)]
+    return order
+
+
+def _plain_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of few rows: by the first character, then equal stretches by the rest."""
     order = np.argsort(keys[0], kind="quicksort")
     for depth in range(1, len(keys)):
         same = np.ones(len(order), bool)
@@ -281,8 +314,8 @@ def _bucket(last: bool, splitters: np.ndarray):
     return run
 
 
-def splitters_of(docs: DataFrame, parts: int, gram: int, length: int = LENGTH, sample: int = SAMPLE) -> np.ndarray:
-    """Up to parts - 1 keys that cut those of a sample of about ``sample`` documents evenly; columns doc, text."""
+def splitters_of(docs: DataFrame, parts: int | None, gram: int, length: int = LENGTH, sample: int = SAMPLE) -> np.ndarray:
+    """Keys that cut those of a sample of about ``sample`` documents evenly, to ``parts`` buckets or as many as the sample says are needed; columns doc, text."""
     share = min(1.0, sample / max(1, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +323,12 @@ def splitters_of(docs: DataFrame, parts: int, gram: int, length: int = LENGTH, s
             for part in slices(batch, "text", SLICE):
                 _, _, _, g, c, _ = runs(*text_bytes(part.column(1)), gram, length)
                 keep = np.unique(np.linspace(0, len(g) - 1, min(len(g), 40 * part.num_rows)).astype(np.int64)) if len(g) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(c[keep])], ["g", "c"])
+                stands = np.full(len(keep), len(g) / max(1, len(keep)))
+                yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(c[keep]), pa.array(stands)], ["g", "c", "stands"])
 
-    keys = docs.sample(False, share, 7).mapInArrow(run, "g long, c long").toArrow()
-    g, c = (keys.column(i).to_numpy() for i in ("g", "c"))
+    keys = docs.sample(False, share, 7).mapInArrow(run, "g long, c long, stands double").toArrow()
+    g, c, stands = (keys.column(i).to_numpy() for i in ("g", "c", "stands"))
+    parts = parts or max(partitions_for(docs.sparkSession), int(stands.sum() / share / BUCKET_KEYS) + 1)
     order = multikey_order([g, c]) if len(g) else np.zeros(0, np.int64)
     at = np.unique((np.arange(1, parts) * len(g)) // parts)
     at = at[at < len(g)]
@@ -302,8 +337,8 @@ def splitters_of(docs: DataFrame, parts: int, gram: int, length: int = LENGTH, s
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, levels: tuple[int, ...] = GRAMS, parts: int | None = None) -> DataFrame:
     """(doc, found: array of (flag, s, n)): the starts s .. s + n - 1 of repeated windows of each document that has any; columns doc, text."""
-    parts = parts or partitions_for(docs.sparkSession)
     splitters = splitters_of(docs, parts, levels[0], length)
+    parts = max(parts or partitions_for(docs.sparkSession), len(splitters) + 1)
     steps = (*levels, length)
     known: DataFrame | None = None
     for i, gram in enumerate(steps):
@@ -326,10 +361,25 @@ def digests(docs: DataFrame, id_column: str = "doc_id", column: str = "text", le
     return _removed(docs, id_column, column, length, levels, True)
 
 
+def _numbers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, text) with hidden numbers, a row for all rows of the same id and text, and what they number: (doc, id, copies); columns id, text."""
+    rows = docs.withColumn("sha", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
+    named = cut(numbered(rows.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies")), ["id", "sha"], "doc"))
+    key = F.xxhash64("id", "sha").alias("key")
+    one = rows.dropDuplicates(["id", "sha"]).select(key, F.col("id").alias("id_"), F.col("sha").alias("sha_"), "text")
+    same = (F.col("key") == F.col("key_")) & F.col("id_").eqNullSafe(F.col("id")) & (F.col("sha_") == F.col("sha"))  # nulls alone would meet in one task
+    texts = one.join(named.select(key.alias("key_"), "id", "sha", "doc"), same).select(F.col("doc").cast("long"), "text")
+    return cut(texts), named.select(F.col("doc").cast("long"), "id", "copies")
+
+
 def _removed(docs: DataFrame, id_column: str, column: str, length: int, levels: tuple[int, ...], digest: bool) -> DataFrame:
-    kind = docs.schema[id_column].dataType.simpleString()
-    own = docs.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(int(_INT.min))).alias("doc"), F.col(f"`{column}`").alias("text"))
+    kind = docs.schema[id_column].dataType
+    given = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{column}`").alias("text"))
     bounded_batches(docs.sparkSession)
+    if isinstance(kind, T.IntegralType) and given.groupBy("id").count().filter("id is null or count > 1").isEmpty():
+        own, named = given.select(F.coalesce(F.col("id").cast("long"), F.lit(int(_INT.min))).alias("doc"), "text"), None  # never null, so that all joins read one exchange
+    else:
+        own, named = _numbers(given)
     found = repeated_stretches(own, length, levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +410,16 @@ def _removed(docs: DataFrame, id_column: str, column: str, length: int, levels:
     joined = own.join(found.hint("shuffle_hash"), "doc", "left")
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
     out = joined.mapInArrow(run, schema)
-    return out.withColumn("doc", F.when(F.col("doc") != F.lit(int(_INT.min)), F.col("doc")).cast(kind)).withColumnRenamed("doc", id_column)
+    if named is None:
+        return out.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", id_column)
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
+    each = out.join(named, "doc").select("*", copy).withColumn("gone", (F.col("copy") > 1) & (F.col("n_bytes") >= length))
+    nothing = F.lit("").cast("binary")
+    if digest:
+        whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(nothing, 256)}
+    else:
+        whole = {"spans": F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))), "kept": nothing}
+    return each.select(F.col("id").alias(id_column), "n_bytes", *(F.when(F.col("gone"), v).otherwise(F.col(k)).alias(k) for k, v in whole.items()))
 
 
 def _heads(offsets: np.ndarray, n: int) -> np.ndarray:
