@@ -150,9 +150,8 @@ def _vote(x: np.ndarray, good: float, bad: float) -> np.ndarray:
     return np.where(x >= bad, BAD, np.where(x < good, GOOD, NONE))
 
 
-def heuristic_votes(words: Words, terms: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Votes of all labellers but the given labels, as numbers in base 3, for quality and toxicity."""
-    n = len(words.rows) - 1
+def quality_votes(words: Words) -> np.ndarray:
+    """Votes on quality of all labellers but the given labels, as a number in base 3 for each text."""
     some = np.diff(words.rows) > 0
     shape = words.shape
     shouted = ((shape & 2) > 0) & ((shape & 1) == 0)
@@ -164,11 +163,18 @@ def heuristic_votes(words: Words, terms: np.ndarray, lexicon: np.ndarray) -> tup
         _vote(words.repeats(), 0.15, 0.4),
         np.where(words.share(words.ends) >= 0.01, GOOD, NONE),
     ]
-    quality = sum(np.where(some, v, BAD) * 3**i for i, v in enumerate(votes))
-    hits = np.bincount(words.present(lexicon)[0], minlength=n)
-    known = np.bincount(words.present(terms)[0], minlength=n)
-    toxic = np.where(hits > 0, BAD, GOOD) + 3 * np.where(known >= 2, BAD, np.where(known == 0, GOOD, NONE))
-    return quality, toxic
+    return sum(np.where(some, v, BAD) * 3**i for i, v in enumerate(votes))
+
+
+def toxic_votes(hits: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The same on toxicity, from how many words of the lexicon and of the terms each text has."""
+    return np.where(hits > 0, BAD, GOOD) + 3 * np.where(known >= 2, BAD, np.where(known == 0, GOOD, NONE))
+
+
+def heuristic_votes(words: Words, terms: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes on quality and toxicity."""
+    n = len(words.rows) - 1
+    return quality_votes(words), toxic_votes(np.bincount(words.present(lexicon)[0], minlength=n), np.bincount(words.present(terms)[0], minlength=n))
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -248,7 +254,7 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame | None, id_column: str, column: str, rows: int) -> list:
-    """Features of the sample: hash buckets, shapes and shares, and the given labels."""
+    """Features of the sample: votes on quality, hash buckets, shapes and shares, and the given labels."""
     order = F.xxhash64(F.lit("quality"), F.col("id"))
     own = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{column}`").alias("text"))
     if labels is not None:
@@ -268,12 +274,12 @@ def _sample(docs: DataFrame, labels: DataFrame | None, id_column: str, column: s
         at, cut = np.searchsorted(pairs[:, 0], np.arange(n + 1)), np.searchsorted(own[order], np.arange(n + 1))
         lists = lambda values, bounds, t: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, t))
         yield pa.RecordBatch.from_arrays(
-            [part.column(1), part.column(2), part.column(3), part.column(4), lists(pairs[:, 1], at, pa.int64()), lists(shape[order], cut, pa.int32()), lists(share[order], cut, pa.float64())],
-            ["o", "id", "quality", "toxic", "buckets", "shapes", "shares"],
+            [part.column(1), part.column(2), part.column(3), part.column(4), pa.array(quality_votes(words), pa.int32()), lists(pairs[:, 1], at, pa.int64()), lists(shape[order], cut, pa.int32()), lists(share[order], cut, pa.float64())],
+            ["o", "id", "quality", "toxic", "votes", "buckets", "shapes", "shares"],
         )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    features = arrow_map(own.select("text", "o", F.col("id"), F.col("quality").cast("int"), F.col("toxic").cast("int")), run, f"o long, id {kind}, quality int, toxic int, buckets array<long>, shapes array<int>, shares array<double>")
+    features = arrow_map(own.select("text", "o", F.col("id"), F.col("quality").cast("int"), F.col("toxic").cast("int")), run, f"o long, id {kind}, quality int, toxic int, votes int, buckets array<long>, shapes array<int>, shares array<double>")
     return features.orderBy("o", "id").limit(rows).toArrow()
 
 
@@ -327,12 +333,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_
         accuracies |= {f"{c}:{name}": tables[j].tolist() for j, name in enumerate(names)}
         posts.append(dict(zip(patterns.tolist(), post.tolist())))
 
-    # the sample's own patterns, from its features
-    own_q, own_t = _patterns_of_sample(sample, distinct, terms, listed, bucket_row, bucket)
+    # the sample's own patterns: the votes that these rows cast among all documents
+    n = sample.num_rows
+    own_q = sample.column("votes").to_numpy().astype(np.int64)
+    own_t = toxic_votes(np.bincount(bucket_row, weights=np.isin(bucket, listed), minlength=n), np.bincount(bucket_row, weights=np.isin(bucket, terms), minlength=n))
     own_q = own_q + label_votes("quality", 0) * 3 ** (len(QUALITY_LABELLERS) - 1)
     own_t = own_t + toxic_label * 3 ** (len(TOXIC_LABELLERS) - 1)
-    y_q = np.array([posts[0].get(p, 0.5) for p in own_q.tolist()])
-    y_t = np.array([posts[1].get(p, 0.5) for p in own_t.tolist()])
+    y_q = np.array([posts[0][p] for p in own_q.tolist()])
+    y_t = np.array([posts[1][p] for p in own_t.tolist()])
 
     row, shape = _flat(sample.column("shapes"))
     share = _flat(sample.column("shares"))[1].astype(np.float64)
@@ -354,30 +362,6 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_
     return Model(shape_weight, shape_bias, distinct[usable[chosen]], w, b, accuracies)
 
 
-def _patterns_of_sample(sample: pa.Table, distinct: np.ndarray, terms: np.ndarray, lexicon: np.ndarray, bucket_row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """heuristic_votes from stored features."""
-    n = sample.num_rows
-    row, shape = _flat(sample.column("shapes"))
-    share = _flat(sample.column("shares"))[1].astype(np.float64)
-    shape = shape.astype(np.int64)
-    word = shape < SHAPES
-    share_of = lambda mask: np.bincount(row, weights=share * (mask & word), minlength=n)
-    some = share_of(np.ones(len(shape), bool)) > 0
-    shouted = ((shape & 2) > 0) & ((shape & 1) == 0) & ((shape & 1 << 11) == 0)
-    votes = [
-        _vote(share_of((shape & 8) > 0), 0.1, 0.3),
-        _vote(share_of(shouted), 0.2, 0.5),
-        _vote(share_of((shape & 16) > 0), 0.05, 0.2),
-        _vote(share_of((shape & 32) > 0), 0.1, 0.3),
-        _vote(np.bincount(row, weights=share * ~word, minlength=n), 0.15, 0.4),
-        np.where(share_of((shape & (64 | 32)) > 0) >= 0.01, GOOD, NONE),
-    ]
-    quality = sum(np.where(some, v, BAD) * 3**i for i, v in enumerate(votes))
-    hits = np.bincount(bucket_row, weights=np.isin(bucket, lexicon), minlength=n)
-    known = np.bincount(bucket_row, weights=np.isin(bucket, terms), minlength=n)
-    return quality, np.where(hits > 0, BAD, GOOD) + 3 * np.where(known >= 2, BAD, np.where(known == 0, GOOD, NONE))
-
-
 def classify(docs: DataFrame, model: Model, column: str = "text", quality: float = 0.5, toxic: float = 0.35) -> DataFrame:
     """All columns, and quality_score, toxic_score, keep (good enough and not toxic)."""
     kept = [f for f in docs.schema.fields if f.name not in {"quality_score", "toxic_score", "keep"}]
