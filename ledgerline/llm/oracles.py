@@ -32,7 +32,7 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def url_filter(rules=urls.RULES, rounds: int = urls.ROUNDS, damping: float = urls.DAMPING, prior: float = urls.PRIOR, threshold: float = urls.THRESHOLD) -> str:
+def url_filter(rules=urls.RULES, rounds: int = urls.ROUNDS, damping: float = urls.DAMPING, threshold: float = urls.THRESHOLD) -> str:
     """Rules, host graph, and as many rounds of the two ranks, written out."""
     rest = "CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,16 +40,18 @@ def url_filter(rules=urls.RULES, rounds: int = urls.ROUNDS, damping: float = url
     cases = lambda value: "CASE " + " ".join(f"WHEN (host = {_literal(r.partition('/')[0])} OR ends_with(host, {_literal('.' + r.partition('/')[0])})) AND starts_with(path, {_literal('/' + r.partition('/')[2])}) THEN {value(a, r)}" for a, r in sorted(rules, key=lambda x: (-len(x[1]), x[1]))) + " END"
     link = f"CASE WHEN contains(x, '://') THEN {host('x')} WHEN starts_with(x, '//') THEN {host(chr(39) + 'http:' + chr(39) + ' || x')} ELSE host END"
     href = _literal(r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""")
-    named = _literal(r"(?i)\b((?:[a-z0-9-]+\.)+(?:com|net|org|edu|gov|info|io))\b")
+    named = _literal(r"(?i)\b((?:[a-z0-9-]+\.)+[a-z][a-z0-9-]+)\b")
     head = f"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, html, {host('url')} AS host, regexp_extract({rest.format(u='url')}, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 p AS (SELECT *, {cases(lambda a, r: _literal(r))} AS rule, {cases(lambda a, r: str(a).lower())} AS allow FROM h),
-l AS (SELECT DISTINCT page_id, host, t AS target FROM (SELECT page_id, host, unnest(list_concat([{link} FOR x IN regexp_extract_all(html, {href}, 1)], [{low('x')} FOR x IN regexp_extract_all(html, {named}, 1)])) AS t FROM p)),
+x AS (SELECT *, row_number() OVER () AS page FROM p),
+l AS (SELECT DISTINCT page, host, t AS target FROM (SELECT page, host, unnest([{link} FOR x IN regexp_extract_all(html, {href}, 1)]) AS t FROM x
+  UNION ALL SELECT page, host, n FROM (SELECT page, host, unnest([{low('x')} FOR x IN regexp_extract_all(html, {named}, 1)]) AS n FROM x) WHERE n IN (SELECT host FROM p))),
 e AS (SELECT host AS source, target, count(*)::DOUBLE AS weight FROM l WHERE target <> '' GROUP BY ALL),
 b AS (SELECT 't' AS kind, source AS a, target AS z, weight FROM e UNION ALL SELECT 'd', target, source, weight FROM e),
 m AS (SELECT kind, a, z, weight / sum(weight) OVER (PARTITION BY kind, a) AS share FROM b),
-s AS (SELECT host, count(*) FILTER (WHERE allow) + {prior} * count(*) FILTER (WHERE allow IS NULL) AS trust, count(*) FILTER (WHERE NOT allow)::DOUBLE AS distrust FROM p GROUP BY host),
+s AS (SELECT host, count(*) FILTER (WHERE allow)::DOUBLE AS trust, count(*) FILTER (WHERE NOT allow)::DOUBLE AS distrust, count(*) AS pages FROM p GROUP BY host),
 n AS (SELECT host, kind, sum(seed) AS seed FROM (SELECT host, 't' AS kind, trust AS seed FROM s UNION ALL SELECT host, 'd', distrust FROM s UNION ALL SELECT z, kind, 0 FROM m) GROUP BY ALL),
 r0 AS (SELECT host, kind, seed AS rank FROM n)"""
     steps = "".join(
@@ -57,8 +59,8 @@ r0 AS (SELECT host, kind, seed AS rank FROM n)"""
         for i in range(rounds)
     )
     return f"""{head}{steps},
-v AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 't'), 0) AS trust, coalesce(sum(rank) FILTER (WHERE kind = 'd'), 0) AS distrust FROM r{rounds} GROUP BY host)
-SELECT page_id, p.host, path, rule, CASE WHEN coalesce(allow, NOT coalesce(distrust > {threshold} * trust, false)) THEN 'allow' ELSE 'block' END AS verdict, round(trust, 6) AS trust, round(distrust, 6) AS distrust
+v AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 't'), 0) AS trust, coalesce(sum(rank) FILTER (WHERE kind = 'd'), 0) AS distrust, max(pages) AS pages FROM r{rounds} JOIN (SELECT host, pages FROM s) USING (host) GROUP BY host)
+SELECT page_id, p.host, path, rule, CASE WHEN coalesce(allow, NOT coalesce(distrust - trust > {threshold} * pages, false)) THEN 'allow' ELSE 'block' END AS verdict, round(trust, 6) AS trust, round(distrust, 6) AS distrust
 FROM p LEFT JOIN v ON v.host = p.host"""
 
 

@@ -1,10 +1,11 @@
 """URL filters: rules on host and path, and link-graph propagation for the rest.
 
-Host graph: a page's links (absolute, protocol-relative, or relative to its own host) and the hosts that it names in
-its text give edges between hosts, weighted by the pages that have them. Trust starts from pages that a rule allows (and, at
-``prior``, from pages that no rule knows) and flows along the links; distrust starts from blocked pages and flows
-against them, to hosts that link to bad ones. Both are personalised PageRanks in units of pages, by joins and sums in
-Spark. A host whose distrust exceeds ``threshold`` times its trust is blocked.
+Host graph: a page's links (absolute, protocol-relative, or relative to its own host), and the hosts with pages that it names in
+its text, give edges between hosts, weighted by the pages that have them. Trust starts from pages that a rule allows
+only, and flows along the links; distrust starts from blocked pages and flows against them, to hosts that link to bad ones. Both are
+personalised PageRanks in units of pages, by joins and sums in Spark; after ``rounds`` rounds what is missing of a rank is at most ``damping ** rounds`` of
+its seeds. A host is blocked where its distrust exceeds its trust by more than ``threshold`` pages for each page that it has; so one that
+neither reaches is allowed.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, and is judged as the host
 '' is; a null html has no links; repeated rows count as often as they occur; an empty table gives an empty table; other
@@ -24,8 +25,7 @@ from ledgerline.llm.common import cut
 RULES = ((True, "com/"), (False, "example.com/en/"), (True, "www.example.com/en/"), (False, "net/es/"), (False, "net/fr/"))
 DAMPING = 0.85
 ROUNDS = 20
-PRIOR = 0.5
-THRESHOLD = 1.0
+THRESHOLD = 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,12 +58,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[bool, str]] = RULE
 
 
 def linked_hosts(html: Column, own: Column) -> Column:
-    """Distinct hosts that a page links to or names."""
-    page = F.coalesce(html, F.lit(""))
-    links = F.regexp_extract_all(page, F.lit(r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
-    to = F.transform(links, lambda x: F.when(F.contains(x, F.lit("://")), host_of(x)).when(F.startswith(x, F.lit("//")), host_of(F.concat(F.lit("http:"), x))).otherwise(own))
-    named = F.transform(F.regexp_extract_all(page, F.lit(r"(?i)\b((?:[a-z0-9-]+\.)+(?:com|net|org|edu|gov|info|io))\b"), 1), lambda x: F.translate(x, _UPPER, _LOWER))
-    return F.array_distinct(F.concat(to, named))
+    """Distinct hosts that a page links to."""
+    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
+    return F.array_distinct(F.transform(links, lambda x: F.when(F.contains(x, F.lit("://")), host_of(x)).when(F.startswith(x, F.lit("//")), host_of(F.concat(F.lit("http:"), x))).otherwise(own)))
+
+
+def named_hosts(html: Column) -> Column:
+    """Distinct names in a page that have the form of a host."""
+    named = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)\b((?:[a-z0-9-]+\.)+[a-z][a-z0-9-]+)\b"), 1)
+    return F.array_distinct(F.transform(named, lambda x: F.translate(x, _UPPER, _LOWER)))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
@@ -88,15 +91,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     return rank.groupBy("host").agg(pick("t").alias("trust"), pick("d").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[bool, str]] = RULES, rounds: int = ROUNDS, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[bool, str]] = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust (of the host) of every page."""
     own = pages.select("page_id", "url", "html").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     own = own.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    parsed = own.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.allow").alias("allow"), linked_hosts(F.col("html"), F.col("host")).alias("links"))
-    links = cut(parsed.groupBy("host", "links").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.when(F.col("allow"), 1).otherwise(0)).alias("good"), F.sum(F.when(~F.col("allow"), 1).otherwise(0)).alias("bad")))
-    edges = links.select(F.col("host").alias("source"), F.explode("links").alias("target"), "pages").filter("target != ''").groupBy("source", "target").agg(F.sum("pages").cast("double").alias("weight"))
-    seeds = links.groupBy("host").agg((F.sum("good") + prior * F.sum(F.col("pages") - F.col("good") - F.col("bad"))).alias("trust"), F.sum("bad").alias("distrust"))
-    scores = propagate(edges, seeds, rounds).withColumn("blocked", F.col("distrust") > threshold * F.col("trust"))
+    parsed = own.select("host", F.col("found.allow").alias("allow"), linked_hosts(F.col("html"), F.col("host")).alias("links"), named_hosts(F.col("html")).alias("named"))
+    parsed = parsed.select("host", "allow", "links", F.array_except("named", "links").alias("named"))
+    links = cut(parsed.groupBy("host", "links", "named").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.when(F.col("allow"), 1).otherwise(0)).alias("good"), F.sum(F.when(~F.col("allow"), 1).otherwise(0)).alias("bad")))
+    hosts = links.groupBy("host").agg(F.sum("good").alias("trust"), F.sum("bad").alias("distrust"), F.sum("pages").alias("pages"))
+    direct = links.select(F.col("host").alias("source"), F.explode("links").alias("target"), "pages").filter("target != ''")
+    # names are summed before they are looked up, so that a name that many pages have is a row a source
+    named = links.select(F.col("host").alias("source"), F.explode("named").alias("target"), "pages").groupBy("source", "target").agg(F.sum("pages").alias("pages")).join(hosts.select(F.col("host").alias("target")), "target", "left_semi").select("source", "target", "pages")
+    edges = direct.unionByName(named).groupBy("source", "target").agg(F.sum("pages").cast("double").alias("weight"))
+    scores = propagate(edges, hosts, rounds).join(hosts.select("host", "pages"), "host").withColumn("blocked", F.col("distrust") - F.col("trust") > threshold * F.col("pages")).drop("pages")
     # the pages again, without their html
     again = own.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.allow").alias("allow"))
     allowed = F.coalesce("allow", ~F.coalesce("blocked", F.lit(False)))
