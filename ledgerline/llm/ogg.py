@@ -4,12 +4,13 @@
 reassembles packets from lacing values (also over pages), separates the logical streams, and derives timestamps from
 granule positions. ``media_column`` adds the stored form to a table; ``read_column`` reads it back.
 
-The stored payload: 8-bit samples in packets of FRAME samples on one logical stream, and on another one a packet of
-captions for each page of samples, interleaved with it.
+The stored payload: 8-bit samples in packets of PACKET samples on one logical stream, which takes four lacing values each; a page holds
+SEGMENTS values, so that a packet goes on on the next page. On another stream is a packet of captions for each page of samples,
+interleaved with it.
 
 Defined results: a null text is empty, and its payload is one frame of spaces; equal texts give equal bytes; bytes that
 aren't Ogg, a wrong checksum, a lost page or an unfinished packet raise ``OggError`` in ``read_ogg``, and are an error
-message with null outputs in ``read_column``; an empty table gives an empty table.
+message with null outputs in ``read_column`` and ``digests``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from pyspark.sql import DataFrame
 from ledgerline.llm.common import arrow_map
 
 FRAME = 192
+PACKET = 5 * FRAME
+#: Lacing values of a page of samples; 255 are possible.
+SEGMENTS = 17
 RATE = 8000
 SAMPLES, CAPTIONS = 1, 2
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -76,18 +80,22 @@ class _Writer:
         return b"".join(out)
 
 
-def write_ogg(payload: bytes, rate: int = RATE, frame: int = FRAME) -> bytes:
-    """The payload as 8-bit samples of one channel in packets of ``frame`` samples, with a caption a page; lossless."""
+def write_ogg(payload: bytes, rate: int = RATE, packet: int = PACKET, segments: int = SEGMENTS) -> bytes:
+    """The payload as 8-bit samples of one channel in packets of ``packet`` samples, ``segments`` lacing values a page, with a caption a page; lossless."""
     samples, captions = _Writer(SAMPLES), _Writer(CAPTIONS)
-    out = [samples.packet(_IDENT.pack(b"samples8", rate, 1, frame), 0, first=True), captions.packet(_IDENT.pack(b"captions", rate, 1, frame), 0, first=True)]
-    lacing, size = _lacing(frame), 255 // len(_lacing(frame)) * frame
-    if not size:
-        raise ValueError("a frame must fit a page")
-    for at in range(0, len(payload), size):
-        body, done = payload[at : at + size], at + size >= len(payload)
-        full, rest = divmod(len(body), frame)
-        out.append(captions.packet(b"page %d" % (at // size), at, last=done))
-        out.append(samples.page(4 if done else 0, at + len(body), lacing * full + (_lacing(rest) if rest else b""), body))
+    out = [samples.packet(_IDENT.pack(b"samples8", rate, 1, packet), 0, first=True), captions.packet(_IDENT.pack(b"captions", rate, 1, packet), 0, first=True)]
+    full, rest = divmod(len(payload), packet)
+    lacing = _lacing(packet) * full + (_lacing(rest) if rest or not full else b"")
+    at, begun, granule = 0, False, 0
+    for i in range(0, len(lacing), segments):
+        part, done = lacing[i : i + segments], i + segments >= len(lacing)
+        stop = at + sum(part)
+        ended = next((j for j in range(len(part), 0, -1) if part[j - 1] < 255), 0)  # after the last packet that ends here
+        if ended:
+            granule = at + sum(part[:ended])
+        out.append(captions.packet(b"page %d" % (i // segments), at, last=done))
+        out.append(samples.page((1 if begun else 0) | (4 if done else 0), granule if ended else -1, part, payload[at:stop]))
+        at, begun = stop, part[-1] == 255
     return b"".join(out)
 
 
@@ -219,7 +227,7 @@ def _read(media: bytes | None) -> tuple[bytes | None, float | None, str | None,
 def digests(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """Store, read back and describe each text in one pass over it, without sending the media through the JVM."""
     kind = df.schema[id_column].dataType.simpleString()
-    names = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "seconds": pa.float64(), "lossless": pa.bool_()}
+    names = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "seconds": pa.float64(), "lossless": pa.bool_(), "error": pa.string()}
 
     def run(part: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         rows = []
@@ -227,12 +235,11 @@ def digests(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> D
             payload = padded(t or b"")
             media = write_ogg(payload)
             samples, seconds, said, error = _read(media)
-            if error:
-                raise OggError(error)
-            rows.append((len(t or b""), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), said, seconds, samples == payload))
+            whole = (None, None, None) if error else (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]))
+            rows.append((len(t or b""), *whole, len(media), hashlib.sha256(media).hexdigest(), said, seconds, samples == payload, error))
         yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(names.values()))], ["id", *names])
 
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, lossless boolean"
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, lossless boolean, error string"
     return arrow_map(df.select(f"`{id_column}`", f"`{column}`"), run, schema, column).withColumnRenamed("id", id_column)
 
 
