@@ -4,10 +4,11 @@ Base patterns (assignments, access keys, hex runs) and, beside them, the method:
 Shannon entropy of a sliding window by incremental counts, against a threshold for the candidate's character class,
 with an allow-list that suppresses known harmless forms.
 
-Classes: ``hex`` candidates hold hex digits only (upper or mixed case; lower-case runs that are long enough are the
-base's), ``base64`` candidates hold letters, digits and ``+/_-``. A candidate must mix letters and digits; a window
-that reaches its class's threshold makes the whole candidate a span of kind ``entropy``. Spans that a base span
-covers wholly aren't repeated.
+A candidate is a whole run of letters, digits and ``+/_-``. Its class: ``hex`` where it has digits and letters and all are hex digits
+(lower-case runs that are long enough are the base's), ``letters`` where it has no digit, ``mixed`` else. A window (all of a shorter
+candidate) that reaches its class's threshold makes the whole candidate a span of kind ``entropy``. As n characters
+have log2(n) bits at most, no candidate shorter than two to the threshold can reach it; any other is looked at. Runs
+without letters are numbers, not candidates. Spans that a base span covers wholly aren't repeated.
 
 Defined results: a null text is empty and has no spans; spans count code points and their ends are exclusive; whole
 texts are scanned at any length; repeated rows scan alike; an empty table gives an empty table.
@@ -25,18 +26,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import arrow_map
+from ledgerline.llm.common import arrow_map, text_bytes
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character in some window, by class; at most log2(WINDOW) = 4.32 can be reached.
-THRESHOLDS = {"hex": 3.0, "base64": 3.7}
-#: Forms that look random and are harmless: UUIDs, dates and times, paths and hyphenated words, plain numbers.
+THRESHOLDS = {"hex": 3.0, "mixed": 3.7, "letters": 4.0}
+_WORD = r"(?:[A-Z]?[a-z]{1,15}(?:[A-Z][a-z]{1,15})*|[A-Z]{1,15})"
+#: Forms that look random and are harmless: UUIDs, dates and times, words (of 16 letters at most, also joined by signs or capitals, with a short number).
 ALLOW = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"\d{4}-\d{2}-\d{2}[T_-]?[\d:.Z+-]*",
-    r"[+/_=-]*(?:[A-Za-z]+[+/_=-]+)*[A-Za-z]*\d{0,4}[+/_=-]*",
-    r"[\d+/_=-]+",
+    rf"[+/_=-]*{_WORD}\d{{0,4}}(?:[+/_=-]+(?:{_WORD}\d{{0,4}}|\d{{1,4}}))*[+/_=-]*",
 )
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -47,6 +48,10 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 _HEXDIGIT = frozenset("0123456789abcdefABCDEF")
+_DIGIT, _LETTER, _NOT_HEX = np.zeros(256, np.int32), np.zeros(256, np.int32), np.ones(256, np.int32)
+_DIGIT[48:58] = 1
+_LETTER[65:91] = _LETTER[97:123] = 1
+_NOT_HEX[[*b"0123456789abcdefABCDEF"]] = 0
 
 Span = tuple[str, int, int]
 
@@ -75,10 +80,12 @@ def window_entropy(s: str, window: int = WINDOW) -> float:
 
 
 def character_class(s: str) -> str | None:
-    """``hex`` or ``base64``; None where letters and digits aren't mixed."""
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+    """``hex``, ``mixed`` or ``letters``; None where there is no letter."""
+    if not any(c.isalpha() for c in s):
         return None
-    return "hex" if _HEXDIGIT.issuperset(s) else "base64"
+    if not any(c.isdigit() for c in s):
+        return "letters"
+    return "hex" if _HEXDIGIT.issuperset(s) else "mixed"
 
 
 def base_spans(text: str) -> list[Span]:
@@ -102,7 +109,7 @@ def entropy_spans(text: str, runs: Iterable[tuple[int, int]], allow: re.Pattern,
     for a, b in runs:
         s = text[a:b]
         kind = character_class(s)
-        if kind and not allow.fullmatch(s) and window_entropy(s, window) >= thresholds[kind]:
+        if kind and not allow.fullmatch(s) and window_entropy(s, window) >= thresholds[kind] - 1e-9:
             out.append(("entropy", a, b))
     return out
 
@@ -120,9 +127,7 @@ class Scanner:
         self.allow = re.compile("|".join(f"(?:{a})" for a in allow))
 
     def candidates(self, texts: pa.Array) -> list[list[tuple[int, int]]]:
-        """Runs of candidate characters of at least a window's length that hold a digit, by text, in code points."""
-        from ledgerline.llm.common import text_bytes
-
+        """Runs of candidate characters that are long enough for their class's threshold, by text, in code points."""
         flat, bounds = text_bytes(texts)
         inside = _CANDIDATE[flat]
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
@@ -131,10 +136,13 @@ class Scanner:
         step = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         cuts = np.unique(np.concatenate([[0], step, bounds]))
         starts, ends = cuts[:-1], cuts[1:]
-        keep = inside[starts] & (ends - starts >= self.window)
+        least = {c: math.ceil(2 ** min(t, math.log2(self.window)) - 1e-9) for c, t in self.thresholds.items()}
+        keep = inside[starts] & (ends - starts >= min(least.values()))
         starts, ends = starts[keep], ends[keep]
-        digits = np.cumsum((flat >= 48) & (flat <= 57), dtype=np.int32)
-        some = digits[ends - 1] - np.where(starts > 0, digits[starts - 1], 0) > 0
+        held = lambda kind: np.add.reduceat(kind[flat], np.stack([starts, ends], 1).ravel()[: 2 * len(starts) - (1 if len(ends) and ends[-1] == len(flat) else 0)])[::2] if len(starts) else np.zeros(0, int)
+        digits, letters, others = held(_DIGIT), held(_LETTER), held(_NOT_HEX)
+        needed = np.where(digits == 0, least["letters"], np.where(others == 0, least["hex"], least["mixed"]))
+        some = (letters > 0) & (ends - starts >= needed)
         starts, ends = starts[some], ends[some]
         rows = np.searchsorted(bounds, starts, side="right") - 1
         for a, b, r in zip(starts.tolist(), ends.tolist(), rows.tolist()):
