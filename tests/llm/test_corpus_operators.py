@@ -79,8 +79,17 @@ def test_long_lists_are_cut_without_losing_the_class(spark):
 
 
 def test_probability_and_repetitions():
-    assert abs(simhash.pass_probability(0.0) - 1) < 1e-12 and simhash.pass_probability(0.5) < simhash.pass_probability(0.1)
-    assert simhash.shape(10)[0] == 1 and simhash.shape(10**7)[0] > simhash.shape(10**5)[0]
+    for strip, weight in ((8, 1), (24, 5)):
+        rng = np.random.default_rng(1)
+        centres = rng.integers(0, 1 << strip, 400_000)
+        for differ in (0, 1, 3):
+            other = (1 << differ) - 1
+            share = ((np.bitwise_count(centres) <= weight) & (np.bitwise_count(centres ^ other) <= weight)).mean()
+            assert abs(share - simhash.both_pass(strip, weight, differ)) < 1e-9 + 5 * (simhash.both_pass(strip, weight, differ) / 400_000) ** 0.5
+    assert simhash.plan_for(10**9).strips > 1 and simhash.plan_for(1000).strips == 1
+    for n in (10, 10**5, 10**8):
+        plan = simhash.plan_for(n)
+        assert 1 - (1 - plan.meeting(simhash.RADIUS)) ** plan.repetitions() >= simhash.RECALL
 
 
 def planted_pairs(spark, n, bits, seed=3):
@@ -102,11 +111,22 @@ def recall_of(prints, links):
     return sum(i in label and label[i] == label.get(j) for i, j in pairs) / len(pairs)
 
 
-@pytest.mark.parametrize("strips,leaf", [(1, 512), (2, 20), (3, 1)])
-def test_recall_at_the_radius_by_brute_force(spark, strips, leaf):
+@pytest.mark.parametrize("plan", [simhash.Plan(64, 21, 245, 1), simhash.Plan(8, 1, 28, 2), simhash.Plan(24, 6, 88, 2)])
+def test_recall_at_the_radius_by_brute_force(spark, plan):
     prints, entries = planted_pairs(spark, 500, simhash.RADIUS)
-    assert simhash.shape(1000, leaf)[0] == strips
-    assert recall_of(prints, simhash.find_links(entries, 1000, leaf=leaf)) > 0.97  # 0.99 less four deviations
+    assert recall_of(prints, simhash.find_links(entries, 1000, plan=plan)) > 0.97  # 0.99 less four deviations
+
+
+def test_recall_of_many_with_two_strips_and_a_crowd(spark):
+    """20,000 fingerprints in pairs of 24 to 26 bits and 10,000 near copies of one, in several strips."""
+    parts = [planted_pairs(spark, 3400, bits, bits)[0] for bits in (24, 25, 26)]
+    rng = np.random.default_rng(9)
+    crowd = np.repeat(np.unpackbits(rng.integers(0, 256, 16, dtype=np.uint8))[None, :], 10_000, 0)
+    flips = rng.integers(0, 128, (10_000, 12))
+    crowd[np.arange(10_000)[:, None], flips] ^= 1
+    prints = np.unique(np.concatenate([*parts, np.packbits(crowd, axis=1).view(np.int64)]), axis=0)
+    entries = spark.createDataFrame([(*map(int, x), i) for i, x in enumerate(prints)], "a bigint, b bigint, node bigint")
+    assert recall_of(prints, simhash.find_links(entries, len(prints), plan=simhash.Plan(24, 6, 88, 2))) > 0.98
 
 
 def test_every_pair_of_a_long_list_is_compared(spark):
@@ -198,14 +218,88 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixed.columns == [*df.columns, "mix_copy", "mix_shard"]
 
 
-def test_mix_small_buckets_give_the_same_words(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+@pytest.mark.parametrize("options", [{}, {"block_words": 30, "edge_words": 40}, {"block_words": 30, "edge_words": 70, "most_blocks": 3}])
+def test_mix_comes_near_targets_however_it_is_cut(spark, options, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 2)
     df = mix_docs(spark, 300)
-    got = mixing.report(df).collect()
+    got = mixing.report(df, **options).collect()
     src = {r["doc_id"]: r["source"] for r in df.collect()}
     for s in set(src.values()):
         own = [r for r in got if src[r["doc_id"]] == s]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 61
+        assert max(r["copies"] for r in own) - min(r["copies"] for r in own if r["size"]) <= 1
+
+
+def test_mix_is_what_the_tree_draws(spark):
+    """The same allocation by brute force: permuted blocks, quotas by the tree, disjoint draws, the edge's largest documents."""
+    df = mix_docs(spark)
+    options = {"block_words": 50, "shards": 5, "edge_words": 400}
+    got = {r["doc_id"]: [int(x) for x in r["shards"].split(",") if x] for r in mixing.report(df, **options).collect()}
+    docs = df.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(mixing.SEED), F.lit(0), "doc_id", F.octet_length("text")).alias("h"), F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("tie"), F.octet_length("text").alias("bytes")).collect()
+    names = sorted({d["source"] for d in docs if d["source"]}) + [None]
+    sizes = [sum(d["size"] for d in docs if d["source"] == n) for n in names]
+    target = mixing.targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+    counts, streams, edges = [], [], []
+    for i, n in enumerate(names):
+        own = [d for d in docs if d["source"] == n]
+        blocks = max(-(-sizes[i] // 50), min(mixing.LEAST_BLOCKS, len(own)))
+        at = lambda d, blocks=blocks: ((d["h"] & (2**64 - 1)) >> 32) * blocks >> 32
+        held = [[d for d in own if at(d) == b] for b in range(blocks)]
+        words = [sum(d["size"] for d in x) for x in held]
+        full = min(int(target[i] // sizes[i]), 3)
+        rest, stream = target[i] - full * sizes[i] if full < 3 else 0, []
+        for lap in range(full + 1):
+            order = np.random.default_rng([mixing.SEED, i, lap]).permutation(blocks).tolist()
+            stream += order if lap < full else []
+        while order and words[order[0]] <= rest:
+            rest -= words[order[0]]
+            stream.append(order.pop(0))
+        edge, total = [], 0
+        while rest > 0 and order and (not edge or total + words[order[0]] <= 400):
+            total += words[order[0]]
+            edge += held[order.pop(0)]
+        chosen = []
+        for d in sorted(edge, key=lambda d: (-d["size"], d["tie"], d["bytes"])):
+            if 0 < d["size"] <= rest:
+                rest -= d["size"]
+                chosen.append(d)
+        counts.append(len(stream) + bool(edge))
+        streams.append([held[b] for b in stream] + ([chosen] if edge else []))
+    quota = mixing.quotas(counts, 5)
+    want = {d["doc_id"]: [] for d in docs}
+    for i, stream in enumerate(streams):
+        shards = [s for s in range(5) for _ in range(quota[s, i])]
+        assert len(shards) == len(stream)
+        for shard, block in zip(shards, stream):
+            for d in block:
+                want[d["doc_id"]] += [shard] * (d["size"] > 0)
+    assert got == want
+
+
+def test_mix_has_a_partition_a_shard(spark):
+    df = mix_docs(spark)
+    mixed = mixing.mix(df, shards=7, block_words=20)
+    parts = mixed.groupBy(F.spark_partition_id().alias("p"), "mix_shard").count().collect()
+    assert mixed.rdd.getNumPartitions() == 7 and sorted(r["p"] for r in parts) == sorted(r["mix_shard"] for r in parts) == list(range(7))
+    words = mixed.groupBy("mix_shard").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()
+    assert max(r["n"] for r in words) < 1.5 * min(r["n"] for r in words)
+
+
+def test_mix_keeps_columns_with_its_own_names(spark):
+    names = ["id", "bytes", "size", "rank", "shards", "copy", "shard", "own", "fate", "mix_id", "mix_words", "mix_shard", "mix_copy"]
+    df = mix_docs(spark, 90).select("*", *[F.col("doc_id").alias(n) for n in names])
+    mixed = mixing.mix(df, shards=2)
+    rows = mixed.collect()
+    assert sorted(mixed.columns) == sorted(df.columns) and len(rows) > 20
+    assert all(r[n] == r["doc_id"] for r in rows for n in names[:-2])
+
+
+def test_mix_of_rows_without_ids(spark):
+    df = mix_docs(spark, 300).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("doc_id")))
+    got = mixing.report(df, block_words=50, edge_words=100)
+    taken = got.groupBy("target", "source_size").agg(F.sum("taken").alias("n")).collect()
+    assert got.count() == 300 and all(abs(r["n"] - r["target"]) < 200 for r in taken)
+    assert mixing.mix(df, block_words=50, edge_words=100).count() == got.agg(F.sum("copies")).first()[0]
 
 
 def test_mix_odd_inputs(odd, empty):
@@ -311,9 +405,28 @@ def test_keys_pack_and_sort():
     for x, y in zip(suffixes._unpack(suffixes._pack(doc, s, n, flag, g, c)), (flag, g, c, doc, s, n)):
         assert (x == y).all()
     keys = [rng.integers(0, 4, 200), rng.integers(0, 4, 200), rng.integers(0, 9, 200)]
-    got = suffixes.multikey_order(keys)
     want = np.lexsort(keys[::-1])
-    assert all((k[got] == k[want]).all() for k in keys)
+    for small in (1, 10, suffixes.SMALL):
+        got = suffixes.multikey_order(keys, small)
+        assert sorted(got.tolist()) == list(range(200)) and all((k[got] == k[want]).all() for k in keys)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_rows_without_ids_and_with_the_same(spark, kind):
+    """Many null ids, ids of several texts, and the same row again, beside rows that have nothing to do with them."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    word = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    alone = word(300)
+    given = [(1, alone), *((None, t) for t in (passage, word(120), passage[:150] + word(9), "", None, passage, "short")), (5, word(20)), (5, passage[40:] + word(70)), (5, word(20)), (7, passage), (7, passage), (7, "short"), (7, "short"), (9, alone[50:])]
+    key = lambda r: (r[0] is not None, str(r[0]), hashlib.sha1((r[1] or "").encode()).hexdigest())
+    ranked = sorted(given, key=key)
+    want = Counter((ranked[i][0] if kind == "bigint" or ranked[i][0] is None else str(ranked[i][0]), *w) for i, w in brute_repeats([(i, t) for i, (_, t) in enumerate(ranked)]).items())
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], DOCS).withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+    for again in (df, df.coalesce(1)):
+        assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.digests(again).collect()) == want
+    kept = Counter((r["doc_id"], hashlib.sha256(bytes(r["kept"])).hexdigest(), sum(s["stop"] - s["start"] for s in r["spans"])) for r in suffixes.dedup(df).collect())
+    assert kept == Counter((i, k, n) for (i, _, n, _, k), c in want.items() for _ in range(c))
 
 
 def test_suffixes_odd_inputs(odd, empty):
