@@ -53,8 +53,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder, read again, and deleted once the next one is there; the last of these stays, as the result reads it."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
@@ -63,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}_{name}")
             docs = spark.read.parquet(f"{folder}/{i}_{name}")
+            if i:
+                _drop(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
     return docs

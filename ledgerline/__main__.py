@@ -1,19 +1,24 @@
-"""python -m ledgerline COMMAND: validate, infer, diff, gate, log, quarantine."""
+"""python -m ledgerline COMMAND: validate, infer, diff, gate, log, quarantine, baselines, remedy, report, models, batch, history."""
 
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
+import os
 import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import checks, evolve, infer, profile, report, textchecks
-from ledgerline.plans import documents
-from ledgerline.plans.contract import Contract
-from ledgerline.sources import readers, sinks
+from ledgerline.functions import exprs as X
+from ledgerline.functions.lineage import cut
+from ledgerline.operators import ai, checks, drift, evolve, flatten, infer, profile, report, textchecks, validation
+from ledgerline.operators import rules as rulebook
+from ledgerline.plans import batch, documents, runlog
+from ledgerline.plans.contract import Config, Contract, Registry
+from ledgerline.sources import files, readers, sinks
 
 
 def _tables(spark: SparkSession, pairs: list[str]) -> dict[str, DataFrame]:
@@ -25,28 +30,62 @@ def _tables(spark: SparkSession, pairs: list[str]) -> dict[str, DataFrame]:
     return out
 
 
+def _now(a: argparse.Namespace) -> str:
+    return a.now or datetime.datetime.now(datetime.UTC).isoformat()
+
+
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Check tables against a contract; the exit code is the mode's."""
+    """Check tables against a contract, with drift against baselines and freshness where given; the exit code is the mode's. The enforcement's mode goes before the command line's."""
     doc = readers.settings(a.contract)
+    if not doc:
+        raise ValueError(f"{a.contract} has no contract")
     contract, rules = documents.from_document(doc), documents.enforcement_of(doc, readers.settings(a.registry) if a.registry else {})
-    results = checks.validate(_tables(spark, a.tables), contract, rules).cache()
-    if a.log:
-        sinks.append_log(results, a.log, contract.id, str(uuid.uuid4()), a.now)
-    t = checks.tally(results).first().asDict()
-    print(json.dumps(t | report.health(results).first().asDict()))
-    return t[f"exit_{(a.mode or rules.mode or contract.mode).lower()}"]
+    fresh = (doc.get("sla") or {}).get("freshness") or {}
+    aged = validation.Freshness(fresh["table"], fresh["column"], _now(a)) if fresh else None
+    baselines = spark.read.parquet(a.baselines) if a.baselines and files.exists(spark, a.baselines) else None
+    tables = _tables(spark, a.tables)
+    run_id = str(uuid.uuid4())
+    with runlog.span(spark, f"validate {contract.id}", run_id=run_id):
+        run = validation.validate(tables, contract, rules, baselines, aged, Config.from_env(), a.mode)
+        results = cut(run.results)  # now, as a baseline that it reads may be replaced
+        if a.log and not a.dry_run:
+            violations = results.withColumn("violation_id", X.uuid5(F.concat_ws(":", F.lit(contract.id), F.lit(run_id), "check_id")))
+            sinks.append_log(violations, a.log, contract.id, run_id, _now(a))
+        if a.report and not a.dry_run:
+            previous = readers.previous_snapshot(a.snapshots) if a.snapshots else None
+            versions = [documents.clauses(spark, documents.from_document(d)) if d else None for d in (previous, doc)]
+            sinks.document(validation.report(validation.Run(results, run.stats, run.mode), contract, run_id, _now(a), validation.samples(tables, contract, results), *versions), a.report)
+        if a.baselines and not a.dry_run:
+            sinks.baselines(run.stats, a.baselines, a.promote)
+        t = checks.tally(results).first().asDict()
+        print(json.dumps(t | {"mode": run.mode} | report.health(results).first().asDict()))
+    return validation.exit_code(results, run.mode)
 
 
 def infer_contract(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Write the contract and dbt schema that tables suggest."""
-    found = []
+    """Write the contract that tables suggest, with quality rules and who reads it, a dbt schema a table, and a snapshot."""
+    found, rules = [], []
     for name, df in _tables(spark, a.tables).items():
-        clauses = infer.clauses(profile.profile(df), dict(df.dtypes))
-        enums = {r["column_name"]: tuple(v["value"] for v in profile.sample_values(df, r["column_name"]).collect()) for r in clauses.filter("is_enum").collect()}
+        profiled = profile.profile(df).cache()
+        kinds = dict(df.dtypes)
+        clauses = infer.clauses(profiled, kinds)
+        few = [r["column_name"] for r in profiled.filter(F.col("cardinality") <= rulebook.FEW_VALUES).collect() if kinds[r["column_name"]] == "string"]
+        values = {c: tuple(v["value"] for v in profile.sample_values(df, c).collect()) for c in few}
+        enums = {r["column_name"]: values.get(r["column_name"], ()) for r in clauses.filter("is_enum").collect()}
         found.append(infer.table_contract(name, clauses, enums))
-    sinks.document(documents.to_document(Contract(a.id, tuple(found))), a.out)
+        rows = profiled.orderBy("column_name").collect()  # a row a column
+        rules += rulebook.rules_of(name, [r.asDict() for r in rows], kinds, values, max((r["rows"] for r in rows), default=0))
+    nodes = readers.lineage(spark, a.lineage)[1] if a.lineage else spark.createDataFrame([], "source string, target string, relationship string, confidence double")
+    subs = readers.subscriptions(spark, readers.registry(a.registry) if a.registry else Registry())
+    consumers = [r.asDict() for r in infer.consumers(spark, nodes, subs, a.id).orderBy("id").collect()]
+    lineage = readers.lineage_sample(spark, a.lineage) if a.lineage else []
+    doc = infer.assemble(documents.to_document(Contract(a.id, tuple(found))), rules, consumers, " ".join(a.tables), len(found), _now(a), lineage=lineage)
+    sinks.document(doc, a.out)
     for t in found:
         sinks.document(infer.dbt_schema(t), f"{a.out}.{t.name}_dbt.yml")
+    if a.snapshots:
+        stamp = datetime.datetime.now(datetime.UTC).strftime("%Y%m%d_%H%M%S_%f")
+        sinks.document(doc, os.path.join(a.snapshots, a.id, f"{stamp}.yaml"))
     return 0
 
 
@@ -65,8 +104,17 @@ def diff(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def gate(spark: SparkSession, a: argparse.Namespace) -> int:
-    """1 where the new version breaks a subscriber."""
-    got = evolve.gate(*_pair(spark, a), readers.subscriptions(spark, readers.registry(a.registry))).first()
+    """1 where the new version breaks a subscriber. Versions are files, or, with --ref, one file now and as it was at a revision; one that wasn't there breaks nobody."""
+    if a.ref:
+        before = readers.git_show(os.path.dirname(os.path.abspath(a.old)), a.ref, f"./{os.path.basename(a.old)}")
+        if before is None:
+            print(json.dumps({"decision": "PASS", "reason": f"not at {a.ref}"}))
+            return 0
+        docs = [readers.parsed(before), readers.settings(a.old)]
+    else:
+        docs = [readers.settings(p) for p in (a.old, a.new)]
+    old, new = (documents.clauses(spark, documents.from_document(d)) for d in docs)
+    got = evolve.gate(old, new, readers.subscriptions(spark, readers.registry(a.registry))).first()
     print(json.dumps(got.asDict()))
     return int(got["decision"] == "BLOCK")
 
@@ -78,6 +126,95 @@ def log(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def baselines(spark: SparkSession, a: argparse.Namespace) -> int:
+    """List the baselines; clear a contract's or all; or promote what a report measured."""
+    rows = spark.read.parquet(a.path)
+    if a.clear is not None:
+        sinks.replace(drift.cleared(rows, None if a.clear == "all" else a.clear), a.path)
+        return 0
+    for r in rows.orderBy("key", "column_name").collect():  # a row a column of a contract
+        print(json.dumps(r.asDict()))
+    return 0
+
+
+def _results(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The results of report files, each with its contract."""
+    rows = [(doc["contract_id"], *(r.get(c) for c in validation.COLUMNS)) for doc in map(readers.settings, paths) for r in doc.get("results") or []]
+    kinds = ", ".join(f"{c} {'bigint' if c == 'records_failing' else 'string'}" for c in validation.COLUMNS)
+    return spark.createDataFrame(rows, f"contract_id string, {kinds}")
+
+
+def remedy(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Write what to do about the results of a report that aren't PASS: Markdown, YAML or JSON, by the output's ending."""
+    doc = readers.settings(a.report)
+    plan = report.remediation_plan(_results(spark, [a.report]), report.steps(spark, readers.settings(a.rules) if a.rules else None), doc.get("contract_id", "unknown"))
+    if a.out.endswith((".json", ".yml", ".yaml")):
+        sinks.document(plan, a.out)
+    else:
+        sinks.text(report.render_plan(plan), a.out)
+    return 0
+
+
+def make_report(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Write a report of validations, model checks, the difference of two versions and a log: a document, or Markdown."""
+    model = readers.optional_json(a.models)
+    known = {f.split(" ")[0] for f in ai.ROW.split(", ")}
+    checks_ = spark.createDataFrame([tuple(c.get(k.split(" ")[0]) for k in ai.ROW.split(", ")) for c in model["checks"]], ai.ROW) if model and known else None
+    changes = evolve.diff(*_pair(spark, a)) if a.old and a.new else None
+    log_ = spark.read.parquet(a.log) if a.log and files.exists(spark, a.log) else None
+    failures = evolve.consumer_failures(changes, readers.subscriptions(spark, readers.registry(a.registry))) if changes is not None and a.registry else None
+    sources = report.manifest({"validation_reports": a.reports, "models": a.models, "versions": [a.old, a.new], "violation_log": a.log}, log_)
+    doc = report.document(_results(spark, a.reports), _now(a), a.version, checks_, changes, failures, log_, Config.from_env().critical_penalty, sources)
+    if a.out.endswith((".json", ".yml", ".yaml")):
+        sinks.document(doc, a.out)
+    else:
+        sinks.text(report.render(doc), a.out)
+    return 0
+
+
+def models(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Check what models read and write: facts' texts against the stored baseline, inputs against their schema, answers' violations; 1 where a check fails."""
+    records = spark.read.text(a.extractions).filter("trim(value) <> ''")
+    facts = flatten.facts(readers.jsonl(spark, a.extractions, flatten.EXTRACTION))
+    answers = readers.variants(spark, a.answers).withColumn("ord", F.monotonically_increasing_id())
+    required = readers.settings(a.schema) if a.schema else {"doc_id": "string", "source_path": "string", "extraction_model": "string"}
+    found = ai.run_all(ai.Inputs(facts, "text", records, "value", required, answers, "v", ["ord"], a.baseline), Config.from_env())
+    doc = ai.document(found, _now(a))
+    if a.out:
+        sinks.document(doc, a.out)
+    print(json.dumps(doc["summary"]))
+    return ai.exit_code(doc)
+
+
+def run_manifest(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Run the validations of a manifest; 1 where one doesn't end with 0."""
+    entries, workers = readers.manifest(a.manifest)
+
+    def one(session: SparkSession, e: dict) -> int:
+        pairs = e["data"] if isinstance(e["data"], list) else [e["data"]]
+        argv = ["validate", e["contract"], *pairs, "--mode", e["mode"], "--report", e["output"], *(["--baselines", a.baselines] if a.baselines else []), *(["--promote"] if e["promote_baselines"] else [])]
+        return validate(session, parser().parse_args(argv))
+
+    outcomes = batch.run_batch(spark, batch.jobs_of(entries, one), a.workers or workers, a.fail_fast)
+    doc = batch.document(outcomes)
+    if a.out:
+        sinks.document(doc, a.out)
+    print(json.dumps(doc))
+    return int(any(o.code for o in outcomes))
+
+
+def history(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Compare the last two snapshots of a folder, or the first since a time and the last; 1 if anything breaks, 2 where there aren't two."""
+    pair = readers.two_snapshots(a.folder, a.since)
+    if pair is None:
+        print("there aren't two snapshots", file=sys.stderr)
+        return 2
+    changes = evolve.diff(*(documents.clauses(spark, documents.from_document(d)) for d in pair)).cache()
+    for r in changes.orderBy("table_name", "field", "change").collect():
+        print(json.dumps(r.asDict()))
+    return int(not changes.filter("breaking").isEmpty())
+
+
 def quarantine(spark: SparkSession, a: argparse.Namespace) -> int:
     """Print the errors of a quarantine; write what only has allowed ones; or archive it."""
     rows = spark.read.json(a.path)
@@ -86,7 +223,7 @@ def quarantine(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.out:
         sinks.jsonl(textchecks.requeue(rows, a.allow).drop("schema_errors", "quarantined_at"), a.out)
     if a.archive:
-        print(sinks.archive(a.path))
+        print(sinks.archive(spark, a.path))
     return 0
 
 
@@ -102,18 +239,28 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(*flags, **options)
 
     tables = (("tables",), {"nargs": "+", "metavar": "NAME=PATH"})
-    add("validate", validate, (("contract",), {}), tables, (("--registry",), {}), (("--log",), {}), (("--mode",), {"choices": ["AUDIT", "WARN", "ENFORCE"]}), (("--now",), {"default": ""}))
-    add("infer", infer_contract, (("id",), {}), (("out",), {}), tables)
-    add("diff", diff, (("old",), {}), (("new",), {}))
-    add("gate", gate, (("old",), {}), (("new",), {}), (("registry",), {}))
-    add("log", log, (("path",), {}), (("--most",), {"type": int, "default": 5}))
-    add("quarantine", quarantine, (("path",), {}), (("key",), {}), (("--allow",), {"nargs": "*", "default": []}), (("--out",), {}), (("--archive",), {"action": "store_true"}), (("--most",), {"type": int, "default": 20}))
+    flag = lambda name, **o: ((name,), o)
+    yes = {"action": "store_true"}
+    now, registry_ = flag("--now", default=""), flag("--registry")
+    add("validate", validate, flag("contract"), tables, registry_, flag("--log"), flag("--mode", choices=list(readers.MODES)), now, flag("--baselines"), flag("--promote", **yes), flag("--dry-run", **yes), flag("--report"), flag("--snapshots"))
+    add("infer", infer_contract, flag("id"), flag("out"), tables, registry_, flag("--lineage"), flag("--snapshots"), now)
+    add("diff", diff, flag("old"), flag("new"))
+    add("gate", gate, flag("old"), flag("new"), flag("registry"), flag("--ref"))
+    add("log", log, flag("path"), flag("--most", type=int, default=5))
+    add("quarantine", quarantine, flag("path"), flag("key"), flag("--allow", nargs="*", default=[]), flag("--out"), flag("--archive", **yes), flag("--most", type=int, default=20))
+    add("baselines", baselines, flag("path"), flag("--clear"))
+    add("remedy", remedy, flag("report"), flag("out"), flag("--rules"))
+    add("report", make_report, flag("out"), flag("reports", nargs="+"), flag("--models"), flag("--old"), flag("--new"), registry_, flag("--log"), flag("--version", choices=["1.0", "2.0"], default="2.0"), now)
+    add("models", models, flag("extractions"), flag("answers"), flag("baseline"), flag("--schema"), flag("--out"), now)
+    add("batch", run_manifest, flag("manifest"), flag("--baselines"), flag("--workers", type=int), flag("--fail-fast", **yes), flag("--out"))
+    add("history", history, flag("folder"), flag("--since"))
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Run a command; 2 on an error."""
     a = parser().parse_args(argv)
+    runlog.configure(str(uuid.uuid4()))
     spark = spark or SparkSession.builder.appName("ledgerline").getOrCreate()
     try:
         return a.run(spark, a)

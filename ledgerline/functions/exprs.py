@@ -66,8 +66,42 @@ def dotted_version(c: Column) -> Column:
 
 
 def title(c: Column) -> Column:
-    """Words of a dashed or underscored name, capitalised and joined."""
-    return F.regexp_replace(F.initcap(F.regexp_replace(c, r"[_-]+", " ")), " ", "")
+    """A capital after everything that isn't a letter, and small letters else."""
+    return F.regexp_replace(F.initcap(F.regexp_replace(c, r"([^A-Za-z])", "$1 ")), r"([^A-Za-z]) ", "$1")
+
+
+def iso_utc(seconds: Column) -> Column:
+    """Seconds since 1970 as an ISO 8601 time in UTC, with a fraction only where there is one; null is now."""
+    micros = F.bround(F.coalesce(seconds.cast("double"), F.current_timestamp().cast("double")) * 1_000_000).cast("long")
+    at = F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.pmod(micros, F.lit(1_000_000)) > 0, F.date_format(at, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+
+
+def unit_interval(value: Column, name: str) -> Column:
+    """A variant that must be a number within 0 and 1; true and false are none. Anything else but null is an error."""
+    number = F.try_variant_get(value, "$", "double")
+    fits = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & number.between(0.0, 1.0)
+    return F.when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("double")).when(fits, number).otherwise(F.raise_error(F.concat(F.lit(f"{name} must be a number within 0 and 1, not "), F.to_json(value))).cast("double"))
+
+
+def slashes(c: Column) -> Column:
+    """A path without blanks around it, with forward slashes; null is empty."""
+    return F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("\\"), F.lit("/"))
+
+
+def relative(c: Column, root: str | None) -> Column:
+    """A path relative to a root that it lies under."""
+    path = slashes(c)
+    if not root:
+        return path
+    head = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(head)), F.substr(path, F.lit(len(head) + 1))).otherwise(path)
+
+
+def stem(path: Column) -> Column:
+    """A file's name without its last ending."""
+    name = F.substring_index(path, "/", -1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
 def scrub(entries: Column) -> Column:

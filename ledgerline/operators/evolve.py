@@ -76,12 +76,18 @@ def gate(old: DataFrame, new: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return hit.agg(F.count_distinct("subscriber_id").alias("broken_subscribers"), F.count(F.lit(1)).alias("broken_fields")).withColumn("decision", F.when(F.col("broken_fields") > 0, "BLOCK").otherwise("PASS"))
 
 
-def consumer_failures(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Each breaking change with the subscribers whose breaking field it is (equal, or the path's end); none: an unregistered risk."""
-    path = F.concat_ws(".", "table_name", "field")
-    c = changes.filter("breaking and field is not null").withColumn("path", path)
-    ends = c.withColumn("key", F.explode(F.array_distinct(F.array("path", "field"))))  # an equal path or its last part: an equi-join
-    b = breaking_fields(subscriptions).withColumnRenamed("field", "key")
-    found = ends.join(b, "key", "left").groupBy("table_name", "field", "change").agg(F.count_distinct("subscriber_id").alias("subscribers"), F.min("subscriber_id").alias("first_subscriber"))
+def consumer_failures(changes: DataFrame, subscriptions: DataFrame, contract_id: str | None = None) -> DataFrame:
+    """Each breaking change with the subscribers whose breaking field it is: its whole path, or a longer path that ends in the field; none: an unregistered risk.
+
+    With a contract, only those who subscribe to it (source or source_contract holds its id). Ends of paths are keys, so that this is an equi-join.
+    """
+    if contract_id is not None:
+        subscriptions = subscriptions.filter(F.contains(F.coalesce("source_contract", "source", F.lit("")), F.lit(contract_id)) | F.contains(F.coalesce("source", F.lit("")), F.lit(contract_id)))
+    c = changes.filter("breaking and field is not null").withColumn("key", F.explode(F.array(F.concat(F.lit("="), F.concat_ws(".", "table_name", "field")), F.concat(F.lit("."), F.col("field")))))
+    parts = F.split("field", r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+    keys = F.concat(F.array(F.concat(F.lit("="), F.col("field"))), F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<string>")))
+    b = breaking_fields(subscriptions).select("subscriber_id", F.explode(keys).alias("key"))
+    found = c.join(b, "key", "left").groupBy("table_name", "field", "change").agg(F.count_distinct("subscriber_id").alias("subscribers"), F.min("subscriber_id").alias("first_subscriber"))
     mode = F.when(F.contains("change", F.lit("removed")), "missing column").when(F.startswith("change", F.lit("type")), "cast error").otherwise("rejected values")
     return found.select("table_name", "field", "change", "subscribers", "first_subscriber", (F.col("subscribers") == 0).alias("unregistered_risk"), mode.alias("failure_mode"))

@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs as X
-
-#: Names that are broadcast, at most.
-FEW = 10_000
-
+from ledgerline.functions.lineage import cut
 
 #: Levels after which those found are joined to one table.
 LEVELS = 16
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage, in the checkpoint folder where one is named."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, depth): the fewest steps from any start, however many; a start that a cycle leads back to is included. Edges source, target.
 
     Level by level: each step is one join of the new nodes, so a cycle ends where nothing is new.
     """
-    edges = _cut(edges.select("source", "target").distinct())
+    edges = cut(edges.select("source", "target").distinct())
     found = None
     front = start.select(F.col("node"))
     depth = 0
@@ -34,12 +26,12 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
         step = front.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         if found is not None:
             step = step.join(found.select("node"), "node", "left_anti")
-        step = _cut(step.withColumn("depth", F.lit(depth)))
+        step = cut(step.withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
         if depth % LEVELS == 0:
-            found = _cut(found)
+            found = cut(found)
         front = step.select("node")
     return found if found is not None else start.select("node", F.lit(0).alias("depth")).filter(F.lit(False))
 
@@ -49,16 +41,33 @@ def direct(subscriptions: DataFrame, source: str) -> DataFrame:
     return subscriptions.filter((F.col("source") == source) | (F.col("source_contract") == source))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct strings of one to three characters in a text."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(of, (1, 2, 3))))
+
+
 def lineage_matches(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """Nodes whose label or path holds a name, in either case, once each; nodes node_id, label, path; names name.
 
-    A substring is no equality, so this compares all names with every node; up to FEW names are broadcast.
+    A name is looked for where the rarest of its strings of three characters is (all of a shorter name), by an equi-join; so no name meets every node.
     """
-    names = names.filter("name <> ''").distinct()
-    names = F.broadcast(names) if names.limit(FEW + 1).count() <= FEW else names
-    n = F.lower("name")
-    hit = F.contains(F.lower(F.coalesce("label", F.lit(""))), n) | F.contains(F.lower(F.coalesce("path", F.lit(""))), n)
-    return nodes.join(names, hit).dropDuplicates(["node_id", "path"]).select("node_id", "label", "path")
+    n = names.select(F.lower("name").alias("name")).filter("name <> ''").distinct()
+    own = nodes.select("node_id", "label", "path", F.lower(F.coalesce("label", F.lit(""))).alias("_l"), F.lower(F.coalesce("path", F.lit(""))).alias("_p"))
+    at = own.withColumn("gram", F.explode(F.array_distinct(F.concat(_grams(F.col("_l")), _grams(F.col("_p"))))))
+    often = at.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    longest = F.filter(_grams(F.col("name")), lambda g: F.length(g) == F.least(F.length("name"), F.lit(3)))
+    asked = n.withColumn("gram", F.explode(longest)).join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    key = asked.groupBy("name").agg(F.min(F.struct("n", "gram")).alias("k")).filter("k.n > 0").select("name", F.col("k.gram").alias("gram"))  # a gram that no node has: no match
+    hit = at.join(key, "gram").filter(F.contains("_l", F.col("name")) | F.contains("_p", F.col("name")))
+    return hit.dropDuplicates(["node_id", "path"]).select("node_id", "label", "path")
+
+
+def catalog_status(contracts: DataFrame, contract_id: str) -> tuple[str, str | None]:
+    """(status, where its data are) of a contract in a catalog (id, status, data_path); unknown where it isn't in it."""
+    row = contracts.filter(F.col("id") == contract_id).select("status", "data_path").first()
+    return (row["status"] or "unknown", row["data_path"]) if row else ("unknown", None)
 
 
 def blame(commits: DataFrame, now: str, hops: int = 0, most: int = 5) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.rules import NO_UUID, QualityRule
 from ledgerline.plans.contract import Config, Field, Table
 
 
@@ -20,13 +21,14 @@ def clauses(profile: DataFrame, kinds: Mapping[str, str], config: Config = Confi
     """column_name, logical_type, required, format, is_enum, minimum, maximum, note from profile rows."""
     types = F.create_map(*[F.lit(x) for c, k in kinds.items() for x in (c, logical_type(k))])
     name, kind = F.col("column_name"), types[F.col("column_name")]
+    named_id = F.endswith(name, F.lit("_id")) & ~name.isin(*sorted(NO_UUID))
     id_like, at_like, ref_like = F.endswith(name, F.lit("_id")), F.endswith(name, F.lit("_at")), F.endswith(name, F.lit("_ref"))
     confident = (kind == "number") & F.contains(name, F.lit("confidence"))
     return profile.select(
         name,
         kind.alias("logical_type"),
         (F.col("null_fraction") == 0).alias("required"),
-        F.when(id_like & (kind == "string"), "uuid").when(at_like, "date-time").alias("format"),
+        F.when(named_id & (kind == "string"), "uuid").when(at_like, "date-time").alias("format"),
         ((F.col("cardinality") <= config.enum_limit) & (kind == "string") & ~id_like & ~F.endswith(name, F.lit("_json"))).alias("is_enum"),
         F.when(confident, 0.0).when(ref_like, 1.0).when(F.col("min_value") >= 0, 0.0).alias("minimum"),
         F.when(confident, 1.0).alias("maximum"),
@@ -67,6 +69,27 @@ def dbt_schema(table: Table) -> dict:
     return {"version": 2, "models": [{"name": table.name, "columns": columns}]}
 
 
+def source_description(contract_id: str, known: Mapping[str, str] = {}) -> str:
+    """What a contract's source is: the text of the first part that its id holds, in any case."""
+    return next((text for part, text in known.items() if part.lower() in contract_id.lower()), "profiled records")
+
+
+def consumers(spark: SparkSession, edges: DataFrame, subscriptions: DataFrame, contract_id: str, label: str = "") -> DataFrame:
+    """(id, relationship, confidence) of who reads a contract's data: targets of lineage edges, each once, then subscribers that aren't among them."""
+    from_edges = edges.filter("target is not null and target <> ''").groupBy("target").agg(F.min_by(F.struct("relationship", "confidence"), F.col("relationship")).alias("e")).select(F.col("target").alias("id"), F.coalesce("e.relationship", F.lit("downstream")).alias("relationship"), F.col("e.confidence").alias("confidence"))
+    own = (F.col("source_contract") == contract_id) | (F.contains(F.lit(label), F.col("source")) if label else F.lit(False))
+    subscribed = subscriptions.filter(own & F.col("target").isNotNull() & (F.col("target") != "")).select(F.col("target").alias("id")).distinct().join(from_edges.select("id"), "id", "left_anti")
+    return from_edges.unionByName(subscribed.select("id", F.lit("registered_subscriber").alias("relationship"), F.lit(None).cast("double").alias("confidence")))
+
+
+def assemble(contract: dict, rules: Sequence[QualityRule], readers: Sequence[Mapping], source: str, records: int, at: str, known: Mapping[str, str] = {}, lineage: Sequence[Mapping] = (), most_ports: int = 3) -> dict:
+    """A contract's document with its quality rules, where its data come from and go to, and who reads them."""
+    ports = [{"uri": source, "description": source_description(contract["id"], known), "records": records, "captured_at": at}]
+    ports += [{"uri": r.get("codebase_root") or r.get("snapshot_id") or "unknown", "description": "lineage", "captured_at": r.get("captured_at") or at} for r in list(lineage)[:most_ports]]
+    quality = [{"name": r.name, "dimension": r.dimension, "severity": r.severity, "query": r.sql, "must_be": 0} for r in rules]
+    return contract | {"version": "1.0.0", "generated_at": at, "quality": quality, "lineage": {"inputs": ports, "outputs": [{"uri": f"{contract['id']}.yaml"}, {"uri": f"{contract['id']}_dbt.yml"}]}, "consumers": [dict(r) for r in readers]}
+
+
 def ambiguous(profile: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     """Text columns with many values whose names say nothing, with a stated fallback description."""
     strings = [c for c, k in kinds.items() if logical_type(k) == "string"]

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.lineage import cut
 from ledgerline.plans.contract import Config
 
 
@@ -76,23 +77,42 @@ def requeue(quarantined: DataFrame, allowed: Sequence[str]) -> DataFrame:
     return quarantined.filter(F.size(F.array_except("schema_errors", F.array(*map(F.lit, allowed)).cast("array<string>"))) == 0)
 
 
-def verdict_faults(verdict: Column) -> Column:
-    """Kinds of violation of a model's verdict (JSON text): missing_verdict, not_an_object, missing_field (the first one), bad_confidence."""
-    v = F.try_parse_json(verdict)
+PARTS = ("decision", "confidence", "reasoning")
+
+
+def verdict_faults(record: Column) -> Column:
+    """Kinds of violation of a model's answer (a variant) by its field ``verdict``.
+
+    None, or null: missing_verdict. An object: missing_<the first of its parts that it lacks>; confidence_out_of_range, or
+    confidence_type_mismatch where it is there and no number (true and false pass as numbers). A text: unparseable_json, or
+    invalid_json_structure where it is JSON and no object; an object in a text is fine as it is. Anything else: unexpected_type.
+    """
+    v = F.try_variant_get(record, "$.verdict", "variant")
     shape = F.schema_of_variant(v)
-    has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
-    confidence = F.try_variant_get(v, "$.confidence", "double")
-    wrong = has("confidence") & (confidence.isNull() | (confidence < 0) | (confidence > 1))
-    is_object = F.startswith(shape, F.lit("OBJECT"))
+    part = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    lacking = F.coalesce(*[F.when(part(k).isNull(), F.lit(f"missing_{k}")) for k in PARTS])
+    confidence = part("confidence")
+    there = confidence.isNotNull() & ~F.is_variant_null(confidence)
+    numeric = F.schema_of_variant(confidence).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
+    number = F.coalesce(F.try_variant_get(confidence, "$", "double"), F.try_variant_get(confidence, "$", "boolean").cast("double"))
+    odd = F.when(there & numeric & ~F.coalesce(number.between(0.0, 1.0), F.lit(False)), "confidence_out_of_range").when(there & ~numeric, "confidence_type_mismatch")
+    parsed = F.try_parse_json(F.try_variant_get(v, "$", "string"))
+    text = F.when(parsed.isNull(), F.array(F.lit("unparseable_json"))).when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.array(F.lit("invalid_json_structure"))).otherwise(F.array().cast("array<string>"))
     return (
-        F.when(verdict.isNull(), F.array(F.lit("missing_verdict")))
-        .when(v.isNull() | ~is_object, F.array(F.lit("not_an_object")))
-        .otherwise(F.array_compact(F.array(F.when(~(has("decision") & has("confidence") & has("reasoning")), F.lit("missing_field")), F.when(wrong, F.lit("bad_confidence")))))
+        F.when(v.isNull() | F.is_variant_null(v), F.array(F.lit("missing_verdict")))
+        .when(F.startswith(shape, F.lit("OBJECT")), F.array_compact(F.array(lacking, odd)))
+        .when(shape == "STRING", text)
+        .otherwise(F.array(F.lit("unexpected_type")))
     )
 
 
+def violation_breakdown(faults: DataFrame, column: str) -> DataFrame:
+    """(violation, records): how many records have each kind."""
+    return faults.select(F.explode(column).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("records"))
+
+
 def violation_trend(df: DataFrame, bad: str, order: Sequence[str], config: Config = Config()) -> DataFrame:
-    """One row: rate of bad rows, its status, and whether the later half (by ``order``) has more of them.
+    """One row: rate of bad rows, its status, and whether the later half (by ``order``) has more of them; no rows are an ERROR.
 
     Rows are numbered by a count per range of the order and a sum over ranges, not by one window over all.
     """
@@ -101,17 +121,17 @@ def violation_trend(df: DataFrame, bad: str, order: Sequence[str], config: Confi
     half = total // 2
     got = rank.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("bad"), F.lit(0)).alias("violations"), F.avg(F.when(F.col("n") <= half, F.col("bad"))).alias("a"), F.avg(F.when(F.col("n") > half, F.col("bad"))).alias("b"))
     rate = F.coalesce(F.col("violations") / F.when(F.col("records") > 0, F.col("records")), F.lit(0.0))
-    move = F.coalesce(F.col("b") - F.col("a"), F.lit(0.0))
+    move = F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))
     trend = F.when(move > config.llm_trend_delta, "increasing").when(move < -config.llm_trend_delta, "decreasing").otherwise("stable")
-    status = F.when(rate == 0, "PASS").when(rate < config.llm_violation_rate, "WARN").otherwise("FAIL")
+    status = F.when(F.col("records") == 0, "ERROR").when(rate == 0, "PASS").when(rate < config.llm_violation_rate, "WARN").otherwise("FAIL")
     return got.select("records", "violations", F.round(rate, 6).alias("rate"), status.alias("status"), trend.alias("trend"), (rate > config.llm_violation_rate).alias("logged"))
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Number all rows from 1 by ``order``, in ranges that are sorted apart: no task gets all rows."""
+    """Number all rows from 1 by ``order``, in ranges that are sorted apart: no task gets all rows. The ranges are written, so that both who count and who number see the same."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(parts, *order)).withColumn("_part", F.spark_partition_id())
     w = Window.partitionBy("_part").orderBy(*order)
     placed = ranged.withColumn("_own", F.row_number().over(w))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition

@@ -57,6 +57,16 @@ def run_batch(spark: SparkSession, jobs: list[Job], workers: int = 4, fail_fast:
         return [f.result() for f in futures]
 
 
+def jobs_of(entries: list[dict], run: Callable[[SparkSession, dict], int]) -> list[Job]:
+    """Jobs of a manifest's entries (readers.manifest), named by their contracts."""
+    return [Job(e["contract"], lambda spark, e=e: run(spark, e)) for e in entries]
+
+
+def document(outcomes: list[Outcome]) -> dict:
+    """A batch as a document: its summary and how each job ended."""
+    return summary(outcomes) | {"results": [{"name": o.name, "exit_code": o.code, "elapsed_s": round(o.seconds, 3), "error": o.error, "skipped": o.skipped} for o in outcomes]}
+
+
 def summary(outcomes: list[Outcome]) -> dict:
     """Counts and times of a batch."""
     ran = [o for o in outcomes if not o.skipped]

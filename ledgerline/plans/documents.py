@@ -15,7 +15,8 @@ def to_document(contract: Contract, consumers: list[str] = ()) -> dict:
         for t in contract.tables
     }
     keys = [{"child": k.child, "column": k.column, "parent": k.parent, "key": k.key} for k in contract.references]
-    return {"id": contract.id, "enforcement": {"mode": contract.mode}, "tables": tables, "references": keys, "consumers": sorted(set(consumers))}
+    mode = {} if contract.mode == "AUDIT" else {"enforcement": {"mode": contract.mode}}  # what is written holds against the command line's
+    return {"id": contract.id, **mode, "tables": tables, "references": keys, "consumers": sorted(set(consumers))}
 
 
 def from_document(doc: dict) -> Contract:
@@ -27,7 +28,7 @@ def from_document(doc: dict) -> Contract:
 
 def enforcement_of(*docs: dict) -> Enforcement:
     """The enforcement parts of documents (a contract, its registry), merged in order."""
-    out = Enforcement()
+    out = Enforcement("")  # no mode until a document has one
     for d in docs:
         e = d.get("enforcement") or {}
         rules = tuple(Rule(r["field"], r.get("table"), r.get("severity"), frozenset(r.get("skip") or ()), r.get("drift_z_warn"), r.get("drift_z_fail"), r.get("null_warn"), r.get("null_fail")) for r in e.get("rules") or [])

@@ -83,8 +83,8 @@ def baseline_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.upsert(old, fresh, ["key"])
 
 
-@query("SELECT key, n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'week/orders' ELSE 'trade/' || o_orderstatus END AS key, count(*)::BIGINT AS n FROM orders GROUP BY 1) WHERE NOT starts_with(key, 'trade/')")
+@query("SELECT key, n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'stock/orders' ELSE 'trade/' || o_orderstatus END AS key, count(*)::BIGINT AS n FROM orders GROUP BY 1) WHERE NOT starts_with(key, 'trade/')")
 def baseline_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baselines without those of one contract."""
-    key = F.when(F.col("o_orderstatus") == "P", "week/orders").otherwise(F.concat(F.lit("trade/"), F.col("o_orderstatus")))
+    key = F.when(F.col("o_orderstatus") == "P", "stock/orders").otherwise(F.concat(F.lit("trade/"), F.col("o_orderstatus")))
     return drift.cleared(read(spark, sf_dir, "orders").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")), "trade")

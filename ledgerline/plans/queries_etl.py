@@ -116,7 +116,7 @@ _STREAM = "CASE WHEN user_id % 5 = 0 THEN 'audit' ELSE 'loan_file-' || user_id E
 _SEQ = f"(SELECT *, {_STREAM} AS stream, row_number() OVER (PARTITION BY {_STREAM} ORDER BY event_id) - 1 AS seq FROM events)"
 
 
-@query(f"SELECT {duck_uuid5(chr(39).join(['stream || ', ':', ' || seq || ', ':', ' || event_type']))} AS event_id, event_type, {duck_uuid5('CASE WHEN stream = ' + chr(39) + 'audit' + chr(39) + ' THEN ' + chr(39) + 'aggregate:audit:audit' + chr(39) + ' ELSE ' + chr(39) + 'aggregate:loan_file:' + chr(39) + ' || user_id END')} AS aggregate_id, CASE WHEN stream = 'audit' THEN 'Audit' ELSE 'LoanFile' END AS aggregate_type, seq::INTEGER AS sequence_number, {duck_uuid5(chr(39) + 'correlation:' + chr(39) + ' || stream')} AS correlation_id, 'system' AS user_id, '1.0' AS schema_version FROM {_SEQ}")
+@query(f"SELECT {duck_uuid5(chr(39).join(['stream || ', ':', ' || seq || ', ':', ' || event_type']))} AS event_id, event_type, {duck_uuid5('CASE WHEN stream = ' + chr(39) + 'audit' + chr(39) + ' THEN ' + chr(39) + 'aggregate:audit:audit' + chr(39) + ' ELSE ' + chr(39) + 'aggregate:loan_file:' + chr(39) + ' || user_id END')} AS aggregate_id, CASE WHEN stream = 'audit' THEN 'AuditLedger' ELSE 'Loan_File' END AS aggregate_type, CASE WHEN stream = 'audit' THEN 'audit-service' ELSE 'unknown' END AS source_service, stream AS original_stream_id, seq::INTEGER AS sequence_number, {duck_uuid5(chr(39) + 'correlation:' + chr(39) + ' || stream')} AS correlation_id, 'system' AS user_id, '1.0' AS schema_version FROM {_SEQ}")
 def etl_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events from seed events."""
     e = read(spark, sf_dir, "events")
@@ -124,17 +124,82 @@ def etl_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.event_records(seed, ["event_id"]).drop("recorded_at")
 
 
-@query("WITH t AS (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', 'z', 'g') AS html FROM pages), m AS (SELECT page_id, 'amount' AS kind, unnest(regexp_extract_all(html, '[$€£]\\s?\\d[\\d,]*(?:\\.\\d+)?')) AS value FROM t UNION ALL SELECT page_id, 'acronym', unnest(regexp_extract_all(html, '\\b[A-Z]{2,6}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b\\d{4}-\\d{2}-\\d{2}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b\\d{1,2}/\\d{1,2}/\\d{4}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b(?:19|20)\\d{2}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \\d{1,2}, \\d{4}\\b')) FROM t) SELECT DISTINCT page_id, kind, value FROM m")
+@query(f"SELECT count(*)::BIGINT AS events, count(DISTINCT event_type)::BIGINT AS event_types, count(DISTINCT stream)::BIGINT AS aggregates, 'AuditLedger,Loan_File' AS aggregate_types, count(DISTINCT stream)::BIGINT AS streams, (max(seq) + 1)::BIGINT AS longest_stream FROM {_SEQ}")
+def etl_event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events, types, aggregates and streams the canonical events have."""
+    return etl.event_summary(etl_event_records(spark, sf_dir))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _entities_sql(text: str, table: str, key: str) -> str:
+    """Candidates by kind, the first of each in any case: by pattern, then by place."""
+    patterns = [*(("DATE", p) for p in etl.DATE_PATTERNS), ("AMOUNT", etl.AMOUNT_PATTERN), ("ORG", etl.ACRONYM_PATTERN), ("ORG", etl.PHRASE_PATTERN)]
+    words = "[" + ", ".join(map(_literal, sorted({*etl.STOP, *etl.HEADINGS}))) + "]"
+    hinted = f"[x FOR x IN m IF regexp_matches(lower(x), {_literal('|'.join(etl.ORGANISATION))}) AND NOT list_has_any(string_split(lower(x), ' '), {words})]"
+    parts = " UNION ALL ".join(f"SELECT {key}, '{kind}' AS kind, {i} AS p, {hinted if pattern == etl.PHRASE_PATTERN else 'm'} AS l FROM (SELECT {key}, regexp_extract_all(t, {_literal(pattern)}) AS m FROM c)" for i, (kind, pattern) in enumerate(patterns))
+    return f"WITH c AS (SELECT {key}, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS t FROM {table}), f AS ({parts}), u AS (SELECT {key}, kind, p, unnest(l) AS value, generate_subscripts(l, 1) AS n FROM f) SELECT {key}, kind, arg_min(value, p * 10000000 + n) AS value FROM u GROUP BY {key}, kind, lower(value)"
+
+
+@query(_entities_sql(r"regexp_replace(html, '[^\x00-\x7F€£]', 'z', 'g')", "pages", "page_id"))
 def etl_regex_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates, amounts and acronyms of pages, whose letters beyond ASCII count as z."""
-    p = read(spark, sf_dir, "pages").select("page_id", F.explode(etl.regex_entities(F.regexp_replace("html", r"[^\x00-\x7F]", "z"))).alias("e")).select("page_id", "e.kind", "e.value")
-    return p.filter("kind <> 'phrase'")
+    """Dates, amounts and organisations of pages, whose letters beyond ASCII count as z, as the two engines' words end differently at them."""
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(etl.entity_candidates(F.regexp_replace("html", r"[^\x00-\x7F€£]", "z"))).alias("e")).select("page_id", "e.kind", "e.value")
+
+
+_NAMED = "CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'on 3/12/24' WHEN 2 THEN '$ 1,000.50' WHEN 3 THEN 'Nairobi ' || c_mktsegment WHEN 4 THEN 'Bank of ' || c_name WHEN 5 THEN 'UN FAO' WHEN 6 THEN 'Ada Lovelace' WHEN 7 THEN 'Ada and Bob' WHEN 8 THEN lower(c_name) ELSE 'May 4, 1999' END"
+@query("SELECT c_custkey, ['OTHER', 'DATE', 'AMOUNT', 'LOCATION', 'ORG', 'ORG', 'PERSON', 'ORG', 'OTHER', 'DATE'][c_custkey % 10 + 1] AS kind FROM customer")
+def etl_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of entity a value is."""
+    return read(spark, sf_dir, "customer").select("c_custkey", etl.classify_entity(F.expr(_NAMED)).alias("kind"))
+
+
+def _page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents of two pages with blocks, tables and captions; every seventh has no page."""
+    k = F.col("c_custkey")
+    page = lambda n, conf, text, blocks, tables, captions: F.struct(F.lit(n).cast("bigint").alias("page_number"), conf.alias("confidence"), text.alias("text"), F.array(*blocks).cast("array<string>").alias("text_blocks"), F.array(*tables).cast("array<array<array<string>>>").alias("table_blocks"), F.array(*captions).cast("array<string>").alias("captions"), F.array().cast("array<array<array<string>>>").alias("tables"))
+    one = page(1, F.when(k % 2 == 0, F.lit(0.5)), F.concat(F.lit("  Ministry Bank paid $"), k, F.lit("\n on 2024-01-05 ")), [F.col("c_mktsegment"), F.lower("c_mktsegment"), F.lit(" ")], [F.array(F.array("c_name", F.lit("x")), F.array(F.lit("ministry bank")))], [])
+    two = page(2, F.lit(None).cast("double"), F.col("c_mktsegment"), [], [], [F.concat(F.lit("see "), F.col("c_name"))])
+    pages = F.when(k % 7 == 0, F.array().cast(f"array<{etl.PAGE}>")).otherwise(F.array(one, two))
+    return read(spark, sf_dir, "customer").select(
+        k.cast("string").alias("doc_id"), F.concat(F.lit("in/"), k, F.lit(".pdf")).alias("file_path"), F.concat(k, F.lit(".pdf")).alias("file_name"), F.sha2(k.cast("string"), 256).alias("source_hash"), F.lit(0.8767).alias("confidence"),
+        F.when(k % 3 == 0, "layout").alias("strategy"), (k / 1000).alias("processing_sec"), F.lit(1_700_000_000.25).alias("modified"), pages.alias("pages"),
+    )
+
 
+_DOC_ID = duck_uuid5("'document:' || c_custkey || ':in/' || c_custkey || '.pdf'")
+_FACTS_SQL = "SELECT c_custkey, p, kind, t, n FROM customer, LATERAL (VALUES (1, 'page_text', 'Ministry Bank paid $' || c_custkey || ' on 2024-01-05', 3), (1, 'text_block', c_mktsegment, 1), (1, 'table_block', c_name || ' | x ; ministry bank', 1), (2, 'page_text', c_mktsegment, 1), (2, 'figure_caption', 'see ' || c_name, 0)) f(p, kind, t, n) WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, 0, 'fallback', c_custkey || '.pdf', 0 FROM customer WHERE c_custkey % 7 = 0"
+_PLAIN_ID = duck_uuid5("'fact:' || c_custkey || ':' || CASE WHEN kind = 'fallback' THEN '' ELSE p || ':' END || kind || ':' || lower(t)")
 
-@query("WITH t AS (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', 'z', 'g') AS html FROM pages), m AS (SELECT page_id, 'amount' AS kind, unnest(regexp_extract_all(html, '[$€£]\\s?\\d[\\d,]*(?:\\.\\d+)?')) AS value FROM t UNION ALL SELECT page_id, 'phrase', unnest(regexp_extract_all(html, '\\b(?:[A-Z][a-z]+ ){1,3}[A-Z][a-z]+\\b')) FROM t UNION ALL SELECT page_id, 'acronym', unnest(regexp_extract_all(html, '\\b[A-Z]{2,6}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b\\d{4}-\\d{2}-\\d{2}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b\\d{1,2}/\\d{1,2}/\\d{4}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b(?:19|20)\\d{2}\\b')) FROM t UNION ALL SELECT page_id, 'date', unnest(regexp_extract_all(html, '\\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \\d{1,2}, \\d{4}\\b')) FROM t) SELECT DISTINCT page_id, kind, value FROM m WHERE kind <> 'phrase' OR split_part(value, ' ', 1) NOT IN ('The', 'This', 'That', 'And', 'For')")
-def etl_regex_all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """etl_regex_entities with title-case phrases too, which no stop word begins."""
-    return read(spark, sf_dir, "pages").select("page_id", F.explode(etl.regex_entities(F.regexp_replace("html", r"[^\x00-\x7F]", "z"))).alias("e")).select("page_id", "e.kind", "e.value")
+
+@query(f"SELECT {_DOC_ID} AS doc_id, {_PLAIN_ID} AS fact_id, t AS text, p::BIGINT AS page_ref, CASE WHEN p = 1 AND c_custkey % 2 = 0 THEN 0.5 ELSE 0.877 END::DOUBLE AS confidence, n + CASE WHEN t = c_mktsegment THEN 0 ELSE 0 END AS refs FROM ({_FACTS_SQL}) JOIN customer USING (c_custkey)".replace("n + CASE WHEN t = c_mktsegment THEN 0 ELSE 0 END AS refs", "CASE WHEN kind = 'page_text' AND p = 1 THEN 3 WHEN kind = 'table_block' THEN 1 WHEN t = c_mktsegment THEN 1 ELSE 0 END AS refs"))
+def etl_extraction_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of extraction records, with how many of the document's entities each holds."""
+    r = etl.extraction_records(_page_documents(spark, sf_dir))
+    return r.select("doc_id", F.explode("extracted_facts").alias("f")).select("doc_id", "f.fact_id", "f.text", "f.page_ref", "f.confidence", F.size("f.entity_refs").alias("refs"))
+
+
+@query(f"SELECT {_DOC_ID} AS doc_id, 'in/' || c_custkey || '.pdf' AS source_path, CASE WHEN c_custkey % 3 = 0 THEN 'layout' ELSE 'unknown' END AS extraction_model, c_custkey::BIGINT AS processing_time_ms, '2023-11-14T22:13:20.250000+00:00' AS extracted_at, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'DATE 2024-01-05,AMOUNT $' || c_custkey || ',ORG ' || c_mktsegment || ',ORG Ministry Bank' END AS entities FROM customer")
+def etl_extraction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction records and their entities."""
+    r = etl.extraction_records(_page_documents(spark, sf_dir))
+    return r.select("doc_id", "source_path", "extraction_model", "processing_time_ms", "extracted_at", F.array_join(F.transform("entities", lambda e: F.concat_ws(" ", e["type"], e["canonical_value"])), ",").alias("entities"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ' | 5 ;  ; n: ' || p_size || ' | t: ' || p_type ELSE 'x' END AS text FROM part".replace(" ;  ; ", " ; "))
+def etl_table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of lists and of objects as text."""
+    rows = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('[["'), F.col("p_brand"), F.lit('", 5], {"t": "'), F.col("p_type"), F.lit('", "n": '), F.col("p_size"), F.lit("}]"))).otherwise('["x"]')
+    return read(spark, sf_dir, "part").select("p_partkey", etl.table_text(F.parse_json(rows)).alias("text"))
+
+
+@query("SELECT event_id, strftime(make_timestamp((event_id * 86400000000)::BIGINT), '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 4 = 0 THEN '' ELSE '.' || lpad(((event_id % 4) * 250000)::VARCHAR, 6, '0') END || '+00:00' AS at, (event_id % 5) / 4 AS share FROM events")
+def etl_times_and_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times in UTC from seconds, and numbers within 0 and 1 from JSON."""
+    k = F.col("event_id")
+    return read(spark, sf_dir, "events").select(k, X.iso_utc(k * 86400 + (k % 4) * 0.25).alias("at"), X.unit_interval(F.parse_json(F.format_string("%.2f", (k % 5) / 4)), "share").alias("share"))
 
 
 @query("SELECT l_orderkey, l_returnflag AS flag, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2")
@@ -191,13 +256,69 @@ def etl_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.verdicts(d, "text")
 
 
-@query("SELECT p_partkey AS doc_id, 1 AS page, kind, txt AS text FROM part, LATERAL (SELECT 'page' AS kind, p_name AS txt UNION ALL SELECT 'block', p_brand UNION ALL SELECT 'table', p_brand || ' | ' || p_type || ' ; x') t")
+@query("SELECT p_partkey AS doc_id, 1 AS page, kind, txt AS text FROM part, LATERAL (SELECT 'page_text' AS kind, p_name AS txt UNION ALL SELECT 'text_block', p_brand UNION ALL SELECT 'table_block', 'b | ' || p_size UNION ALL SELECT 'figure_caption', 'fig. ' || p_partkey UNION ALL SELECT 'table', p_brand || ' | ' || p_type || ' ; x') t")
 def etl_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of pages, blocks and tables."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("  "), F.col("p_name"), F.lit(" \n")).alias("text"), F.array(F.col("p_brand"), F.lit(" ")).alias("blocks"), F.array(F.array(F.array("p_brand", "p_type"), F.array(F.lit("x")))).alias("tables"), F.lit(None).cast("array<string>").alias("captions"))
+    """Texts of pages, blocks, captions and tables."""
+    cell = lambda *rows: F.array(F.array(*rows))
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("  "), F.col("p_name"), F.lit(" \n")).alias("text"), F.array(F.col("p_brand"), F.lit(" ")).alias("text_blocks"), cell(F.array(F.lit("b"), F.col("p_size").cast("string"))).alias("table_blocks"),
+        F.array(F.concat(F.lit("fig. "), F.col("p_partkey")), F.lit(None)).alias("captions"), cell(F.array("p_brand", "p_type"), F.array(F.lit("x"))).alias("tables"),
+    )
     return etl.page_texts(p)
 
 
+_RAW_NODES = {
+    "id": "CASE p_partkey % 5 WHEN 0 THEN 'macro:m' || p_partkey ELSE 'n' || p_partkey END", "source_file": "CASE p_partkey % 5 WHEN 1 THEN '/repo\\models\\a' || p_partkey || '.sql' WHEN 2 THEN '/repo/conf/c' || p_partkey || '.yml' WHEN 3 THEN '/repo/macros/x.txt' END",
+    "logical_name": "CASE p_partkey % 3 WHEN 0 THEN 'stg_' || p_partkey END", "description": "CASE p_partkey % 4 WHEN 0 THEN 'an external feed' WHEN 1 THEN p_name END", "file_type": "NULL", "dataset_type": "NULL",
+}
+_NODES_SQL = f"""WITH r AS (SELECT p_partkey, {', '.join(f'{e} AS {c}' for c, e in _RAW_NODES.items())} FROM part), c AS (SELECT *, coalesce(replace(replace(source_file, chr(92), '/'), '/repo/', ''), id) AS path FROM r),
+k AS (SELECT *, CASE WHEN contains(description, 'external') THEN 'EXTERNAL' WHEN starts_with(id, 'macro:') OR starts_with(path, 'macros/') THEN 'PIPELINE' WHEN path LIKE '%.yml' THEN 'FILE' WHEN path LIKE '%.sql' THEN 'MODEL' WHEN starts_with(logical_name, 'stg_') THEN 'MODEL' ELSE 'FILE' END AS type FROM c),
+n AS (SELECT p_partkey, lower(type) || '::' || path AS node_id, type, coalesce(logical_name, description, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[a-z]+$', '')) AS label, path, CASE WHEN path LIKE '%.sql' THEN 'sql' WHEN path LIKE '%.yml' THEN 'yaml' ELSE 'unknown' END AS language, coalesce(description, logical_name, '') AS purpose FROM k)"""
+
+
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read(spark, sf_dir, "part").select("p_partkey", *[F.expr(e.replace("\\", "\\\\")).cast("string").alias(c) for c, e in _RAW_NODES.items()])
+    return etl.canonical_nodes(raw, "/repo")
+
+
+@query(f"{_NODES_SQL} SELECT node_id, type, label, path, language, purpose FROM n")
+def etl_canonical_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw nodes of a graph in canonical form."""
+    return _canonical(spark, sf_dir).select("node_id", "type", "label", "path", "language", "purpose")
+
+
+@query(f"{_NODES_SQL} SELECT node_id, type, min(path) AS path FROM n GROUP BY 1, 2")
+def etl_merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical nodes of two graphs, each once."""
+    c = _canonical(spark, sf_dir)
+    return etl.merged_nodes(c, c.filter("type = 'MODEL'")).select("node_id", "type", "path")
+
+
+@query(f"{_NODES_SQL} SELECT CASE WHEN p_partkey % 5 = 1 AND type = 'MODEL' THEN node_id ELSE 'external::gone' END AS source, 'external::b/zz9.py' AS target, ['READS', 'WRITES', 'READS', 'CALLS'][p_partkey % 4 + 1] AS relationship, round(least(1.0, p_size / 40), 3) AS confidence FROM n JOIN part USING (p_partkey)")
+def etl_canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw edges with their ends' canonical names."""
+    nodes = _canonical(spark, sf_dir)
+    known = (F.col("p_partkey") % 5 == 1) & (F.col("p_partkey") % 4 != 0)
+    raw = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("edge_id"), F.when(known, F.concat(F.lit("/repo/models/a"), F.col("p_partkey"), F.lit(".sql"))).otherwise("gone").alias("source_dataset"), F.lit("b\\zz9.py").alias("target_dataset"),
+        F.element_at(F.array(F.lit("JOIN"), F.lit("write"), F.lit("?"), F.lit("Macro_Call")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("transformation_type"), (F.col("p_size") / 40).alias("confidence"),
+    )
+    return etl.canonical_edges(raw, nodes, "/repo")
+
+
+_AUDIT = "concat('# Audit\n**Target:** repo ', c_custkey, '\n**Confidence:** ', CASE WHEN c_custkey % 4 = 0 THEN '1.7' ELSE 'none' END, '\n**Evaluated At:** 2024-01-0', c_custkey % 9 + 1, '\n### Criterion: Depth_1\n**Final Score:** ', c_custkey % 5, '/5\n- Cited Evidence: a.py, b.py; a.py\n**Dissent Summary:** not  all\nagree\n\n### Dimension: safety\n**Final Score:** ', c_nationkey % 5, '/5\n- Cited: c.md\n### Criterion: none\nno score\n', CASE WHEN c_custkey % 3 = 0 THEN '**Verdict:** conditional_pass' ELSE '' END)"
+_OVERALL = "round((c_custkey % 5 + c_nationkey % 5) / 2, 2)"
+
+
+@query(f"SELECT 'repo ' || c_custkey AS target_ref, sha256('Depth_1' || chr(10) || 'safety') AS rubric_id, CASE WHEN c_custkey % 3 = 0 THEN 'CONDITIONAL_PASS' WHEN {_OVERALL} >= 3.5 THEN 'PASS' WHEN {_OVERALL} >= 2.5 THEN 'CONDITIONAL' ELSE 'BLOCK' END AS overall_verdict, {_OVERALL}::DOUBLE AS overall_score, CASE WHEN c_custkey % 4 = 0 THEN 1.0 ELSE round(least(greatest(0.70 + 0.06 * {_OVERALL} - 0.01 * abs(c_custkey % 5 - c_nationkey % 5), 0.5), 0.99), 2) END::DOUBLE AS confidence, '2024-01-0' || (c_custkey % 9 + 1) AS evaluated_at, 'a.py|b.py' AS evidence, 'not all agree' AS notes, 'from section safety' AS more_notes FROM customer")
+def etl_verdict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict records of audit reports."""
+    d = read(spark, sf_dir, "customer").select(F.expr(_AUDIT).alias("text"), F.concat(F.lit("reports/"), F.col("c_custkey"), F.lit(".md")).alias("path"))
+    r = etl.verdict_records(d, "text", "path")
+    first = F.col("scores")["Depth_1"]
+    return r.select("target_ref", "rubric_id", "overall_verdict", "overall_score", "confidence", "evaluated_at", F.array_join(first["evidence"], "|").alias("evidence"), first["notes"].alias("notes"), F.col("scores")["safety"]["notes"].alias("more_notes"))
+
+
 @query("SELECT doc_id, greatest(1, round_even(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')) * 1.3, 0))::INTEGER AS tokens, CASE WHEN length(text) <= 240 THEN text ELSE rtrim(left(text, 239)) || '...' END AS excerpt, sha256(text) AS digest FROM documents")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token estimates, excerpts and digests of texts."""

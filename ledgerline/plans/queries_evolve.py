@@ -21,7 +21,7 @@ NEW = [
     ("facts", "count", "integer", False, None, None, 5.0), ("audit", "who", "string", True, None, None, None),
 ]
 SUBSCRIPTIONS = [
-    ("refinery", "mapper", [("confidence", "scale"), ("facts.fact_id", "key")]), ("refinery", "enforcer", [("kind", "enum"), (None, "nothing")]), ("refinery", "viewer", []),
+    ("intake", "planner", [("deep.facts.confidence", "scale"), ("facts.fact_id", "key")]), ("intake", "auditor", [("kind", "enum"), (None, "nothing")]), ("intake", "viewer", []),
 ]
 
 
@@ -64,7 +64,7 @@ def rollback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.rollback(diff_contracts(spark, sf_dir))
 
 
-_SUBS_SQL = "(VALUES ('mapper', 'confidence'), ('mapper', 'facts.fact_id'), ('enforcer', 'kind')) s(subscriber_id, field)"
+_SUBS_SQL = "(VALUES ('planner', 'deep.facts.confidence'), ('planner', 'facts.fact_id'), ('auditor', 'kind')) s(subscriber_id, field)"
 
 
 @query(f"WITH gone AS (SELECT t, f FROM {_values(OLD)} EXCEPT SELECT t, f FROM {_values(NEW)}), hit AS (SELECT * FROM {_SUBS_SQL} WHERE field IN (SELECT f FROM gone UNION ALL SELECT t || '.' || f FROM gone)) SELECT count(DISTINCT subscriber_id)::BIGINT AS broken_subscribers, count(*)::BIGINT AS broken_fields, CASE WHEN count(*) > 0 THEN 'BLOCK' ELSE 'PASS' END AS decision FROM hit")
@@ -73,23 +73,15 @@ def gate_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.gate(*_frames(spark))
 
 
-@query(f"SELECT table_name, d.field, change, count(DISTINCT subscriber_id)::BIGINT AS subscribers, min(subscriber_id) AS first_subscriber, count(DISTINCT subscriber_id) = 0 AS unregistered_risk, CASE WHEN contains(change, 'removed') THEN 'missing column' WHEN starts_with(change, 'type') THEN 'cast error' ELSE 'rejected values' END AS failure_mode FROM ({_DIFF_SQL}) d LEFT JOIN {_SUBS_SQL} ON s.field = d.field OR s.field = d.table_name || '.' || d.field WHERE breaking AND d.field IS NOT NULL GROUP BY 1, 2, 3")
+@query(f"SELECT table_name, d.field, change, count(DISTINCT subscriber_id)::BIGINT AS subscribers, min(subscriber_id) AS first_subscriber, count(DISTINCT subscriber_id) = 0 AS unregistered_risk, CASE WHEN contains(change, 'removed') THEN 'missing column' WHEN starts_with(change, 'type') THEN 'cast error' ELSE 'rejected values' END AS failure_mode FROM ({_DIFF_SQL}) d LEFT JOIN {_SUBS_SQL} ON s.field = d.table_name || '.' || d.field OR ends_with(s.field, '.' || d.field) WHERE breaking AND d.field IS NOT NULL GROUP BY 1, 2, 3")
 def consumer_failure_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaking changes and whom they break."""
     return evolve.consumer_failures(diff_contracts(spark, sf_dir), _frames(spark)[2])
 
 
-@query("WITH e AS (SELECT DISTINCT c_custkey % 40 AS source, (c_custkey * 7 + c_nationkey) % 40 AS target FROM customer WHERE c_custkey % 11 = 0), RECURSIVE_NOTE AS (SELECT 1), w AS (WITH RECURSIVE r(node, depth) AS (SELECT target, 1 FROM e WHERE source = 3 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 16) SELECT * FROM r) SELECT node::BIGINT AS node, min(depth)::INTEGER AS depth FROM w GROUP BY 1".replace(", RECURSIVE_NOTE AS (SELECT 1)", ""))
-def reach_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nodes that a change of node 3 reaches, with the fewest steps; the graph has cycles."""
-    c = read(spark, sf_dir, "customer").filter("c_custkey % 11 = 0")
-    edges = c.select((F.col("c_custkey") % 40).alias("source"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 40).alias("target"))
-    return graph.reachable(edges, spark.createDataFrame([(3,)], "node bigint"))
-
-
 @query("WITH e AS (SELECT DISTINCT c_custkey % 40 AS source, (c_custkey * 7 + c_nationkey) % 40 AS target FROM customer), w AS (WITH RECURSIVE r(node, depth) AS (SELECT target, 1 FROM e WHERE source = 3 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 40) SELECT * FROM r) SELECT node::BIGINT AS node, min(depth)::INTEGER AS depth FROM w GROUP BY 1")
-def reach_all_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """reach_subscribers over the edges of all customers; of 40 nodes none is more than 40 steps away."""
+def reach_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes that a change of node 3 reaches, with the fewest steps; the graph has cycles, and of its 40 nodes none is more than 40 steps away."""
     c = read(spark, sf_dir, "customer")
     edges = c.select((F.col("c_custkey") % 40).alias("source"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 40).alias("target"))
     return graph.reachable(edges, spark.createDataFrame([(3,)], "node bigint"))
@@ -102,18 +94,9 @@ def direct_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.direct(s, "BUILDING").select("subscriber")
 
 
-@query("SELECT DISTINCT p_partkey::VARCHAR AS node_id, p_name AS label, p_brand AS path FROM part, (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey < 4 UNION SELECT 'brand#1') n WHERE contains(lower(p_name), lower(name)) OR contains(lower(p_brand), lower(name))")
-def lineage_match_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as nodes, whose name or brand holds one of a few names."""
-    p = read(spark, sf_dir, "part")
-    nodes = p.select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("path"))
-    names = p.filter("p_partkey < 4").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).unionByName(spark.createDataFrame([("brand#1",)], "name string"))
-    return graph.lineage_matches(nodes, names)
-
-
 @query("SELECT DISTINCT p_partkey::VARCHAR AS node_id, p_name AS label, p_brand AS path FROM part, (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT 'brand#1') n WHERE name <> '' AND (contains(lower(p_name), lower(name)) OR contains(lower(p_brand), lower(name)))")
-def lineage_match_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineage_match_parts with the first words of all parts as names."""
+def lineage_match_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes, whose name or brand holds a first word of any part, or a brand."""
     p = read(spark, sf_dir, "part")
     nodes = p.select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("path"))
     names = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).unionByName(spark.createDataFrame([("brand#1",)], "name string"))
@@ -140,6 +123,6 @@ def violation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {duck_uuid5(chr(39) + 'trade:snap:' + chr(39) + ' || check_id')} AS violation_id, check_id, status, severity, 2::BIGINT AS reached, 2 AS depth, 'b' AS commit FROM ({VALIDATE_SQL}) WHERE status <> 'PASS'")
 def attribute_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failing checks with their reach and likely commit."""
-    reach = spark.createDataFrame([("mapper", 1), ("viewer", 2)], "node string, depth int")
+    reach = spark.createDataFrame([("planner", 1), ("viewer", 2)], "node string, depth int")
     culprits = spark.createDataFrame([("a", 0.4), ("b", 0.9)], "hash string, score double")
     return graph.attribute(validate_contract(spark, sf_dir), "trade", "snap", reach, culprits)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs as X
+from ledgerline.operators import ai
 from ledgerline.operators import textchecks as T
 from ledgerline.plans.registry import query, read
 
@@ -84,14 +85,46 @@ def llm_rate_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.violation_trend(e, "bad", ["ts", "event_id"])
 
 
-_VERDICT = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[1]' WHEN 2 THEN '{\"decision\": \"yes\", \"confidence\": 1.5}' WHEN 3 THEN '{\"decision\": \"yes\", \"confidence\": 0.5, \"reasoning\": \"r\"}' WHEN 4 THEN 'oops' ELSE '{\"decision\": \"no\", \"confidence\": \"high\", \"reasoning\": \"r\"}' END"
+_ANSWER = """CASE event_id % 11 WHEN 0 THEN '{}' WHEN 1 THEN '{"verdict": null}' WHEN 2 THEN '{"verdict": {"confidence": 0.5, "reasoning": "r"}}' WHEN 3 THEN '{"verdict": {"decision": "d", "reasoning": "r"}}'
+ WHEN 4 THEN '{"verdict": {"decision": "d", "confidence": 1.5}}' WHEN 5 THEN '{"verdict": {"decision": "d", "confidence": "high", "reasoning": "r"}}' WHEN 6 THEN '{"verdict": "oops {"}' WHEN 7 THEN '{"verdict": "[1, 2]"}' WHEN 8 THEN '{"verdict": 7}'
+ WHEN 9 THEN concat('{"verdict": {"decision": "d", "confidence": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END, ', "reasoning": "r"}}') ELSE concat('{"verdict": {"decision": "', event_type, '", "confidence": ', CAST(value AS INTEGER) / 50, ', "reasoning": "r"}}') END"""
+_KINDS = f"""(SELECT event_id, CASE WHEN t IS NULL OR t = 'NULL' THEN ['missing_verdict']
+ WHEN t = 'OBJECT' THEN list_filter([CASE WHEN json_type(v, '$.decision') IS NULL THEN 'missing_decision' WHEN c IS NULL THEN 'missing_confidence' WHEN json_type(v, '$.reasoning') IS NULL THEN 'missing_reasoning' END,
+  CASE WHEN c IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN CASE WHEN CASE v ->> '$.confidence' WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE (v ->> '$.confidence')::DOUBLE END NOT BETWEEN 0 AND 1 THEN 'confidence_out_of_range' END WHEN c <> 'NULL' THEN 'confidence_type_mismatch' END], lambda x: x IS NOT NULL)
+ WHEN t = 'VARCHAR' THEN CASE WHEN NOT json_valid(j ->> '$.verdict') THEN ['unparseable_json'] WHEN json_type((j ->> '$.verdict')::JSON) <> 'OBJECT' THEN ['invalid_json_structure'] ELSE [] END ELSE ['unexpected_type'] END AS kinds
+ FROM (SELECT event_id, j, json_type(j, '$.verdict') AS t, j -> '$.verdict' AS v, json_type(j -> '$.verdict', '$.confidence') AS c FROM (SELECT event_id, ({_ANSWER})::JSON AS j FROM events)))"""
 
 
-@query("SELECT v AS violation, count(*)::BIGINT AS records FROM (SELECT unnest(CASE event_id % 6 WHEN 0 THEN ['missing_verdict'] WHEN 1 THEN ['not_an_object'] WHEN 2 THEN ['missing_field', 'bad_confidence'] WHEN 3 THEN [] WHEN 4 THEN ['not_an_object'] ELSE ['bad_confidence'] END::VARCHAR[]) AS v FROM events) GROUP BY 1")
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer an event, of all kinds of violation and none."""
+    return read(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.expr(_ANSWER)).alias("answer"))
+
+
+@query(f"SELECT violation, count(*)::BIGINT AS records FROM (SELECT unnest(kinds) AS violation FROM {_KINDS}) GROUP BY 1")
 def llm_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of verdicts by kind."""
-    v = read(spark, sf_dir, "events").select(F.expr(_VERDICT).alias("verdict"))
-    return v.select(F.explode(T.verdict_faults(F.col("verdict"))).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("records"))
+    """Violations of answers by kind."""
+    return T.violation_breakdown(_answers(spark, sf_dir).select(T.verdict_faults(F.col("answer")).alias("kinds")), "kinds")
+
+
+@query(f"WITH k AS (SELECT (len(kinds) > 0)::INTEGER AS bad, row_number() OVER (ORDER BY event_id) AS n, count(*) OVER () AS c FROM {_KINDS}), t AS (SELECT count(*)::BIGINT AS records, sum(bad)::BIGINT AS violations, avg(bad) AS rate, avg(bad) FILTER (WHERE n > c // 2) - avg(bad) FILTER (WHERE n <= c // 2) AS move FROM k) SELECT 'llm_output_violation_rate' AS check_type, CASE WHEN rate = 0 THEN 'PASS' WHEN rate < 0.05 THEN 'WARN' ELSE 'FAIL' END AS status, 'HIGH' AS severity, records, round(rate, 6) AS measure, violations || ' of ' || records || ' answers, ' || CASE WHEN move > 0.05 THEN 'increasing' WHEN move < -0.05 THEN 'decreasing' ELSE 'stable' END AS message FROM t")
+def llm_output_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of answers with a violation, as a check."""
+    return ai.output_violations(_answers(spark, sf_dir), "answer", ["event_id"])
+
+
+_CHECKS = "(SELECT 'c' || (event_id % 9) AS check_type, CASE WHEN event_id % 4 = 0 AND user_id % 2 = 0 THEN 'WARN' WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, event_type FROM events)"
+
+
+@query(f"SELECT event_type, count(*)::BIGINT AS total_checks, count(*) FILTER (WHERE status = 'PASS')::BIGINT AS passed, count(*) FILTER (WHERE status = 'WARN')::BIGINT AS warned, count(*) FILTER (WHERE status = 'FAIL')::BIGINT AS failed, CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'HIGH' WHEN count(*) FILTER (WHERE status = 'WARN') > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM {_CHECKS} GROUP BY 1")
+def ai_risk_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk of model checks, by type of event."""
+    c = read(spark, sf_dir, "events").selectExpr("concat('c', event_id % 9) AS check_type", "CASE WHEN event_id % 4 = 0 AND user_id % 2 = 0 THEN 'WARN' WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status", "event_type")
+    types = [r[0] for r in c.select("event_type").distinct().orderBy("event_type").collect()]
+    out = None
+    for t in types:
+        one = ai.summary(c.filter(F.col("event_type") == t)).select(F.lit(t).alias("event_type"), "total_checks", "passed", "warned", "failed", "risk_level")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT conv_id, turn, k AS key, CASE WHEN k IN ('api_key', 'user_password') THEN '<redacted>' WHEN k = 'role' THEN role ELSE turn::VARCHAR END AS value FROM conversations, (VALUES ('api_key'), ('user_password'), ('role'), ('turn')) t(k)")

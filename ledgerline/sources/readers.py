@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import flatten
 from ledgerline.plans.contract import Registry
+from ledgerline.sources import files
+
+MODES = ("AUDIT", "WARN", "ENFORCE")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Records of a JSON-lines file. Strict: a bad line is an error. Lenient: bad lines are left out, and no file is no rows."""
-    if not strict and "://" not in path and not glob.glob(path) and not os.path.exists(path):
+    if not strict and not any(c in path for c in "*?[{") and not files.exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
@@ -33,6 +36,14 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(F.trim("value") != "").withColumnRenamed("value", "line")
 
 
+SEED = "stream_id string, event_type string, event_version string, payload string, recorded_at string"
+
+
+def seed_events(spark: SparkSession, path: str, schema: str = SEED) -> DataFrame:
+    """Seed events of JSON lines, with ``ord``, their place in the file. A field that is an object in the file is its JSON text."""
+    return ordered_lines(spark, path).select("ord", F.from_json("line", schema).alias("e")).select("ord", "e.*")
+
+
 def documents_in(spark: SparkSession, pattern: str, schema: str, skip: str = r"\.routing\.json$") -> DataFrame:
     """One record a JSON file, with its ``file``; files whose name matches ``skip`` left out."""
     return spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("file", F.input_file_name()).filter(~F.col("file").rlike(skip))
@@ -64,6 +75,13 @@ def settings(path: str) -> dict:
         return yaml.safe_load(f) or {}
 
 
+def parsed(text: str) -> dict:
+    """A YAML or JSON text; an empty one is {}."""
+    import yaml
+
+    return yaml.safe_load(text) or {}
+
+
 def snapshot_time(path: str) -> str:
     """The time in a snapshot's name, YYYYMMDD_HHMMSS or with a T, else the file's own time, as YYYYMMDDHHMMSS."""
     m = re.search(r"(\d{8})[T_-]?(\d{6})", os.path.basename(path))
@@ -74,6 +92,43 @@ def snapshot_time(path: str) -> str:
     return datetime.datetime.fromtimestamp(os.path.getmtime(path), datetime.UTC).strftime("%Y%m%d%H%M%S")
 
 
+def previous_snapshot(folder: str) -> dict | None:
+    """The snapshot before the last one, by name; None where there are fewer than two."""
+    files_ = sorted(glob.glob(os.path.join(folder, "*.y*ml")))
+    return settings(files_[-2]) if len(files_) > 1 else None
+
+
+def lineage_sample(spark: SparkSession, path: str, most: int = 5) -> list[dict]:
+    """The first few records of a lineage file, for a contract's ports; none where there is no file."""
+    return [r.asDict(True) for r in jsonl(spark, path, flatten.LINEAGE, strict=False).limit(most).collect()]
+
+
+def manifest(path: str) -> tuple[list[dict], int]:
+    """(jobs, workers) of a batch file: ``jobs``, each with contract, data and output of its own or from ``defaults``, and a mode; ``max_workers``, else one a job, eight at most."""
+    doc = settings(path)
+    jobs, defaults = doc.get("jobs") if isinstance(doc, dict) else None, (doc.get("defaults") or {}) if isinstance(doc, dict) else {}
+    if not isinstance(jobs, list) or not jobs:
+        raise ValueError(f"{path} needs a list of jobs")
+    out = []
+    for i, job in enumerate(jobs, 1):
+        if not isinstance(job, dict):
+            raise ValueError(f"job {i} isn't a mapping")
+        one = {"mode": "AUDIT", "promote_baselines": False} | defaults | job
+        lost = [k for k in ("contract", "data", "output") if not one.get(k)]
+        if lost:
+            raise ValueError(f"job {i} has no {lost[0]}")
+        one["mode"] = str(one["mode"]).upper()
+        if one["mode"] not in MODES:
+            raise ValueError(f"job {i} has the mode {one['mode']}; there are {', '.join(MODES)}")
+        out.append({k: one[k] for k in ("contract", "data", "output", "mode", "promote_baselines")})
+    return out, int(doc.get("max_workers") or min(len(out), 8))
+
+
+def optional_json(path: str | None) -> dict | None:
+    """A JSON document that may be missing."""
+    return settings(path) or None if path else None
+
+
 def two_snapshots(folder: str, since: str | None = None) -> tuple[dict, dict] | None:
     """The last but one and the last snapshot, or the first since a time and the last; None where there aren't two."""
     files = sorted(glob.glob(os.path.join(folder, "*.y*ml")), key=lambda p: (snapshot_time(p), p))

@@ -7,9 +7,11 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.sources import files
+
 
 def append_log(results: DataFrame, path: str, contract_id: str, run_id: str, run_timestamp: str) -> None:
     """Add a run's failing rows to a log; the run is in columns, not in header rows."""
@@ -23,22 +25,34 @@ def quarantine(rows: DataFrame, path: str, at: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Replace a table that may be read by what is written: a new version, then a swap of names (local and shared file systems)."""
+    """Replace a table that may be read by what is written: a new version, then a swap of names, on any file system."""
+    spark = df.sparkSession
     fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
     df.write.parquet(fresh)
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(fresh, path)
-    if os.path.exists(old):
-        import shutil
-
-        shutil.rmtree(old)
+    there = files.exists(spark, path)
+    if there:
+        files.move(spark, path, old)
+    files.move(spark, fresh, path)
+    if there:
+        files.delete(spark, old)
 
 
 def upsert(path: str, fresh: DataFrame, keys: list[str], merge: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> None:
     """Merge rows into a table by key."""
-    stored = fresh.sparkSession.read.parquet(path) if os.path.exists(path) else fresh.limit(0)
-    replace(merge(stored, fresh, keys), path)
+    replace(merge(stored(fresh, path), fresh, keys), path)
+
+
+def stored(fresh: DataFrame, path: str) -> DataFrame:
+    """The table at a path; one without rows, and the columns of ``fresh``, where there is none yet."""
+    return fresh.sparkSession.read.parquet(path) if files.exists(fresh.sparkSession, path) else fresh.limit(0)
+
+
+def baselines(fresh: DataFrame, path: str, promote: bool) -> bool:
+    """Keep statistics as the baseline: always where there is none yet, later only if promoted. Says whether they were written."""
+    if files.exists(fresh.sparkSession, path) and not promote:
+        return False
+    upsert(path, fresh, ["key", "column_name"], lambda old, new, keys: old.join(new.select("key").distinct(), "key", "left_anti").unionByName(new))
+    return True
 
 
 def jsonl(df: DataFrame, path: str) -> None:
@@ -65,10 +79,20 @@ def text(content: str, path: str) -> None:
         f.write(content)
 
 
-def archive(path: str) -> str | None:
+def archive(spark: SparkSession, path: str) -> str | None:
     """Move a quarantine away, under a new name."""
-    if not os.path.exists(path):
+    if not files.exists(spark, path):
         return None
     to = f"{path}.archived-{uuid.uuid4().hex[:8]}"
-    os.rename(path, to)
+    files.move(spark, path, to)
     return to
+
+
+def rewrite(df: DataFrame, path: str) -> None:
+    """Replace a quarantine of JSON lines by those of its rows that stay."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
+    df.write.json(fresh)
+    files.move(spark, path, old)
+    files.move(spark, fresh, path)
+    files.delete(spark, old)

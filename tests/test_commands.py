@@ -1,9 +1,14 @@
 import json
+import os
+import subprocess
+
+import pytest
+import yaml
 
 from ledgerline.__main__ import main
-from ledgerline.plans import batch, documents
+from ledgerline.plans import batch, documents, runlog
 from ledgerline.plans.contract import Contract, Field, ForeignKey, Table
-from ledgerline.sources import sinks
+from ledgerline.sources import files, readers, sinks
 
 
 def test_infer_then_validate_then_diff(spark, sf, tmp_path, capsys):
@@ -46,3 +51,145 @@ def test_batch(spark):
     got = batch.run_batch(spark, jobs, workers=1, fail_fast=True)
     assert [o.code for o in got] == [0, 2, None] and got[1].error.startswith("ZeroDivisionError")
     assert batch.summary(got) | {"seconds": 0} == {"jobs": 3, "passed": 1, "failed": 1, "skipped": 1, "seconds": 0}
+
+
+def lines(path, *rows):
+    open(path, "w").write("\n".join(json.dumps(r) for r in rows) + "\n")
+    return str(path)
+
+
+def test_validation_with_baselines_report_and_precedence(spark, tmp_path, capsys):
+    data = lines(tmp_path / "t.jsonl", *({"k": "a", "v": i, "at": "2024-01-01T00:00:00Z"} for i in range(20)))
+    doc = documents.to_document(Contract("c", (Table("t", (Field("k", enum=("a",)), Field("v", "integer", True), Field("at", format="date-time"), Field("lost"))),)))
+    c, base, rep = str(tmp_path / "c.yaml"), str(tmp_path / "base"), str(tmp_path / "r.json")
+    sinks.document(doc | {"sla": {"freshness": {"table": "t", "column": "at"}}}, c)
+    run = ["validate", c, f"t={data}", "--baselines", base, "--now", "2024-01-02T01:00:00Z"]
+    assert main([*run, "--dry-run", "--report", rep, "--log", str(tmp_path / "log")], spark) == 0
+    assert not files.exists(spark, base) and not os.path.exists(rep) and not os.path.exists(tmp_path / "log")
+    assert main([*run, "--report", rep, "--mode", "WARN", "--log", str(tmp_path / "log")], spark) == 1  # a declared column is missing
+    first = json.load(open(rep))
+    assert first["schema_summary"]["missing_columns"] == [{"table": "t", "column": "lost"}] and first["mode"] == "WARN"
+    assert {r["status"] for r in first["results"] if r["check_type"] == "freshness"} == {"WARN"} and not [r for r in first["results"] if r["check_type"].startswith("drift")]
+    lines(tmp_path / "t.jsonl", *({"k": "b", "v": 1000 * i, "at": "2024-01-01T00:00:00Z"} for i in range(20)))
+    assert main([*run, "--report", rep], spark) == 0
+    second = json.load(open(rep))
+    assert {r["status"] for r in second["results"] if r["check_type"] == "drift_mean"} == {"FAIL"}
+    assert next(r for r in second["results"] if r["check_id"] == "t.k.enum")["sample"] == ["b"]
+    before = spark.read.parquet(base).collect()
+    assert main([*run, "--promote"], spark) == 0 and spark.read.parquet(base).collect() != before
+    assert main([*run, "--report", rep], spark) == 0 and {r["status"] for r in json.load(open(rep))["results"] if r["check_type"] == "drift_mean"} == {"PASS"}
+    sinks.document(doc | {"enforcement": {"mode": "AUDIT"}}, c)  # the document's mode goes before the command's
+    assert main(["validate", c, f"t={data}", "--mode", "ENFORCE"], spark) == 0
+    capsys.readouterr()
+    assert main(["baselines", base], spark) == 0 and json.loads(capsys.readouterr().out.splitlines()[0])["key"] == "c/t"
+    assert main(["baselines", base, "--clear", "c"], spark) == 0 and spark.read.parquet(base).count() == 0
+
+
+def test_remedies_and_reports(spark, tmp_path, capsys):
+    data = lines(tmp_path / "t.jsonl", {"k": "z", "v": 1})
+    c, rep, log = str(tmp_path / "c.yaml"), str(tmp_path / "r.json"), str(tmp_path / "log")
+    sinks.document(documents.to_document(Contract("c", (Table("t", (Field("k", enum=("a",)), Field("w", required=True))),))), c)
+    main(["validate", c, f"t={data}", "--report", rep, "--log", log, "--now", "n1"], spark)
+    md, js = str(tmp_path / "plan.md"), str(tmp_path / "plan.json")
+    assert main(["remedy", rep, md], spark) == 0 and main(["remedy", rep, js], spark) == 0
+    plan = {x["check_id"]: x["step"] for x in json.load(open(js))["items"]}
+    assert plan["t.k.enum"] == "bring the values of t.k into line, or allow the new ones" and "t.v" in plan["t.v.schema_new_column"] and "`t.k.enum`" in open(md).read()
+    rules = str(tmp_path / "rules.yaml")
+    sinks.document({"exact": {"enum": "list {label}"}, "prefix": {"schema_": "agree on {column}"}, "default": "look"}, rules)
+    assert main(["remedy", rep, js, "--rules", rules], spark) == 0
+    assert {x["step"] for x in json.load(open(js))["items"]} == {"list t.k", "agree on v", "agree on w"}
+    models = str(tmp_path / "models.json")
+    sinks.document({"checks": [{"check_type": "llm_output_violation_rate", "status": "FAIL", "severity": "HIGH", "records": 3, "measure": 0.5, "message": "m"}]}, models)
+    old, new = str(tmp_path / "old.yaml"), str(tmp_path / "new.yaml")
+    sinks.document(documents.to_document(Contract("c", (Table("t", (Field("k", required=True), Field("x"))),))), old)
+    sinks.document(documents.to_document(Contract("c", (Table("t", (Field("x"),)),))), new)
+    out, out1, outmd = (str(tmp_path / n) for n in ("rep.json", "rep1.json", "rep.md"))
+    more = ["--models", models, "--old", old, "--new", new, "--log", log]
+    assert main(["report", out, rep, *more], spark) == 0 and main(["report", out1, rep, *more, "--version", "1.0"], spark) == 0 and main(["report", outmd, rep], spark) == 0
+    two, one = json.load(open(out)), json.load(open(out1))
+    assert two["verdict"] == one["verdict"] == "ISSUES_DETECTED" and two["schema_evolution"]["verdict"] == "breaking" and two["ai_checks"]["risk_level"] == "HIGH"
+    assert len(two["prioritized_actions"]) == 3 and two["prioritized_actions"][0]["priority"] == 0 and two["violations"]["total_count"] == 3 and "prioritized_actions" not in one
+    assert two["generation_evidence"]["violation_log_run_timestamp"] == "n1" and "What to do first" in open(outmd).read()
+    capsys.readouterr()
+
+
+def test_batch_manifest(spark, tmp_path, capsys):
+    data = lines(tmp_path / "t.jsonl", {"k": "a"})
+    c, m = str(tmp_path / "c.yaml"), str(tmp_path / "m.yaml")
+    sinks.document(documents.to_document(Contract("c", (Table("t", (Field("k", enum=("b",)),)),))), c)
+    sinks.document({"defaults": {"contract": c, "data": f"t={data}"}, "jobs": [{"output": str(tmp_path / "1.json")}, {"output": str(tmp_path / "2.json"), "mode": "enforce"}]}, m)
+    assert main(["batch", m, "--out", str(tmp_path / "sum.json")], spark) == 1
+    got = json.load(open(tmp_path / "sum.json"))
+    assert sorted(r["exit_code"] for r in got["results"]) == [0, 1] and json.load(open(tmp_path / "1.json"))["failed"] == 1
+    for bad in ({}, {"jobs": []}, {"jobs": [3]}, {"jobs": [{"contract": c}]}, {"jobs": [{"contract": c, "data": "d", "output": "o", "mode": "loud"}]}):
+        sinks.document(bad, m)
+        with pytest.raises(ValueError):
+            readers.manifest(m)
+    capsys.readouterr()
+
+
+def test_gate_at_a_revision(spark, tmp_path, capsys):
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    c, reg = str(repo / "c.yaml"), str(tmp_path / "reg.yaml")
+    sinks.document(documents.to_document(Contract("c", (Table("t", (Field("k"), Field("x"))),))), c)
+    git("add", "."), git("commit", "-qm", "one")
+    sinks.document(documents.to_document(Contract("c", (Table("t", (Field("x"),)),))), c)
+    sinks.document({"subscriptions": [{"contract_id": "c", "subscriber_id": "s", "breaking_fields": ["t.k"]}]}, reg)
+    assert main(["gate", c, c, reg, "--ref", "HEAD"], spark) == 1
+    git("checkout", "-q", "c.yaml")
+    assert main(["gate", c, c, reg, "--ref", "HEAD"], spark) == 0
+    other = str(repo / "new.yaml")
+    sinks.document({}, other)
+    assert main(["gate", other, other, reg, "--ref", "HEAD"], spark) == 0
+    commits = readers.git_log(spark, str(repo), "c.yaml").collect()
+    assert [r["message"] for r in commits] == ["one"] and readers.git_log(spark, str(repo), "nothing").count() == 0
+    capsys.readouterr()
+
+
+def test_history_of_snapshots(spark, tmp_path, capsys):
+    out, snaps = str(tmp_path / "c.yaml"), str(tmp_path / "snaps")
+    data = lines(tmp_path / "t.jsonl", *({"k": "a", "v_id": f"{i}", "name": "n", "confidence": 0.5} for i in range(3)))
+    assert main(["infer", "c", out, f"t={data}", "--snapshots", snaps], spark) == 0
+    assert main(["history", f"{snaps}/c"], spark) == 2
+    doc = yaml.safe_load(open(out))
+    assert {r["name"] for r in doc["quality"]} >= {"t.k.allowed_values", "t.v_id.unique", "t.name.non_empty", "t.confidence.range_check", "t.confidence.floor_check", "t.k.not_null"}
+    lines(tmp_path / "t.jsonl", *({"k": "a"} for _ in range(3)))
+    assert main(["infer", "c", out, f"t={data}", "--snapshots", snaps], spark) == 0
+    assert main(["history", f"{snaps}/c"], spark) == 1 and readers.previous_snapshot(f"{snaps}/c")["id"] == "c"
+    capsys.readouterr()
+
+
+def test_model_checks(spark, tmp_path, capsys):
+    fact = lambda t: {"fact_id": "f", "text": t, "entity_refs": [], "confidence": 0.5, "page_ref": 1, "source_excerpt": ""}
+    ex = lines(tmp_path / "e.jsonl", *({"doc_id": f"d{i}", "source_path": "p", "extraction_model": "m", "extracted_facts": [fact("one two three")]} for i in range(3)))
+    good = {"decision": "d", "confidence": 0.5, "reasoning": "r"}
+    an = lines(tmp_path / "a.jsonl", *({"verdict": good} for _ in range(5)))
+    base, out = str(tmp_path / "base"), str(tmp_path / "out.json")
+    assert main(["models", ex, an, base, "--out", out], spark) == 0
+    assert [c["status"] for c in json.load(open(out))["checks"]] == ["PASS"] * 3
+    lines(tmp_path / "e.jsonl", {"doc_id": "d", "source_path": "p", "extracted_facts": [fact("entirely other words")]})
+    lines(tmp_path / "a.jsonl", {"verdict": good}, {"verdict": 5}, {"verdict": "oops"})
+    assert main(["models", ex, an, base, "--out", out], spark) == 1
+    got = {c["check_type"]: c for c in json.load(open(out))["checks"]}
+    assert got["embedding_drift"]["measure"] == 1.0 and all(c["status"] == "FAIL" for c in got.values())
+    assert main(["models", ex, an, base], spark) == 1  # the baseline is what the run before saw; inputs and answers still fail
+    capsys.readouterr()
+
+
+def test_logs_are_json(capsys):
+    handler = runlog.configure("r1")
+    import logging
+
+    logging.getLogger("ledgerline.x").info("hello %s", "you", extra={"rows": 3})
+    runlog.configure("r2")
+    line = json.loads(capsys.readouterr().err.splitlines()[-1])
+    assert line["message"] == "hello you" and line["rows"] == 3 and line["run_id"] == "r1" and handler is not None
+
+
+def test_span_names_jobs(spark):
+    with runlog.span(spark, "counting", n=1):
+        assert spark.sparkContext.getLocalProperty("spark.job.description") == "counting"
+    assert spark.sparkContext.getLocalProperty("spark.job.description") != "counting"

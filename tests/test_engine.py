@@ -1,10 +1,11 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs as X
-from ledgerline.operators import checks, drift, etl, evolve, flatten, graph, infer, profile, report, textchecks
+from ledgerline.operators import checks, drift, etl, evolve, flatten, graph, infer, profile, report, rules, textchecks, validation
 from ledgerline.plans.contract import Config, Contract, Enforcement, Field, ForeignKey, Registry, Rule, Table
 from ledgerline.sources import readers, sinks
 from ledgerline.streaming import enforce
@@ -105,20 +106,104 @@ def test_reach_follows_long_chains(spark):
 
 
 def test_whole_tables_are_reached_and_matched(spark, tmp_path):
-    from ledgerline.plans.queries_evolve import lineage_match_all_parts, reach_all_subscribers
+    from ledgerline.plans.queries_evolve import lineage_match_parts, reach_subscribers
 
     spark.createDataFrame([(3, 0), (21, 0), (27, 0)], "c_custkey bigint, c_nationkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(9, "plum a", "Brand#2"), (10, "a plum", "Brand#2")], "p_partkey bigint, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
-    assert {(r["node"], r["depth"]) for r in reach_all_subscribers(spark, str(tmp_path)).collect()} == {(21, 1), (27, 2), (29, 3)}
-    assert {r["node_id"] for r in lineage_match_all_parts(spark, str(tmp_path)).collect()} == {"9", "10"}
-
-
-def test_all_kinds_of_entities_are_returned(spark, tmp_path):
-    from ledgerline.plans.queries_etl import etl_regex_all_entities
-
-    spark.createDataFrame([(1, "see Annual Report Of May 2020, $5 for ACME. The Big Dog ran")], "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {(r["kind"], r["value"]) for r in etl_regex_all_entities(spark, str(tmp_path)).collect()}
-    assert got == {("phrase", "Annual Report Of May"), ("date", "2020"), ("amount", "$5"), ("acronym", "ACME")}
+    assert {(r["node"], r["depth"]) for r in reach_subscribers(spark, str(tmp_path)).collect()} == {(21, 1), (27, 2), (29, 3)}
+    assert {r["node_id"] for r in lineage_match_parts(spark, str(tmp_path)).collect()} == {"9", "10"}
+
+
+def entities(spark, text):
+    return [(e["kind"], e["value"]) for e in spark.createDataFrame([(text,)], "t string").select(etl.entity_candidates(F.col("t")).alias("e")).first()["e"]]
+
+
+def test_entity_candidates(spark):
+    text = "On 2020-05-01, 3/4/21, 5-6-2022 and Sept 7, 1999 (sept 7, 1999)  ACME  CORP paid €5.50 and 1,000 birr to World Bank Group; World Bank The Table of National School Board. Annual Report. Über School"
+    got = entities(spark, text)
+    assert got[:4] == [("DATE", "2020-05-01"), ("DATE", "3/4/21"), ("DATE", "5-6-2022"), ("DATE", "Sept 7, 1999")]
+    assert got[4:6] == [("AMOUNT", "€5.50"), ("AMOUNT", "1,000 birr")]
+    assert got[6:] == [("ORG", "ACME CORP"), ("ORG", "World Bank Group"), ("ORG", "National School Board"), ("ORG", "School")]
+    assert entities(spark, None) == [] and entities(spark, " ") == [] and len(entities(spark, "TOOLONGACRONYMS")) == 1
+
+
+def test_confidences_must_be_shares(spark):
+    df = spark.createDataFrame([("0.5",), (None,)], "j string").select(X.unit_interval(F.try_parse_json("j"), "c").alias("c"))
+    assert [r["c"] for r in df.collect()] == [0.5, None]
+    for bad in ("true", '"x"', "1.5", "-0.1", "[1]"):
+        with pytest.raises(Exception, match="within 0 and 1"):
+            spark.createDataFrame([(bad,)], "j string").select(X.unit_interval(F.parse_json("j"), "c")).collect()
+    with pytest.raises(Exception, match="within 0 and 1"):
+        spark.createDataFrame([(2.0, None)], "a double, b double").select(etl.confidence(F.col("a"), F.col("b"))).collect()
+
+
+def test_records_of_odd_documents(spark):
+    page = (1, None, "Same text", ["same TEXT", None], None, None, None)
+    rows = [("1", "a/b.pdf", None, "h", None, None, None, 0.0, None), ("2", "a/c.pdf", " ", "h", 0.25, "s", 1.5, 0.0, [page, (1, 0.75, "SAME text", None, None, None, [[["x", None, "y"]]])])]
+    got = etl.extraction_records(spark.createDataFrame(rows, etl.SOURCE)).orderBy("source_path").collect()
+    assert [f["text"] for f in got[0]["extracted_facts"]] == ["a/b.pdf"] and got[0]["extracted_facts"][0]["confidence"] == 0.0 and got[0]["extraction_model"] == "unknown"
+    assert [(f["text"], f["confidence"]) for f in got[1]["extracted_facts"]] == [("Same text", 0.75), ("x | y", 0.75)] and got[1]["processing_time_ms"] == 1500
+    assert etl.extraction_records(spark.createDataFrame([], etl.SOURCE)).count() == 0
+
+
+def test_answers_of_every_kind(spark):
+    want = {
+        "{}": ["missing_verdict"], '{"verdict": null}': ["missing_verdict"], '{"verdict": []}': ["unexpected_type"], '{"verdict": 1.5}': ["unexpected_type"], '{"verdict": "x"}': ["unparseable_json"], '{"verdict": "3"}': ["invalid_json_structure"],
+        '{"verdict": "{}"}': [], '{"verdict": {}}': ["missing_decision"], '{"verdict": {"decision": null, "confidence": null, "reasoning": null}}': [], '{"verdict": {"decision": 1, "confidence": true, "reasoning": 1}}': [],
+        '{"verdict": {"confidence": -1}}': ["missing_decision", "confidence_out_of_range"], '{"verdict": {"decision": 1, "confidence": "0.5"}}': ["missing_reasoning", "confidence_type_mismatch"], '{"verdict": {"decision": 1, "confidence": [1], "reasoning": 1}}': ["confidence_type_mismatch"],
+    }
+    df = spark.createDataFrame([(k,) for k in want], "j string")
+    assert {r["j"]: r["k"] for r in df.select("j", textchecks.verdict_faults(F.parse_json("j")).alias("k")).collect()} == want
+
+
+def test_names_are_found_wherever_they_are(spark):
+    nodes = spark.createDataFrame([("1", "Alpha beta", "x/y.sql"), ("2", None, "models/ab.sql"), ("3", "a", None), ("4", "ÄRGER", "")], "node_id string, label string, path string")
+    names = ["beta", "B", "ALPHA B", "sql", "zzz", "ärg", "", "l"]
+    got = graph.lineage_matches(nodes, spark.createDataFrame([(n,) for n in names], "name string"))
+    lower = [(r["node_id"], (r["label"] or "").lower(), (r["path"] or "").lower()) for r in nodes.collect()]
+    assert {r["node_id"] for r in got.collect()} == {i for i, a, b in lower if any(n.lower() in a or n.lower() in b for n in names if n)}
+    for n in names[:-2]:
+        one = graph.lineage_matches(nodes, spark.createDataFrame([(n,)], "name string")).collect()
+        assert sorted(r["node_id"] for r in one) == [i for i, a, b in lower if n.lower() in a or n.lower() in b]
+
+
+def test_breaking_fields_by_path_or_its_end(spark):
+    changes = spark.createDataFrame([("t", "a.b", "field removed", "CRITICAL", True), ("t", "c", "field removed", "CRITICAL", True)], "table_name string, field string, change string, severity string, breaking boolean")
+    subs = spark.createDataFrame([("k", s, [{"field": f, "reason": ""}], "src", "k") for s, f in (("whole", "t.a.b"), ("end", "x.y.a.b"), ("bare", "a.b"), ("part", "x.b"), ("c", "u.c"), ("bare c", "c"))], "contract_id string, subscriber_id string, breaking_fields array<struct<field:string,reason:string>>, source string, source_contract string")
+    got = {r["field"]: (r["subscribers"], r["unregistered_risk"]) for r in evolve.consumer_failures(changes, subs).collect()}
+    assert got == {"a.b": (2, False), "c": (1, False)}
+    assert all(r["unregistered_risk"] for r in evolve.consumer_failures(changes, subs, "other").collect())
+
+
+def test_planning_errors_are_rows(spark):
+    df = spark.createDataFrame([({"a": 1},)], "k map<string,int>")
+    run = validation.validate({"t": df}, Contract("c", (Table("t", (Field("k", minimum=0.0),)),)))
+    assert {(r["status"], r["check_type"]) for r in run.results.collect()} >= {("ERROR", "table_checks")}
+
+
+def test_profile_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(v) if v % 7 else None, int(v) % 5, f"s{v % 11}" if v % 4 else None, [int(v) % 3], ["g", None][v % 2]) for v in rng.integers(0, 50, 400).tolist()]
+    df = spark.createDataFrame([*rows, (float("nan"), None, "s1", None, None)], "a double, b int, c string, d array<int>, g string")
+    for by in ((), ("g",)):
+        for r in profile.profile(df, by=by).collect():
+            own = [x for x in df.collect() if not by or x["g"] == r["g"]]
+            values = [x[r["column_name"]] for x in own]
+            there = [tuple(v) if isinstance(v, list) else v for v in values if v is not None and v == v]
+            assert r["rows"] == len(own) and r["cardinality"] == len(set(there)) and r["null_fraction"] == round(1 - len(there) / len(own), 4)
+            if r["column_name"] in ("a", "b"):
+                assert [r["p25"], r["p50"], r["p75"]] == [round(float(q), 4) for q in np.percentile(there, [25, 50, 75])] and r["max_value"] == max(there) and abs(r["std_value"] - np.std(there, ddof=1)) < 1e-3
+            else:
+                assert r["p50"] is None and r["max_value"] is None
+    assert {r["cardinality"] for r in profile.profile(df.limit(0)).collect()} == {0}
+
+
+def test_rules_without_their_table_are_errors(spark):
+    df = spark.createDataFrame([("a", 1.5)], "k string, confidence double")
+    got = {r["rule"]: r["status"] for r in rules.execute({"t": df}, [rules.allowed("t", "k", ["it's"]), rules.allowed("u", "k", ["a"]), rules.allowed("t", "z", ["a"])]).collect()}
+    assert got == {"t.k.allowed_values": "FAIL", "u.k.allowed_values": "ERROR", "t.z.allowed_values": "ERROR"}
+    df.createOrReplaceTempView("t_rules")
+    assert spark.sql(rules.allowed("t_rules", "k", ["it's"]).sql).first()[0] == 1
 
 
 def test_scrub_and_json_faults(spark):
@@ -132,7 +217,7 @@ def test_scrub_and_json_faults(spark):
 def test_trend_and_empty(spark):
     df = spark.createDataFrame([(i, i >= 5) for i in range(10)], "i int, bad boolean")
     assert textchecks.violation_trend(df, "bad", ["i"]).first()["trend"] == "increasing"
-    assert textchecks.violation_trend(df.limit(0), "bad", ["i"]).first()["status"] == "PASS"
+    assert textchecks.violation_trend(df.limit(0), "bad", ["i"]).first()["status"] == "ERROR"
 
 
 def test_cosine_of_nothing_is_one(spark):
