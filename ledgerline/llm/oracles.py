@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import urls
+from ledgerline.llm import secrets, urls
 
 #: Every twentieth vector against all of them, by signs.
 TOPK = """
@@ -64,4 +64,30 @@ SELECT page_id, p.host, path, rule, CASE WHEN coalesce(allow, NOT coalesce(distr
 FROM p LEFT JOIN v ON v.host = p.host"""
 
 
-ORACLES = {"op4_url_filter": url_filter(), "op9_suffix_dedup": REPEATS, "op10_exact_topk": TOPK}
+def _any_case(words: str) -> str:
+    """Letters of either case, without folding others to them."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def secret_scan(thresholds: dict[str, float] = secrets.THRESHOLDS, window: int = secrets.WINDOW, allow: tuple[str, ...] = secrets.ALLOW) -> str:
+    """Texts cut up to matches and single characters, whose running lengths are places; candidates and the entropy of each of their windows by its definition."""
+    word = "(?:" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+    assign = word + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", assign, f"length(regexp_extract(part, {_literal(assign)}, 1)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(part) >= 20"), ("hex", "[0-9a-f]+", "length(part) >= 24")]
+    cut_up = lambda pattern, rest, only: f"SELECT doc_id, part, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY n) - length(part))::BIGINT AS a FROM (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(t, {_literal(f'(?s){pattern}|{rest}')}) AS l FROM d WHERE regexp_matches(t, {_literal(only)})))"
+    base = " UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{k}' AS kind, a, a + length(part) AS b FROM ({cut_up(p, '[^A]' if k == 'access' else '[^0-9a-f]+' if k == 'hex' else '.', p) if k != 'access' else cut_up(p, '.', p)}) WHERE regexp_full_match(part, {_literal(p)}) AND {fits}" for i, (k, p, fits) in enumerate(kinds))
+    least = min(2**t for t in thresholds.values())
+    limit = "CASE " + " ".join(f"WHEN class = '{c}' THEN {t}" for c, t in thresholds.items()) + " END"
+    bits = "list_max([list_sum([-(c::DOUBLE / length(w)) * log2(c::DOUBLE / length(w)) FOR c IN map_values(list_histogram(string_split(w, '')))]) FOR w IN [substr(part, i::BIGINT, " + str(window) + f") FOR i IN range(1, 1 + greatest(1, length(part) - {window - 1}))]])"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS ({base}),
+c AS (SELECT *, CASE WHEN NOT regexp_matches(part, '[0-9]') THEN 'letters' WHEN regexp_full_match(part, '[0-9a-fA-F]+') THEN 'hex' ELSE 'mixed' END AS class FROM ({cut_up('[A-Za-z0-9+/_-]+', '[^A-Za-z0-9+/_-]+', '.')})
+  WHERE length(part) >= {least} - 1e-9 AND regexp_matches(part, '[A-Za-z]') AND regexp_full_match(part, '[A-Za-z0-9+/_-]+') AND NOT regexp_full_match(part, {_literal('|'.join(f'(?:{x})' for x in allow))})),
+e AS (SELECT doc_id, 3 AS o, 'entropy' AS kind, a, a + length(part) AS b FROM c WHERE {bits} >= {limit} - 1e-9),
+s AS (SELECT * FROM base UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = e.doc_id AND base.a <= e.a AND e.b <= base.b)),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'entropy') AS n_entropy,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) FILTER (WHERE kind <> 'entropy') AS own, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, coalesce(n_entropy, 0)::BIGINT AS n_entropy, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES = {"op4_url_filter": url_filter(), "op6_secret_scan": secret_scan(), "op9_suffix_dedup": REPEATS, "op10_exact_topk": TOPK}

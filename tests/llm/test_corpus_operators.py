@@ -471,7 +471,7 @@ def test_pipeline_of_odd_documents(spark, odd, empty, sf):
         docs.collect()
 
 
-@pytest.mark.parametrize("name", ["op4_url_filter", "op9_suffix_dedup", "op10_exact_topk"])
+@pytest.mark.parametrize("name", ["op4_url_filter", "op6_secret_scan", "op9_suffix_dedup", "op10_exact_topk"])
 def test_queries_equal_sql(spark, sf, name):
     from ledgerline.llm import queries
     from tests.oracle import connect, rows
