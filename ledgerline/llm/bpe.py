@@ -4,7 +4,8 @@ The vocabulary is a file of ranks (base64 bytes and a number a line). Bytes map
 as byte-level BPE does; merges are all splits of every token, so that the library merges as ranks say.
 
 A text is cut before those single spaces and newlines where the pattern always begins a match; the distinct pieces are
-encoded once. This changes no id. Where a cut wouldn't be safe (white space on both sides) the text is one piece.
+encoded once, many of them in one string, as a cut that is safe in a text is safe in that string, too. This changes no id. Where a
+cut wouldn't be safe (white space on both sides) the text is one piece. Bytes and digits of ids are taken a batch at a time.
 
 Defined results: a null text is empty and has no tokens; repeated and very long texts encode alike; an empty table
 gives an empty table; extra columns of the input are kept by ``encode`` and ``decode`` unless their names are those
@@ -31,8 +32,12 @@ from ledgerline.llm.common import bounded_batches, release, slices
 
 #: Distinct pieces remembered by a task; when full, the memory starts anew. It bounds memory, not results.
 REMEMBER = 400_000
+#: Bytes of pieces that are encoded as one string, about.
+JOINED_BYTES = 1 << 14
 
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]"
+#: Units that hold a blank, or nothing: encoded alone.
+_INNER = rf"^\x00?$|^\x00?{_BLANK}|.{_BLANK}"
 #: Texts that aren't cut: a space or newline between blanks, or the mark that stands for a newline.
 _UNCUT = rf"{_BLANK}[ \n]{_BLANK}|\x00"
 
@@ -77,7 +82,9 @@ class Codec:
         self.bytes: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
-        self.decimal = [str(i) for i in range(size)]
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.all_bytes = pa.array(self.bytes, pa.binary())
+        self.all_digits = pa.array([b"%d," % i for i in range(size)], pa.binary())
 
     def by_rank(self, piece: bytes) -> list[int]:
         """Merge the leftmost pair of the lowest rank until none is left."""
@@ -91,21 +98,41 @@ class Codec:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return [self.ranks[p] for p in parts]
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece."""
-        out = [e.ids for i in range(0, len(pieces), 4096) for e in self.library.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
-        if len(self.tied):
-            encoded = [p.encode() for p in pieces]
-            ends = np.cumsum([len(p) for p in encoded])
-            hits = np.fromiter((end for end, _ in self.tied.iter(b"".join(encoded).decode("latin-1"))), np.int64)
-            for i in np.unique(np.searchsorted(ends, hits, side="right")).tolist():
-                out[i] = self.exactly(pieces[i])  # also where the hit lies across two pieces: that's only slower
-        return out
+    def encode(self, pieces: list[str], joinable: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has. The first ``joinable`` pieces begin with the only blank that they have, so that they are encoded together."""
+        sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
+        joined, width = [], max(1, JOINED_BYTES * joinable // max(1, int(sizes[:joinable].sum())))
+        for i in range(0, joinable, width):
+            joined.append("".join(pieces[i : min(joinable, i + width)]))
+        parts = [np.array(e.ids, np.int32) for i in range(0, len(joined), 64) for e in self.library.encode_batch_fast(joined[i : i + 64], add_special_tokens=False)]
+        rest = [e.ids for i in range(joinable, len(pieces), 4096) for e in self.library.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+        ids = np.concatenate([*parts, np.fromiter(chain.from_iterable(rest), np.int32)])
+        # a token ends in the piece in which its last byte is
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), side="right")
+        counts = np.diff(ends, prepend=0)
+        if not len(self.tied) or not len(pieces):
+            return ids, counts
+        hits = np.fromiter((end for end, _ in self.tied.iter("".join(pieces).encode().decode("latin-1"))), np.int64)
+        out, at = [], 0
+        for i in np.unique(np.searchsorted(np.cumsum(sizes), hits, side="right")).tolist():  # also where the hit lies across two pieces: that's only slower
+            own = np.array(self.exactly(pieces[i]), np.int32)
+            out += [ids[at : ends[i] - counts[i]], own]
+            at = ends[i]
+        exact = [len(x) for x in out[1::2]]
+        counts[np.unique(np.searchsorted(np.cumsum(sizes), hits, side="right"))] = exact
+        return np.concatenate([*out, ids[at:]]), counts
 
     def exactly(self, text: str) -> list[int]:
         """Ids of a text by the ranks alone, for pieces with repeats in which ties can occur."""
         return [i for m in self.pattern.finditer(text) for i in (_long(m[0].encode(), self) if len(m[0]) > 256 else self.by_rank(m[0].encode()))]
 
+    def taken(self, values: pa.Array, ids: np.ndarray, rows: np.ndarray) -> Iterator[memoryview]:
+        """What ``values`` has for the ids of each row, one after the other."""
+        got = values.take(pa.array(ids))
+        bounds = np.frombuffer(got.buffers()[1], np.int32)[got.offset : got.offset + len(got) + 1][rows].tolist() if len(got) else [0] * len(rows)
+        data = memoryview(got.buffers()[2] or b"") if len(got) else memoryview(b"")
+        return (data[a:b] for a, b in zip(bounds, bounds[1:]))
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids."""
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -166,12 +193,11 @@ class _Memory:
         self.ids, self.start, self.length = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.n = self.pieces = 0
 
-    def add(self, keys: list[str], encoded: list[list[int]]) -> None:
-        lengths = np.array([len(x) for x in encoded], np.int64)
-        total, k = int(lengths.sum()), len(keys)
+    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        total, k = len(ids), len(keys)
         self.ids = _grown(self.ids, self.n + total)
         self.start, self.length = _grown(self.start, self.pieces + k), _grown(self.length, self.pieces + k)
-        self.ids[self.n : self.n + total] = np.fromiter(chain.from_iterable(encoded), np.int32, total)
+        self.ids[self.n : self.n + total] = ids
         self.start[self.pieces : self.pieces + k] = self.n + np.cumsum(lengths) - lengths
         self.length[self.pieces : self.pieces + k] = lengths
         self.slot.update(zip(keys, range(self.pieces, self.pieces + k)))
@@ -206,8 +232,13 @@ def encode_texts(texts: pa.Array, code: Codec, memory: _Memory) -> tuple[np.ndar
     index[first] = [len(units) + own[h] for h in heads]
     if len(memory.slot) > REMEMBER or memory.n > 16 * REMEMBER:
         memory.clear()
-    fresh = [k for k in dict.fromkeys(keys) if k not in memory.slot]
-    memory.add(fresh, code.encode(fresh))
+    blank = pc.match_substring_regex(coded.dictionary, _INNER).to_numpy(zero_copy_only=False) if len(units) else np.zeros(0, bool)
+    fresh = [u for u, other in zip(units, blank) if not other and u not in memory.slot]
+    joinable = len(fresh)
+    others = dict.fromkeys(chain((u for u, other in zip(units, blank) if other), own))
+    fresh += [k for k in others if k not in memory.slot]
+    fresh = list(dict.fromkeys(fresh))  # a head may be a unit, which is among the first
+    memory.add(fresh, *code.encode(fresh, joinable))
     slots = np.fromiter(map(memory.slot.__getitem__, keys), np.int64, len(keys))
     for k in fresh:
         if len(k) > 200:  # very long pieces aren't remembered
@@ -265,7 +296,7 @@ def encode_checked(df: DataFrame, path: str, pattern: str, column: str = "text")
 
     def make(part: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray, code: Codec) -> pa.RecordBatch:
         texts = part.column(column).cast(pa.binary()).to_pylist()
-        same = [code.decode(ids[a:b].tolist()) == (t or b"") for t, a, b in zip(texts, rows, rows[1:])]
+        same = [bytes(d) == (t or b"") for t, d in zip(texts, code.taken(code.all_bytes, ids, rows))]
         listed = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))
         return pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), listed, pa.array(np.diff(rows)), pa.array(same)], schema.fieldNames())
 
@@ -291,11 +322,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id"
     kind = df.schema[id_column].dataType.simpleString()
 
     def make(part: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray, code: Codec) -> pa.RecordBatch:
-        listed, decoded = [], []
-        for a, b in zip(rows, rows[1:]):
-            own = ids[a:b].tolist()
-            listed.append(hashlib.sha256(",".join(map(code.decimal.__getitem__, own)).encode()).hexdigest())
-            decoded.append(code.decode(own))
+        listed = [hashlib.sha256(d[:-1]).hexdigest() for d in code.taken(code.all_digits, ids, rows)]
+        decoded = [bytes(d) for d in code.taken(code.all_bytes, ids, rows)]
         same = [d == (t or b"") for d, t in zip(decoded, part.column(column).cast(pa.binary()).to_pylist())]
         return pa.RecordBatch.from_arrays([part.column(id_column), pa.array(np.diff(rows)), pa.array(listed), pa.array([hashlib.sha256(d).hexdigest() for d in decoded]), pa.array(same)], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trips"])
 
