@@ -16,8 +16,10 @@ than expected (near copies of one text) is cut to pieces, and each two pieces ar
 a whole list and every pair of it is compared. A block sends its components as stars, not as pairs.
 
 Defined results: null and empty texts are one class; rows of one id are one document; a null id takes part under a
-negative class number if nobody else in its class has an id; the class is the smallest id in it; an empty table gives
-an empty table; ``kept`` passes all other columns on.
+negative class number if nobody else in its class has an id; the class is the smallest id in it; ids are whole numbers (a TypeError
+else); an empty table gives an empty table; ``kept`` passes all other columns on, whatever their names.
+
+``n_links`` compares all pairs of a class, in blocks: exact, and quadratic in a class's distinct fingerprints. ``kept`` leaves it out.
 """
 
 from __future__ import annotations
@@ -344,14 +346,21 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _judged(docs: DataFrame, id_column: str, column: str, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """id, a, b (the fingerprint), class_id, n_links, copies of every row."""
+def _judged(docs: DataFrame, id_column: str, column: str, radius: int = RADIUS, recall: float = RECALL, links: bool = True) -> DataFrame:
+    """id, a, b (the fingerprint), class_id, copies of every row, and n_links if asked for."""
+    kind = docs.schema[id_column].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids must be whole numbers, {id_column} is {kind.simpleString()}")
     prints = cut(fingerprint_column(docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{column}`").alias("text"))))
     entries = cut(prints.groupBy("a", "b").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.coalesce("low", -F.abs(F.col("a") % (1 << 62)) - 1)))
     edges = cut(find_links(entries, entries.count(), radius, recall))
-    labelled = cut(entries.join(connected(edges), "node", "left").withColumn("class_id", F.coalesce("label", "node")))
-    known = labelled.join(link_counts(labelled, radius), ["a", "b"], "left").select("a", "b", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(known, ["a", "b"])
+    known = entries.join(connected(edges), "node", "left").withColumn("class_id", F.coalesce("label", "node"))
+    columns = ["a", "b", "copies", "class_id"]
+    if links:
+        labelled = cut(known)
+        known = labelled.join(link_counts(labelled, radius), ["a", "b"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        columns.append("n_links")
+    return prints.join(known.select(*columns), ["a", "b"])
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text", **options: object) -> DataFrame:
@@ -361,9 +370,16 @@ def classes(docs: DataFrame, id_column: str = "doc_id", column: str = "text", **
     return out.select(F.col("id").cast(kind).alias(id_column), "class_id", "n_links", "copies", F.col("id").eqNullSafe(F.col("class_id")).alias("keep"))
 
 
-def _with_prints(docs: DataFrame, column: str) -> DataFrame:
-    """All columns and rows, and the fingerprint as _print_a, _print_b."""
-    names = [*docs.columns, "_print_a", "_print_b"]
+def _free(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _with_prints(docs: DataFrame, column: str, first: str, second: str) -> DataFrame:
+    """All columns and rows, and the fingerprint in two columns of these names."""
+    names = [*docs.columns, first, second]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,22 +389,23 @@ def _with_prints(docs: DataFrame, column: str) -> DataFrame:
         release()
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_print_a", T.LongType()), T.StructField("_print_b", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(first, T.LongType()), T.StructField(second, T.LongType())]))
 
 
 def kept(docs: DataFrame, id_column: str = "doc_id", column: str = "text", **options: object) -> DataFrame:
     """One document of each class, with its own columns: one of its smallest id. Where no row of a class has an id, one of them stays."""
-    judged = cut(_judged(docs, id_column, column, **options))
+    judged = cut(_judged(docs, id_column, column, links=False, **options))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")
-    stay = cut(judged.groupBy("class_id").agg(F.min(first).alias("s")).select(F.col("class_id").alias("_class_id"), F.col("s.id").alias("_stay_id"), F.col("s.a").alias("_stay_a"), F.col("s.b").alias("_stay_b")))
+    stay_id, stay_a, stay_b, own_class, print_a, print_b = (_free(docs, n) for n in ("_stay_id", "_stay_a", "_stay_b", "_class_id", "_print_a", "_print_b"))
+    stay = cut(judged.groupBy("class_id").agg(F.min(first).alias("s")).select(F.col("class_id").alias(own_class), F.col("s.id").alias(stay_id), F.col("s.a").alias(stay_a), F.col("s.b").alias(stay_b)))
     own = F.col(f"`{id_column}`").cast("long")
     # an id of one row names it; of ids of more rows, and of none, the fingerprint says which row
-    rows = judged.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id")
-    unsure = cut(stay.join(rows, F.col("_stay_id").eqNullSafe(F.col("id")), "left_semi"))
+    rows = judged.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("more_id"))
+    unsure = cut(stay.join(rows, F.col(stay_id).eqNullSafe(F.col("more_id")), "left_semi"))
     if unsure.isEmpty():
-        return docs.join(stay.select("_stay_id"), own == F.col("_stay_id"), "left_semi")
-    named = stay.join(unsure.select("_class_id"), "_class_id", "left_anti").select("_stay_id")
-    asked = docs.join(unsure.select("_stay_id").distinct(), own.eqNullSafe(F.col("_stay_id")), "left_semi")
-    same = own.eqNullSafe(F.col("_stay_id")) & (F.col("_print_a") == F.col("_stay_a")) & (F.col("_print_b") == F.col("_stay_b"))
-    found = _with_prints(asked, column).join(unsure, same).dropDuplicates(["_class_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.join(named, own == F.col("_stay_id"), "left_semi").unionByName(found)
+        return docs.join(stay.select(stay_id), own == F.col(stay_id), "left_semi")
+    named = stay.join(unsure.select(own_class), own_class, "left_anti").select(stay_id)
+    asked = docs.join(unsure.select(stay_id).distinct(), own.eqNullSafe(F.col(stay_id)), "left_semi")
+    same = own.eqNullSafe(F.col(stay_id)) & (F.col(print_a) == F.col(stay_a)) & (F.col(print_b) == F.col(stay_b))
+    found = _with_prints(asked, column, print_a, print_b).join(unsure, same).dropDuplicates([own_class]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(named, own == F.col(stay_id), "left_semi").unionByName(found)
