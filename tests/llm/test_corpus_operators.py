@@ -165,6 +165,18 @@ def test_n_links_by_brute_force(spark):
     assert [got.get(tuple(map(int, x.view(np.int64))), 0) for x in f] == want
 
 
+def test_simhash_columns_with_its_own_names(spark):
+    names = ["id", "a", "b", "node", "class_id", "copies", "stay_id", "_stay_id", "_stay_a", "_class_id", "_print_a", "n"]
+    texts, groups = copies(n=8)
+    ids = [None if g == 2 else i for i, g in enumerate(groups)]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in zip(ids, rows_of(texts))], DOCS).select("*", *[F.col("n_chars").alias(n) for n in names])
+    rows = simhash.kept(df).collect()
+    assert simhash.kept(df).columns == df.columns and len(rows) == 8 and all(r[n] == r["n_chars"] for r in rows for n in names)
+    for f in (simhash.kept, simhash.classes):
+        with pytest.raises(TypeError):
+            f(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_simhash_odd_inputs(odd, empty):
     got = simhash.classes(odd).collect()
     assert len(got) == odd.count() and all(r["class_id"] == 0 for r in got if r["doc_id"] in (0, 1, 2))
@@ -353,6 +365,16 @@ def test_bad_neighbourhood_is_blocked(spark):
     assert got[10] == "block" and got[11] == "allow" and got[12] == "allow"
 
 
+def test_urls_odd_inputs(spark):
+    """Null html, repeated pages, a very long page, rows without url, columns with its own names."""
+    pages = [(1, "http://bad.net/es/1", None), (1, "http://bad.net/es/1", None), (2, "http://x.org/", "<a href='http://bad.net/es/1'>" + "word " * 400_000), (3, None, None), (None, "http://y.org/a?b#c", ""), (4, "http://z.org/", "see b.x9 and X.ORG or bad.net. e.g. a.b"), (4, "http://z.org/", "")]
+    df = spark.createDataFrame([(*p, "h", 1.0, ["l"]) for p in pages], "page_id bigint, url string, html string, host string, trust double, links array<string>")
+    got = Counter((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urls.judge(df).collect())
+    assert got == {(1, "bad.net", "net/es/", "block"): 2, (2, "x.org", None, "block"): 1, (3, "", None, "allow"): 1, (None, "y.org", None, "allow"): 1, (4, "z.org", None, "block"): 2}
+    named = {r["h"] for r in df.select(F.explode(urls.named_hosts(F.col("html"))).alias("h")).collect()}
+    assert named == {"bad.net", "b.x9", "x.org"}
+
+
 def brute_repeats(docs):
     seen, out = set(), {}
     for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0])):

@@ -41,6 +41,20 @@ def test_any_text_encodes_as_tiktoken_does(text):
     assert c.decode(ids[: rows[1]].tolist()) == text.encode()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["ab", "word", "Zürich", "anana", " ", " ", " ", "\n", "  ", "'s", "日本", "12", "!", "\u00a0"]), max_size=25).map("".join), min_size=1, max_size=6), st.sampled_from([1, 7, 1 << 14]))
+def test_units_that_are_encoded_together(texts, width):
+    c = bpe.codec(PATH, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    old, bpe.JOINED_BYTES = bpe.JOINED_BYTES, width
+    try:
+        ids, rows = bpe.encode_texts(pa.array(texts), c, bpe._Memory())
+    finally:
+        bpe.JOINED_BYTES = old
+    assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:])] == [enc.encode_ordinary(t) for t in texts]
+    assert [bytes(d) for d in c.taken(c.all_bytes, ids, rows)] == [t.encode() for t in texts]
+
+
 def test_encode_decode_columns_and_split_characters(spark, odd, empty):
     e = bpe.encode(odd, PATH, P.PATTERN, offsets=True)
     assert e.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep", "score", "ids", "starts"]
