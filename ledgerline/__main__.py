@@ -1,10 +1,11 @@
-"""python -m ledgerline COMMAND: validate, infer, diff, gate, log, quarantine, baselines, remedy, report, models, batch, history."""
+"""python -m ledgerline COMMAND: validate, infer, diff, gate, log, quarantine, baselines, remedy, report, models, batch, history, audits, extract, hook."""
 
 from __future__ import annotations
 
 import argparse
 import datetime
 import json
+import logging
 import os
 import sys
 import uuid
@@ -14,19 +15,26 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs as X
 from ledgerline.functions.lineage import cut
-from ledgerline.operators import ai, checks, drift, evolve, flatten, infer, profile, report, textchecks, validation
+from ledgerline.operators import ai, checks, drift, etl, evolve, flatten, graph, infer, profile, report, textchecks, validation
 from ledgerline.operators import rules as rulebook
-from ledgerline.plans import batch, documents, runlog
+from ledgerline.plans import batch, documents, external, runlog
 from ledgerline.plans.contract import Config, Contract, Registry
 from ledgerline.sources import files, readers, sinks
 
 
+NESTED = {"extractions": (flatten.EXTRACTION, ["documents", "extracted_facts", "entities"]), "events": (flatten.EVENT, ["events", "event_metadata"]), "lineage": (flatten.LINEAGE, ["lineage_nodes", "lineage_edges"])}
+
+
 def _tables(spark: SparkSession, pairs: list[str]) -> dict[str, DataFrame]:
-    """name=path: Parquet folders, or JSON lines by their ending."""
+    """name=path: Parquet folders, or JSON lines by their ending; nested:KIND=path: all tables of nested records (extractions, events or lineage)."""
     out = {}
     for pair in pairs:
         name, _, path = pair.partition("=")
-        out[name] = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+        if name.startswith("nested:"):
+            schema, tables = NESTED[name.removeprefix("nested:")]
+            out |= flatten.flatten_all(readers.jsonl(spark, path, schema), tables)
+        else:
+            out[name] = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
     return out
 
 
@@ -34,6 +42,18 @@ def _now(a: argparse.Namespace) -> str:
     return a.now or datetime.datetime.now(datetime.UTC).isoformat()
 
 
+def _attributed(spark: SparkSession, a: argparse.Namespace, contract_id: str, run_id: str, results: DataFrame) -> DataFrame:
+    """Results with stable ids, how many nodes and levels a registry's subscriptions reach from the contract, and the likeliest commit of --producer."""
+    config = Config.from_env()
+    subs = readers.subscriptions(spark, readers.registry(a.registry) if a.registry else Registry())
+    edges = subs.select(F.coalesce("source_contract", "source", "contract_id").alias("source"), F.coalesce("target", "subscriber_id").alias("target")).filter("source is not null and target is not null")
+    reach = graph.reachable(edges, spark.createDataFrame([(contract_id,)], "node string"))
+    commits = readers.git_log(spark, os.path.dirname(os.path.abspath(a.producer)), os.path.basename(a.producer), config.git_log_limit) if a.producer else spark.createDataFrame([], "hash string, author string, ts string, message string")
+    culprits = graph.blame(commits, _now(a), most=config.blame_candidates, per_day=config.blame_per_day, per_hop=config.blame_per_hop)
+    found = graph.attribute(results, contract_id, run_id, reach, culprits)
+    return results.join(found.select("check_id", "violation_id", "reached", "depth", "commit"), "check_id")
+
+
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     """Check tables against a contract, with drift against baselines and freshness where given; the exit code is the mode's. The enforcement's mode goes before the command line's."""
     doc = readers.settings(a.contract)
@@ -49,12 +69,12 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
         run = validation.validate(tables, contract, rules, baselines, aged, Config.from_env(), a.mode)
         results = cut(run.results)  # now, as a baseline that it reads may be replaced
         if a.log and not a.dry_run:
-            violations = results.withColumn("violation_id", X.uuid5(F.concat_ws(":", F.lit(contract.id), F.lit(run_id), "check_id")))
+            violations = _attributed(spark, a, contract.id, run_id, results)
             sinks.append_log(violations, a.log, contract.id, run_id, _now(a))
         if a.report and not a.dry_run:
             previous = readers.previous_snapshot(a.snapshots) if a.snapshots else None
             versions = [documents.clauses(spark, documents.from_document(d)) if d else None for d in (previous, doc)]
-            sinks.document(validation.report(validation.Run(results, run.stats, run.mode), contract, run_id, _now(a), validation.samples(tables, contract, results), *versions), a.report)
+            sinks.document(validation.report(validation.Run(results, run.stats, run.mode), contract, run_id, _now(a), validation.samples(tables, contract, results, enums=Config.from_env().sample_limit), *versions), a.report)
         if a.baselines and not a.dry_run:
             sinks.baselines(run.stats, a.baselines, a.promote)
         t = checks.tally(results).first().asDict()
@@ -74,7 +94,10 @@ def infer_contract(spark: SparkSession, a: argparse.Namespace) -> int:
         enums = {r["column_name"]: values.get(r["column_name"], ()) for r in clauses.filter("is_enum").collect()}
         found.append(infer.table_contract(name, clauses, enums))
         rows = profiled.orderBy("column_name").collect()  # a row a column
+        for r in infer.ambiguous(profiled, kinds).collect():  # a row a column; not part of the contract
+            logging.getLogger("ledgerline.infer").info("%s.%s may need a description: %s", name, r["column_name"], r["description"])
         rules += rulebook.rules_of(name, [r.asDict() for r in rows], kinds, values, max((r["rows"] for r in rows), default=0))
+    rules = {"graph": rulebook.graph_rules(), "events": rulebook.event_rules(a.event_types, a.services)}.get(a.rules, rules)
     nodes = readers.lineage(spark, a.lineage)[1] if a.lineage else spark.createDataFrame([], "source string, target string, relationship string, confidence double")
     subs = readers.subscriptions(spark, readers.registry(a.registry) if a.registry else Registry())
     consumers = [r.asDict() for r in infer.consumers(spark, nodes, subs, a.id).orderBy("id").collect()]
@@ -160,7 +183,7 @@ def make_report(spark: SparkSession, a: argparse.Namespace) -> int:
     model = readers.optional_json(a.models)
     known = {f.split(" ")[0] for f in ai.ROW.split(", ")}
     checks_ = spark.createDataFrame([tuple(c.get(k.split(" ")[0]) for k in ai.ROW.split(", ")) for c in model["checks"]], ai.ROW) if model and known else None
-    changes = evolve.diff(*_pair(spark, a)) if a.old and a.new else None
+    changes = evolve.diff(*_pair(spark, a)) if a.old and a.new else report.evolution_of(spark, readers.optional_json(a.evolution))
     log_ = spark.read.parquet(a.log) if a.log and files.exists(spark, a.log) else None
     failures = evolve.consumer_failures(changes, readers.subscriptions(spark, readers.registry(a.registry))) if changes is not None and a.registry else None
     sources = report.manifest({"validation_reports": a.reports, "models": a.models, "versions": [a.old, a.new], "violation_log": a.log}, log_)
@@ -174,11 +197,13 @@ def make_report(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def models(spark: SparkSession, a: argparse.Namespace) -> int:
     """Check what models read and write: facts' texts against the stored baseline, inputs against their schema, answers' violations; 1 where a check fails."""
-    records = spark.read.text(a.extractions).filter("trim(value) <> ''")
+    records = spark.read.text(a.extractions).filter("trim(value) <> ''").withColumnRenamed("value", "record")
     facts = flatten.facts(readers.jsonl(spark, a.extractions, flatten.EXTRACTION))
     answers = readers.variants(spark, a.answers).withColumn("ord", F.monotonically_increasing_id())
     required = readers.settings(a.schema) if a.schema else {"doc_id": "string", "source_path": "string", "extraction_model": "string"}
-    found = ai.run_all(ai.Inputs(facts, "text", records, "value", required, answers, "v", ["ord"], a.baseline), Config.from_env())
+    found = ai.run_all(ai.Inputs(facts, "text", records, "record", required, answers, "v", ["ord"], a.baseline), Config.from_env())
+    if a.quarantine:
+        sinks.quarantine(textchecks.split(records, "record", required)[1], a.quarantine, _now(a))
     doc = ai.document(found, _now(a))
     if a.out:
         sinks.document(doc, a.out)
@@ -216,20 +241,52 @@ def history(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def quarantine(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Print the errors of a quarantine; write what only has allowed ones; or archive it."""
+    """Print the errors of a quarantine; write what only has allowed ones, and with --remove take it out of the quarantine; or archive it. Lines that aren't JSON are left out."""
     rows = spark.read.json(a.path)
+    if "_corrupt_record" in rows.columns:
+        rows = cut(rows).filter("_corrupt_record is null").drop("_corrupt_record")
     for r in textchecks.error_histogram(rows, a.key).orderBy(F.col("records").desc(), "error").limit(a.most).collect():
         print(json.dumps(r.asDict()))
     if a.out:
         sinks.jsonl(textchecks.requeue(rows, a.allow).drop("schema_errors", "quarantined_at"), a.out)
+    if a.out and a.remove:
+        stay = cut(rows.join(textchecks.requeue(rows, a.allow).select(a.key), a.key, "left_anti"))
+        sinks.rewrite(stay, a.path)
     if a.archive:
         print(sinks.archive(spark, a.path))
     return 0
 
 
+def audits(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Write the verdict records of Markdown audit reports as JSON lines; 2 where there are none."""
+    paths = readers.reports_in(spark, a.reports)
+    if not paths:
+        print("there are no reports", file=sys.stderr)
+        return 2
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    sinks.jsonl(etl.verdict_records(texts, "text", "path", now=_now(a)), a.out)
+    return 0
+
+
+def extract(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Run a program on each file that --done doesn't have yet, each for --timeout seconds at most; 1 where one fails."""
+    done = flatten.documents(readers.jsonl(spark, a.done, flatten.EXTRACTION, strict=False)).select("source_path", F.substring_index("source_path", "/", -1).alias("name")) if a.done else None
+    found = external.extract(spark, a.program.split(), a.files, done, a.timeout, a.workers)
+    for f in found:
+        print(json.dumps(vars(f)))
+    return int(any(f.status in ("ERROR", "TIMEOUT") for f in found))
+
+
+def hook(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Install the hook that runs the gate before a push."""
+    print(external.install_hook(a.repository, a.contracts, a.registry))
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     """All commands."""
     p = argparse.ArgumentParser(prog="ledgerline", description=__doc__)
+    p.add_argument("--root", help="a folder that contracts and outputs must lie in")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name, f, *arguments):
@@ -242,18 +299,21 @@ def parser() -> argparse.ArgumentParser:
     flag = lambda name, **o: ((name,), o)
     yes = {"action": "store_true"}
     now, registry_ = flag("--now", default=""), flag("--registry")
-    add("validate", validate, flag("contract"), tables, registry_, flag("--log"), flag("--mode", choices=list(readers.MODES)), now, flag("--baselines"), flag("--promote", **yes), flag("--dry-run", **yes), flag("--report"), flag("--snapshots"))
-    add("infer", infer_contract, flag("id"), flag("out"), tables, registry_, flag("--lineage"), flag("--snapshots"), now)
+    add("validate", validate, flag("contract"), tables, registry_, flag("--log"), flag("--mode", choices=list(readers.MODES)), now, flag("--baselines"), flag("--promote", **yes), flag("--dry-run", **yes), flag("--report"), flag("--snapshots"), flag("--producer"))
+    add("infer", infer_contract, flag("id"), flag("out"), tables, registry_, flag("--lineage"), flag("--snapshots"), now, flag("--rules", choices=["graph", "events"]), flag("--event-types", nargs="*", default=[]), flag("--services", nargs="*", default=[]))
     add("diff", diff, flag("old"), flag("new"))
     add("gate", gate, flag("old"), flag("new"), flag("registry"), flag("--ref"))
     add("log", log, flag("path"), flag("--most", type=int, default=5))
-    add("quarantine", quarantine, flag("path"), flag("key"), flag("--allow", nargs="*", default=[]), flag("--out"), flag("--archive", **yes), flag("--most", type=int, default=20))
+    add("quarantine", quarantine, flag("path"), flag("key"), flag("--allow", nargs="*", default=[]), flag("--out"), flag("--archive", **yes), flag("--remove", **yes), flag("--most", type=int, default=20))
     add("baselines", baselines, flag("path"), flag("--clear"))
     add("remedy", remedy, flag("report"), flag("out"), flag("--rules"))
-    add("report", make_report, flag("out"), flag("reports", nargs="+"), flag("--models"), flag("--old"), flag("--new"), registry_, flag("--log"), flag("--version", choices=["1.0", "2.0"], default="2.0"), now)
-    add("models", models, flag("extractions"), flag("answers"), flag("baseline"), flag("--schema"), flag("--out"), now)
+    add("report", make_report, flag("out"), flag("reports", nargs="+"), flag("--models"), flag("--old"), flag("--new"), flag("--evolution"), registry_, flag("--log"), flag("--version", choices=["1.0", "2.0"], default="2.0"), now)
+    add("models", models, flag("extractions"), flag("answers"), flag("baseline"), flag("--schema"), flag("--quarantine"), flag("--out"), now)
     add("batch", run_manifest, flag("manifest"), flag("--baselines"), flag("--workers", type=int), flag("--fail-fast", **yes), flag("--out"))
     add("history", history, flag("folder"), flag("--since"))
+    add("audits", audits, flag("reports"), flag("out"), now)
+    add("extract", extract, flag("program"), flag("files", nargs="+"), flag("--done"), flag("--timeout", type=float, default=120.0), flag("--workers", type=int, default=1))
+    add("hook", hook, flag("repository"), flag("contracts"), flag("registry"))
     return p
 
 
@@ -263,6 +323,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     runlog.configure(str(uuid.uuid4()))
     spark = spark or SparkSession.builder.appName("ledgerline").getOrCreate()
     try:
+        for name in ("contract", "report", "out", "log", "baselines", "snapshots") if a.root else ():
+            if isinstance(getattr(a, name, None), str):
+                readers.within(getattr(a, name), a.root)
         return a.run(spark, a)
     except (OSError, ValueError, KeyError) as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)

@@ -137,10 +137,15 @@ def tally(results: DataFrame) -> DataFrame:
 
 
 def quality_rules(df: DataFrame, rules: Mapping[str, Column], unique: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """(rule, violations): every rule's failing rows, and rows beyond the distinct keys, in one aggregation."""
-    aggs = [F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(rules.values())]
-    keys = list((unique or {}).values())
-    aggs += [(F.count(F.lit(1)) - F.count_distinct(F.struct(*k))).alias(f"u{i}") for i, k in enumerate(keys)]
-    names = [(n, f"r{i}") for i, n in enumerate(rules)] + [(n, f"u{i}") for i, n in enumerate(unique or {})]
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(c).alias("violations")) for n, c in names])).alias("r")).select("r.*")
+    """(rule, violations): every rule's failing rows in one aggregation, and rows beyond the distinct keys, each from counts by key, so that no row is copied a key and no task holds all keys."""
+    parts = []
+    if rules:
+        one = df.agg(*[F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(rules.values())])
+        parts.append(one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("violations")) for i, n in enumerate(rules)])).alias("r")).select("r.*"))
+    for name, keys in (unique or {}).items():
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(counts.agg((F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).alias("violations")).select(F.lit(name).alias("rule"), "violations"))
+    out = parts[0] if parts else df.sparkSession.createDataFrame([], "rule string, violations bigint")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -33,8 +33,8 @@ RELATIONS = {
 
 
 def sequenced(df: DataFrame, stream: str, order: Sequence[str]) -> DataFrame:
-    """sequence_number from 0 in each stream, in arrival order."""
-    return df.withColumn("sequence_number", F.row_number().over(Window.partitionBy(stream).orderBy(*order)) - 1)
+    """sequence_number from 0 in each stream, in arrival order; a stream of many rows is numbered in ranges."""
+    return numbered(df, order, "_number", [stream]).withColumn("sequence_number", (F.col("_number") - 1).cast("int")).drop("_number")
 
 
 def positioned(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -93,9 +93,11 @@ def first_wins(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str]
 
 
 def _first_of_each(items: Column, key) -> Column:
-    """Array elements without those whose key an earlier one has."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """Array elements without those whose key an earlier one has. A fold, as a lambda that named the array would make it anew for each element."""
+    none = F.filter(items, lambda x: F.lit(False))
+    start = F.struct(F.array().cast("array<string>").alias("keys"), none.alias("out"))
+    step = lambda acc, x: F.when(F.array_contains(acc["keys"], key(x)), acc).otherwise(F.struct(F.array_append(acc["keys"], key(x)).alias("keys"), F.array_append(acc["out"], x).alias("out")))
+    return F.aggregate(items, start, step, lambda acc: acc["out"])
 
 
 def entity_candidates(text: Column) -> Column:
@@ -159,12 +161,15 @@ def extraction_records(df: DataFrame) -> DataFrame:
     found = entity_candidates(F.array_join(F.transform("_texts", lambda t: t["text"]), " "))
     entity = lambda e: F.struct(X.uuid5(F.concat_ws(":", F.lit("entity"), "_id", e["kind"], F.lower(e["value"]))).alias("entity_id"), e["value"].alias("name"), e["kind"].alias("type"), e["value"].alias("canonical_value"))
     named = named.withColumn("_entities", F.transform(found, entity))
-    of_page = F.map_from_entries(_first_of_each(F.filter(F.transform(pages, lambda p: F.struct(F.coalesce(p["page_number"], F.lit(0)).alias("k"), p["confidence"].alias("v"))), lambda e: e["v"].isNotNull()), lambda e: e["k"]))
-    refs = lambda text: F.transform(F.filter("_entities", lambda e: F.contains(F.lower(text), F.lower(e["canonical_value"]))), lambda e: e["entity_id"])
-    fact = lambda t: F.struct(X.uuid5(F.concat_ws(":", F.lit("fact"), "doc_id", t["page"].cast("string"), t["kind"], F.lower(t["text"]))).alias("fact_id"), t["text"].alias("text"), refs(t["text"]).alias("entity_refs"), F.round(confidence(of_page[t["page"]], F.col("confidence")), 3).alias("confidence"), t["page"].cast("bigint").alias("page_ref"), X.shorten(t["text"]).alias("source_excerpt"))
+    of_page = F.map_from_entries(_first_of_each(F.filter(F.transform(pages, lambda p: F.struct(F.coalesce(p["page_number"], F.lit(0)).alias("k"), p["confidence"].alias("v"))), lambda e: e["v"].isNotNull()), lambda e: e["k"].cast("string")))
+    named = named.withColumn("_sure", of_page)
+    # entities and confidences go with each text, as a lambda that named their columns could make them anew for each
+    shared = F.struct(F.col("_entities").alias("entities"), F.col("_sure").alias("sure"))
+    refs = lambda text, entities: F.transform(F.filter(entities, lambda e: F.contains(F.lower(text), F.lower(e["canonical_value"]))), lambda e: e["entity_id"])
+    fact = lambda t, own: F.struct(X.uuid5(F.concat_ws(":", F.lit("fact"), "doc_id", t["page"].cast("string"), t["kind"], F.lower(t["text"]))).alias("fact_id"), t["text"].alias("text"), refs(t["text"], own["entities"]).alias("entity_refs"), F.round(confidence(own["sure"][t["page"]], F.col("confidence")), 3).alias("confidence"), t["page"].cast("bigint").alias("page_ref"), X.shorten(t["text"]).alias("source_excerpt"))
     name = X.squeeze(first_of(F.col("file_name"), F.col("file_path"), F.col("doc_id"), default="document"))
     fallback = F.struct(X.uuid5(F.concat_ws(":", F.lit("fact"), "doc_id", F.lit("fallback"), F.lower(name))).alias("fact_id"), name.alias("text"), F.array().cast(TEXT_LIST).alias("entity_refs"), F.round(confidence(F.lit(None).cast("double"), F.col("confidence")), 3).alias("confidence"), F.lit(0).cast("bigint").alias("page_ref"), X.shorten(name).alias("source_excerpt"))
-    facts = F.when(F.size("_texts") > 0, F.transform("_texts", fact)).otherwise(F.array(fallback))
+    facts = F.when(F.size("_texts") > 0, F.zip_with("_texts", F.array_repeat(shared, F.size("_texts")), fact)).otherwise(F.array(fallback))
     tokens = lambda c: F.aggregate(F.transform(c, lambda f: X.token_estimate(f["text"]).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
     out = named.withColumn("extracted_facts", facts)
     return out.select(

@@ -70,10 +70,10 @@ def catalog_status(contracts: DataFrame, contract_id: str) -> tuple[str, str | N
     return (row["status"] or "unknown", row["data_path"]) if row else ("unknown", None)
 
 
-def blame(commits: DataFrame, now: str, hops: int = 0, most: int = 5) -> DataFrame:
+def blame(commits: DataFrame, now: str, hops: int = 0, most: int = 5, per_day: float = 0.1, per_hop: float = 0.2) -> DataFrame:
     """The commits of the highest scores (hash, author, ts): a tenth less a day of age, a fifth less a hop; no time is thirty days."""
     days = F.coalesce((F.lit(now).cast("timestamp").cast("double") - F.col("ts").try_cast("timestamp").cast("double")) / 86400, F.lit(30.0))
-    scored = commits.withColumn("score", X.blame_score(days, F.lit(hops)))
+    scored = commits.withColumn("score", X.blame_score(days, F.lit(hops), per_day, per_hop))
     return scored.orderBy(F.col("score").desc(), "hash").limit(most)
 
 

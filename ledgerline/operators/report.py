@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.textchecks import in_ranges
+
 RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3, "COMPAT": 4}
 
 
@@ -34,6 +36,21 @@ def evolution_verdict(changes: DataFrame) -> DataFrame:
     return n.withColumn("verdict", F.when(F.col("breaking_changes") > 0, "breaking").otherwise("compatible"))
 
 
+def evolution_of(spark: SparkSession, doc: dict | None) -> DataFrame | None:
+    """The changes (table_name, field, change, severity, breaking) that a document tells: its list of breaking changes, else its results that aren't PASS, else the columns that its summary says went or came; None without a document."""
+    if not doc:
+        return None
+    told = doc.get("breaking_changes", doc.get("schema_diff"))
+    if isinstance(told, list):
+        rows = [(c.get("table") or c.get("table_name"), c.get("field"), c.get("type") or c.get("change") or "changed", str(c.get("severity") or "UNKNOWN").upper()) for c in told if isinstance(c, dict)]
+    else:
+        rows = [(r.get("table_name"), r.get("column_name"), r.get("check_type") or "changed", str(r.get("severity") or "UNKNOWN").upper()) for r in doc.get("results") or [] if r.get("status") != "PASS"]
+    if not rows:
+        both = doc.get("schema_summary") or {}
+        rows = [(c.get("table"), c.get("column"), kind, severity) for part, kind, severity in (("missing_columns", "schema_missing", "CRITICAL"), ("new_columns", "schema_new_column", "MEDIUM")) for c in both.get(part) or []]
+    return spark.createDataFrame(rows, "table_name string, field string, change string, severity string").withColumn("breaking", F.col("severity").isin("CRITICAL", "HIGH"))
+
+
 def health(results: DataFrame, penalty: float = 20, checks: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """Totals, pass rate, critical failures, score (pass rate less a penalty for each, within 0 and 100) and verdict.
 
@@ -166,9 +183,15 @@ def steps(spark: SparkSession, rules: dict | None = None) -> DataFrame:
 
 
 def runs(log: DataFrame, order: str) -> DataFrame:
-    """Log rows with the run of the header before them: ``record_type`` run_header begins a run. Rows before any header have none."""
-    w = Window.partitionBy("contract_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("run", F.last(F.when(F.col("record_type") == "run_header", F.col("run_id")), True).over(w)).filter("record_type <> 'run_header'")
+    """Log rows with the run of the header before them: ``record_type`` run_header begins a run. Rows before any header have none. A contract's log is filled range by range, from the last header of the ranges before."""
+    head = F.col("record_type") == "run_header"
+    ranged = in_ranges(log, ["contract_id", order])
+    own = Window.partitionBy("contract_id", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = ranged.withColumn("_own", F.last(F.when(head, F.col("run_id")), True).over(own))
+    last = ranged.groupBy("contract_id", "_part").agg(F.max_by(F.when(head, F.col("run_id")), F.when(head, F.col(order))).alias("_last"))  # a row a range and contract
+    earlier = last.withColumn("_before", F.last("_last", True).over(Window.partitionBy("contract_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("contract_id").alias("_contract"), F.col("_part").alias("_range"), "_before")
+    out = filled.join(earlier, F.col("contract_id").eqNullSafe(F.col("_contract")) & (F.col("_part") == F.col("_range")))
+    return out.withColumn("run", F.coalesce("_own", "_before")).filter("record_type <> 'run_header'").select(*log.columns, "run")
 
 
 def latest_run(log: DataFrame) -> DataFrame:

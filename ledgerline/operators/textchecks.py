@@ -127,13 +127,21 @@ def violation_trend(df: DataFrame, bad: str, order: Sequence[str], config: Confi
     return got.select("records", "violations", F.round(rate, 6).alias("rate"), status.alias("status"), trend.alias("trend"), (rate > config.llm_violation_rate).alias("logged"))
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Number all rows from 1 by ``order``, in ranges that are sorted apart: no task gets all rows. The ranges are written, so that both who count and who number see the same."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(parts, *order)).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order)
-    placed = ranged.withColumn("_own", F.row_number().over(w))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in ranges by ``order``, with the range's number as _part. Ranges are written, so that all who read them see the same; a key that has many rows lies in several."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *order)).withColumn("_part", F.spark_partition_id())
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Number all rows, or those of each key, from 1 by ``order``, in ranges that are sorted apart: no task gets all rows, nor all of a key."""
+    ranged = in_ranges(df, [*by, *order])
+    placed = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    counts = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range and key
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if not by:
+        return placed.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    keys = [F.col(c).alias(f"_key{i}") for i, c in enumerate(by)]
+    before = before.select(*keys, F.col("_part").alias("_range"), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(by)] + [F.col("_part") == F.col("_range")]
+    return placed.join(before, same).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)

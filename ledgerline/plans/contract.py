@@ -108,6 +108,9 @@ class Config:
     enum_limit: int = 10
     sample_limit: int = 10
     blame_candidates: int = 5
+    git_log_limit: int = 20
+    blame_per_day: float = 0.1
+    blame_per_hop: float = 0.2
     critical_penalty: float = 20.0
     fresh_warn_hours: float = 24.0
     fresh_fail_hours: float = 72.0

@@ -51,6 +51,7 @@ _FAULTS = f"""(SELECT event_id, j, CASE WHEN NOT json_valid(j) THEN ['not JSON']
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON text an event, of every kind of fault and none: events' own properties have no faults."""
     return read(spark, sf_dir, "events").select("event_id", F.expr(_EVENT_JSON).alias("record"))
 
 
@@ -60,6 +61,12 @@ def prompt_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.prompt_schema(_records(spark, sf_dir), "record", _SCHEMA)
 
 
+@query("SELECT count(*)::BIGINT AS records, count(*) FILTER (WHERE json_type(props, '$.k') IS NULL OR json_type(props, '$.k') NOT IN ('UBIGINT', 'BIGINT'))::BIGINT AS violations, round(count(*) FILTER (WHERE json_type(props, '$.k') IS NULL OR json_type(props, '$.k') NOT IN ('UBIGINT', 'BIGINT')) / count(*), 6) AS rate, CASE WHEN count(*) FILTER (WHERE json_type(props, '$.k') IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM events")
+def props_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the properties of events, as they are, fit a JSON schema."""
+    return T.prompt_schema(read(spark, sf_dir, "events"), "props", {"k": "integer"})
+
+
 @query(f"SELECT event_id, array_to_string(e, '; ') AS errors FROM {_FAULTS} WHERE len(e) > 0")
 def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quarantined ones, with why."""
@@ -87,7 +94,7 @@ def llm_rate_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ANSWER = """CASE event_id % 11 WHEN 0 THEN '{}' WHEN 1 THEN '{"verdict": null}' WHEN 2 THEN '{"verdict": {"confidence": 0.5, "reasoning": "r"}}' WHEN 3 THEN '{"verdict": {"decision": "d", "reasoning": "r"}}'
  WHEN 4 THEN '{"verdict": {"decision": "d", "confidence": 1.5}}' WHEN 5 THEN '{"verdict": {"decision": "d", "confidence": "high", "reasoning": "r"}}' WHEN 6 THEN '{"verdict": "oops {"}' WHEN 7 THEN '{"verdict": "[1, 2]"}' WHEN 8 THEN '{"verdict": 7}'
- WHEN 9 THEN concat('{"verdict": {"decision": "d", "confidence": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END, ', "reasoning": "r"}}') ELSE concat('{"verdict": {"decision": "', event_type, '", "confidence": ', CAST(value AS INTEGER) / 50, ', "reasoning": "r"}}') END"""
+ WHEN 9 THEN concat('{"verdict": {"decision": "d", "confidence": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END, ', "reasoning": "r"}}') ELSE concat('{"verdict": {"decision": "', event_type, '", "confidence": ', CAST(floor(value) AS INTEGER) / 50, ', "reasoning": "r"}}') END"""
 _KINDS = f"""(SELECT event_id, CASE WHEN t IS NULL OR t = 'NULL' THEN ['missing_verdict']
  WHEN t = 'OBJECT' THEN list_filter([CASE WHEN json_type(v, '$.decision') IS NULL THEN 'missing_decision' WHEN c IS NULL THEN 'missing_confidence' WHEN json_type(v, '$.reasoning') IS NULL THEN 'missing_reasoning' END,
   CASE WHEN c IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN CASE WHEN CASE v ->> '$.confidence' WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE (v ->> '$.confidence')::DOUBLE END NOT BETWEEN 0 AND 1 THEN 'confidence_out_of_range' END WHEN c <> 'NULL' THEN 'confidence_type_mismatch' END], lambda x: x IS NOT NULL)

@@ -54,6 +54,17 @@ def texts_in(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+def reports_in(spark: SparkSession, path: str | None, folders: Sequence[str] = (), alias: tuple[str, str] = ("", "")) -> list[str]:
+    """Markdown reports: a file, those of a folder, or, where the path has another spelling (``alias``), of that one; without a path those of the first of ``folders`` that has any. A path that is nowhere is an error."""
+    of = lambda p: [p] if p.endswith(".md") else [f for f in files.names(spark, p) if f.endswith(".md")]
+    if path is None:
+        return next((found for f in folders if (found := of(f))), [])
+    for p in dict.fromkeys((path, path.replace(*alias) if alias[0] else path)):
+        if files.exists(spark, p):
+            return of(p)
+    raise FileNotFoundError(path)
+
+
 def digests(spark: SparkSession, pattern: str) -> DataFrame:
     """(file, sha256) of files; files over 2 GB need file_digest."""
     return spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))

@@ -6,6 +6,7 @@ import pytest
 import yaml
 
 from ledgerline.__main__ import main
+from ledgerline.operators import etl, graph, infer, report
 from ledgerline.plans import batch, documents, runlog
 from ledgerline.plans.contract import Contract, Field, ForeignKey, Table
 from ledgerline.sources import files, readers, sinks
@@ -193,3 +194,92 @@ def test_span_names_jobs(spark):
     with runlog.span(spark, "counting", n=1):
         assert spark.sparkContext.getLocalProperty("spark.job.description") == "counting"
     assert spark.sparkContext.getLocalProperty("spark.job.description") != "counting"
+
+
+def test_violations_are_attributed_in_the_log(spark, tmp_path, capsys):
+    data = lines(tmp_path / "t.jsonl", {"k": "z"})
+    c, reg, log = str(tmp_path / "c.yaml"), str(tmp_path / "reg.yaml"), str(tmp_path / "log")
+    sinks.document(documents.to_document(Contract("c", (Table("t", (Field("k", enum=("a",)),)),))), c)
+    sinks.document({"subscriptions": [{"contract_id": "c", "source_contract": "c", "target": "d", "subscriber_id": "d"}, {"contract_id": "d", "source_contract": "d", "target": "e", "subscriber_id": "e"}]}, reg)
+    assert main(["validate", c, f"t={data}", "--registry", reg, "--log", log, "--now", "2024-01-01T00:00:00"], spark) == 0
+    rows = spark.read.parquet(log).collect()
+    assert [(r["check_id"], r["reached"], r["depth"], r["commit"]) for r in rows] == [("t.k.enum", 2, 2, None)] and len(rows[0]["violation_id"]) == 36
+    assert main(["--root", str(tmp_path / "elsewhere"), "validate", c, f"t={data}"], spark) == 2
+    capsys.readouterr()
+
+
+def test_nested_tables_and_fixed_rules(spark, tmp_path, capsys):
+    fact = {"fact_id": "f", "text": "t", "entity_refs": [], "confidence": 0.5, "page_ref": 1, "source_excerpt": ""}
+    ex = lines(tmp_path / "e.jsonl", {"doc_id": "d", "extracted_facts": [fact, fact]}, {"doc_id": "e"})
+    out = str(tmp_path / "c.yaml")
+    assert main(["infer", "c", out, f"nested:extractions={ex}"], spark) == 0
+    doc = yaml.safe_load(open(out))
+    assert set(doc["tables"]) == {"documents", "extracted_facts", "entities"} and "extracted_facts.doc_id.references.documents.doc_id" in {r["name"] for r in doc["quality"]}
+    assert main(["infer", "c", out, f"nested:extractions={ex}", "--rules", "events", "--event-types", "view", "--services", "web"], spark) == 0
+    assert "event_metadata.global_position.positive" in {r["name"] for r in yaml.safe_load(open(out))["quality"]}
+    capsys.readouterr()
+
+
+def test_quarantine_gives_rows_back(spark, tmp_path, capsys):
+    q = tmp_path / "q"
+    q.mkdir()
+    (q / "a.json").write_text('{"id": 1, "schema_errors": ["a"], "quarantined_at": "x"}\nnot json\n{"id": 2, "schema_errors": ["b"], "quarantined_at": "x"}\n')
+    assert main(["quarantine", str(q), "id", "--allow", "a", "--out", str(tmp_path / "out"), "--remove"], spark) == 0
+    assert [r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()] == [1] and [r["id"] for r in spark.read.json(str(q)).collect()] == [2]
+    capsys.readouterr()
+
+
+def test_audits_extractions_and_hook(spark, tmp_path, capsys):
+    folder = tmp_path / "reports"
+    folder.mkdir()
+    (folder / "one.md").write_text("# A\n### Criterion: c1\n**Final Score:** 4/5\n")
+    (folder / "two.md").write_text("nothing\n")
+    out = str(tmp_path / "v")
+    assert main(["audits", str(folder), out, "--now", "t"], spark) == 0
+    got = {r["target_ref"]: (r["overall_score"], r["overall_verdict"], r["confidence"], r["evaluated_at"]) for r in spark.read.json(out).collect()}
+    assert got == {"one": (4.0, "PASS", 0.94, "t"), "two": (0.0, "BLOCK", 0.5, "t")}
+    assert readers.reports_in(spark, str(folder).replace("reports", "rep_orts"), alias=("rep_orts", "reports")) == readers.reports_in(spark, None, [str(tmp_path / "no"), str(folder)])
+    with pytest.raises(FileNotFoundError):
+        readers.reports_in(spark, str(tmp_path / "no"))
+    files_ = [str(tmp_path / n) for n in ("a.pdf", "b.pdf", "c.pdf")]
+    for f in files_:
+        open(f, "w").write(os.path.basename(f))
+    done = lines(tmp_path / "done.jsonl", {"doc_id": "1", "source_path": "other/b.pdf"})
+    capsys.readouterr()
+    assert main(["extract", "grep -q a", *files_, "--done", done, "--workers", "2"], spark) == 1
+    assert {os.path.basename(x["file"]): x["status"] for x in map(json.loads, capsys.readouterr().out.splitlines())} == {"a.pdf": "OK", "b.pdf": "SKIP", "c.pdf": "ERROR"}
+    assert main(["extract", "tail -f", files_[0], "--timeout", "0.3"], spark) == 1
+    repo = tmp_path / "r"
+    subprocess.run(["git", "init", "-q", str(repo)], check=True)
+    for _ in range(2):
+        assert main(["hook", str(repo), "contracts", "registry.yaml"], spark) == 0
+    assert os.access(repo / ".git/hooks/pre-push", os.X_OK) and os.path.exists(repo / ".git/hooks/pre-push.before")
+    subprocess.run(["sh", "-n", str(repo / ".git/hooks/pre-push")], check=True)
+    capsys.readouterr()
+
+
+def test_changes_told_by_documents(spark):
+    of = lambda d: [(r["table_name"], r["field"], r["change"], r["breaking"]) for r in report.evolution_of(spark, d).collect()]
+    assert report.evolution_of(spark, None) is None
+    assert of({"breaking_changes": [{"table": "t", "field": "f", "type": "removed", "severity": "critical"}, 3]}) == [("t", "f", "removed", True)]
+    results = [{"table_name": "t", "column_name": "f", "check_type": "enum", "severity": "HIGH", "status": "FAIL"}, {"status": "PASS"}]
+    assert of({"results": results}) == [("t", "f", "enum", True)]
+    assert of({"results": [], "schema_summary": {"missing_columns": [{"table": "t", "column": "a"}], "new_columns": [{"table": "t", "column": "b"}]}}) == [("t", "a", "schema_missing", True), ("t", "b", "schema_new_column", False)]
+
+
+def test_other_readers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"doc_id": "1"}'), (tmp_path / "b.routing.json").write_text('{"doc_id": "2"}')
+    assert [r["doc_id"] for r in readers.documents_in(spark, str(tmp_path / "*.json"), "doc_id string").collect()] == ["1"]
+    (tmp_path / "x.md").write_text("a\nb")
+    assert readers.texts_in(spark, str(tmp_path / "x.md")).first()["text"] == "a\nb"
+    seed = tmp_path / "s.jsonl"
+    seed.write_text('{"stream_id": "s-1", "event_type": "e", "event_version": 2, "payload": {"user_id": "u"}, "recorded_at": "r"}\n\n{"stream_id": "s-2", "event_type": "f"}\n')
+    rows = readers.seed_events(spark, str(seed)).orderBy("ord").collect()
+    assert [r["event_type"] for r in rows] == ["e", "f"] and json.loads(rows[0]["payload"]) == {"user_id": "u"} and rows[0]["event_version"] == "2"
+    assert readers.optional_json(None) is None and readers.optional_json(str(tmp_path / "none.json")) is None
+    catalog = spark.createDataFrame([("c", "active", "d/"), ("x", None, None)], "id string, status string, data_path string")
+    assert [graph.catalog_status(catalog, i) for i in "cxz"] == [("active", "d/"), ("unknown", None), ("unknown", None)]
+    assert etl.common_root(["/a/b/c.sql", "\\a\\b\\d\\e.yml", "rel", ""]) == "/a/b" and etl.common_root(["x"]) is None
+    assert infer.source_description("Event-Log", {"event": "the log"}) == "the log"
+    work = spark.createDataFrame([("a/1", "1"), ("a/2", "2")], "source_path string, name string")
+    assert [r["name"] for r in readers.pending(work, spark.createDataFrame([("z", "1"), (None, None)], "source_path string, name string"), ["source_path", "name"]).collect()] == ["2"]
