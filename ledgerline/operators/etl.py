@@ -92,22 +92,29 @@ def first_wins(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str]
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def _once(value: Column, made) -> Column:
+    """What ``made`` makes of a value, which is computed once however often that names it."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def _first_of_each(items: Column, key) -> Column:
     """Array elements without those whose key an earlier one has. A fold, as a lambda that named the array would make it anew for each element."""
-    none = F.filter(items, lambda x: F.lit(False))
-    start = F.struct(F.array().cast("array<string>").alias("keys"), none.alias("out"))
     step = lambda acc, x: F.when(F.array_contains(acc["keys"], key(x)), acc).otherwise(F.struct(F.array_append(acc["keys"], key(x)).alias("keys"), F.array_append(acc["out"], x).alias("out")))
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    start = lambda own: F.struct(F.array().cast("array<string>").alias("keys"), F.filter(own, lambda x: F.lit(False)).alias("out"))
+    return _once(items, lambda own: F.aggregate(own, start(own), step, lambda acc: acc["out"]))
 
 
 def entity_candidates(text: Column) -> Column:
     """array<struct<kind, value>>: DATE, AMOUNT, and ORG for acronyms and for title-case phrases that hold an organisation's word and no stop or heading word; each once in any case."""
-    clean = X.squeeze(text)
-    found = lambda pattern: F.array_distinct(F.regexp_extract_all(clean, F.lit(f"(?U){pattern}"), 0))
-    tagged = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), X.squeeze(v).alias("value")))
-    hinted = F.filter(found(PHRASE_PATTERN), lambda p: F.rlike(F.lower(p), F.lit("|".join(ORGANISATION))) & ~F.arrays_overlap(F.split(F.lower(p), " "), F.array(*map(F.lit, sorted({*STOP, *HEADINGS})))))
-    parts = F.concat(*(tagged("DATE", found(p)) for p in DATE_PATTERNS), tagged("AMOUNT", found(AMOUNT_PATTERN)), tagged("ORG", found(ACRONYM_PATTERN)), tagged("ORG", hinted))
-    return F.coalesce(_first_of_each(parts, lambda e: F.concat(e["kind"], F.lit(":"), F.lower(e["value"]))), F.array().cast("array<struct<kind:string,value:string>>"))
+    tagged = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    def parts(clean: Column) -> Column:
+        found = lambda pattern: F.array_distinct(F.regexp_extract_all(clean, F.lit(f"(?U){pattern}"), 0))
+        hinted = F.filter(found(PHRASE_PATTERN), lambda p: F.rlike(F.lower(p), F.lit("|".join(ORGANISATION))) & ~F.arrays_overlap(F.split(F.lower(p), " "), F.array(*map(F.lit, sorted({*STOP, *HEADINGS})))))
+        return F.concat(*(tagged("DATE", found(p)) for p in DATE_PATTERNS), tagged("AMOUNT", found(AMOUNT_PATTERN)), tagged("ORG", found(ACRONYM_PATTERN)), tagged("ORG", hinted))
+
+    found = _first_of_each(_once(X.squeeze(text), parts), lambda e: F.concat(e["kind"], F.lit(":"), F.lower(e["value"])))
+    return F.coalesce(found, F.array().cast("array<struct<kind:string,value:string>>"))
 
 
 def classify_entity(value: Column) -> Column:
