@@ -166,14 +166,15 @@ def extraction_records(df: DataFrame) -> DataFrame:
     named = df.withColumn("_texts", _first_of_each(texts, lambda t: F.concat(t["page"].cast("string"), F.lit(":"), F.lower(t["text"]))))
     named = named.withColumn("_id", X.uuid5(F.concat_ws(":", F.lit("document"), "doc_id", "file_path")))
     found = entity_candidates(F.array_join(F.transform("_texts", lambda t: t["text"]), " "))
-    entity = lambda e: F.struct(X.uuid5(F.concat_ws(":", F.lit("entity"), "_id", e["kind"], F.lower(e["value"]))).alias("entity_id"), e["value"].alias("name"), e["kind"].alias("type"), e["value"].alias("canonical_value"))
+    uuid = lambda *parts: _once(X.uuid5_digest(F.concat_ws(":", *parts)), X.uuid5_of)
+    entity = lambda e: F.struct(uuid(F.lit("entity"), "_id", e["kind"], F.lower(e["value"])).alias("entity_id"), e["value"].alias("name"), e["kind"].alias("type"), e["value"].alias("canonical_value"))
     named = named.withColumn("_entities", F.transform(found, entity))
     of_page = F.map_from_entries(_first_of_each(F.filter(F.transform(pages, lambda p: F.struct(F.coalesce(p["page_number"], F.lit(0)).alias("k"), p["confidence"].alias("v"))), lambda e: e["v"].isNotNull()), lambda e: e["k"].cast("string")))
     named = named.withColumn("_sure", of_page)
     # entities and confidences go with each text, as a lambda that named their columns could make them anew for each
     shared = F.struct(F.col("_entities").alias("entities"), F.col("_sure").alias("sure"))
-    refs = lambda text, entities: F.transform(F.filter(entities, lambda e: F.contains(F.lower(text), F.lower(e["canonical_value"]))), lambda e: e["entity_id"])
-    fact = lambda t, own: F.struct(X.uuid5(F.concat_ws(":", F.lit("fact"), "doc_id", t["page"].cast("string"), t["kind"], F.lower(t["text"]))).alias("fact_id"), t["text"].alias("text"), refs(t["text"], own["entities"]).alias("entity_refs"), F.round(confidence(own["sure"][t["page"]], F.col("confidence")), 3).alias("confidence"), t["page"].cast("bigint").alias("page_ref"), X.shorten(t["text"]).alias("source_excerpt"))
+    refs = lambda text, entities: _once(F.lower(text), lambda low: F.transform(F.filter(entities, lambda e: F.contains(low, F.lower(e["canonical_value"]))), lambda e: e["entity_id"]))
+    fact = lambda t, own: F.struct(uuid(F.lit("fact"), "doc_id", t["page"].cast("string"), t["kind"], F.lower(t["text"])).alias("fact_id"), t["text"].alias("text"), refs(t["text"], own["entities"]).alias("entity_refs"), F.round(confidence(own["sure"][t["page"]], F.col("confidence")), 3).alias("confidence"), t["page"].cast("bigint").alias("page_ref"), X.shorten(t["text"]).alias("source_excerpt"))
     name = X.squeeze(first_of(F.col("file_name"), F.col("file_path"), F.col("doc_id"), default="document"))
     fallback = F.struct(X.uuid5(F.concat_ws(":", F.lit("fact"), "doc_id", F.lit("fallback"), F.lower(name))).alias("fact_id"), name.alias("text"), F.array().cast(TEXT_LIST).alias("entity_refs"), F.round(confidence(F.lit(None).cast("double"), F.col("confidence")), 3).alias("confidence"), F.lit(0).cast("bigint").alias("page_ref"), X.shorten(name).alias("source_excerpt"))
     facts = F.when(F.size("_texts") > 0, F.zip_with("_texts", F.array_repeat(shared, F.size("_texts")), fact)).otherwise(F.array(fallback))

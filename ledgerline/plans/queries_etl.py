@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import exprs as X
 from ledgerline.operators import etl, flatten
 from ledgerline.plans.queries_checks import duck_uuid5
-from ledgerline.plans.registry import query, read
+from ledgerline.plans.registry import query, read, spread
 
 
 def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def _page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = page(1, F.when(k % 2 == 0, F.lit(0.5)), F.concat(F.lit("  Ministry Bank paid $"), k, F.lit("\n on 2024-01-05 ")), [F.col("c_mktsegment"), F.lower("c_mktsegment"), F.lit(" ")], [F.array(F.array("c_name", F.lit("x")), F.array(F.lit("ministry bank")))], [])
     two = page(2, F.lit(None).cast("double"), F.col("c_mktsegment"), [], [], [F.concat(F.lit("see "), F.col("c_name"))])
     pages = F.when(k % 7 == 0, F.array().cast(f"array<{etl.PAGE}>")).otherwise(F.array(one, two))
-    return read(spark, sf_dir, "customer").select(
+    return spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(
         k.cast("string").alias("doc_id"), F.concat(F.lit("in/"), k, F.lit(".pdf")).alias("file_path"), F.concat(k, F.lit(".pdf")).alias("file_name"), F.sha2(k.cast("string"), 256).alias("source_hash"), F.lit(0.8767).alias("confidence"),
         F.when(k % 3 == 0, "layout").alias("strategy"), (k / 1000).alias("processing_sec"), F.lit(1_700_000_000.25).alias("modified"), pages.alias("pages"),
     )
@@ -178,7 +178,7 @@ _PLAIN_ID = duck_uuid5("'fact:' || c_custkey || ':' || CASE WHEN kind = 'fallbac
 def etl_extraction_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of extraction records, with how many of the document's entities each holds."""
     r = etl.extraction_records(_page_documents(spark, sf_dir))
-    return r.select("doc_id", F.explode("extracted_facts").alias("f")).select("doc_id", "f.fact_id", "f.text", "f.page_ref", "f.confidence", F.size("f.entity_refs").alias("refs"))
+    return flatten.exploded(r, "extracted_facts", "f", "doc_id").select("doc_id", "f.fact_id", "f.text", "f.page_ref", "f.confidence", F.size("f.entity_refs").alias("refs"))
 
 
 @query(f"SELECT {_DOC_ID} AS doc_id, 'in/' || c_custkey || '.pdf' AS source_path, CASE WHEN c_custkey % 3 = 0 THEN 'layout' ELSE 'unknown' END AS extraction_model, c_custkey::BIGINT AS processing_time_ms, '2023-11-14T22:13:20.250000+00:00' AS extracted_at, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'DATE 2024-01-05,AMOUNT $' || c_custkey || ',ORG ' || c_mktsegment || ',ORG Ministry Bank' END AS entities FROM customer")

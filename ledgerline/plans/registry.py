@@ -31,6 +31,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table's rows in tasks for all cores, where each row has much work: a table of few bytes is read in few tasks, however many rows it has."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def load() -> None:
     """Import the modules that register queries."""
     for name in MODULES:

@@ -283,3 +283,14 @@ def test_times_are_exact_in_any_year_and_zone(spark, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == want
+
+
+def test_facts_are_made_once(spark):
+    page = (1, 0.5, "Bank of Kenya paid $5 on 2024-01-05", ["Bank of Kenya"], [], [], [])
+    df = spark.createDataFrame([("a", "a.pdf", "a.pdf", "h", 0.9, None, 1.0, 0.0, [page]), ("b", "b.pdf", "b.pdf", "h", 0.9, None, 1.0, 0.0, None)], etl.SOURCE)
+    got = flatten.facts(etl.extraction_records(df))
+    assert sorted(r["text"] for r in got.collect()) == ["Bank of Kenya", "Bank of Kenya paid $5 on 2024-01-05", "b.pdf"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.replace("Filter isnotnull(_place", "")  # one by the array's size would make all facts again
+    odd = spark.createDataFrame([("c", []), ("d", None), ("e", [None, ("1", "t", [], 0.5, 1, "t")])], f"doc_id string, extracted_facts array<struct<{flatten.FACT.replace(' ', ':').replace(',:', ',')}>>")
+    assert sorted((r["doc_id"], r["fact_id"] or "") for r in flatten.facts(odd).collect()) == [("e", ""), ("e", "1")]
