@@ -10,6 +10,9 @@ from ledgerline.functions.lineage import cut
 
 #: Levels after which those found are joined to one table.
 LEVELS = 16
+#: Names that are sent to all nodes; rows of a string of characters that one task gets.
+FEW_NAMES = 100_000
+SLICE_ROWS = 100_000
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -48,19 +51,32 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*map(of, (1, 2, 3))))
 
 
-def lineage_matches(nodes: DataFrame, names: DataFrame) -> DataFrame:
+def lineage_matches(nodes: DataFrame, names: DataFrame, few: int = FEW_NAMES, most: int = SLICE_ROWS) -> DataFrame:
     """Nodes whose label or path holds a name, in either case, once each; nodes node_id, label, path; names name.
 
     A name is looked for where the rarest of its strings of three characters is (all of a shorter name), by an equi-join; so no name meets every node.
+    Up to ``few`` names are sent to the nodes. More meet them by a shuffle in which a string's nodes are cut to slices of about ``most``, as one string may be
+    in every node; a name goes to each of its string's slices.
     """
     n = names.select(F.lower("name").alias("name")).filter("name <> ''").distinct()
-    own = nodes.select("node_id", "label", "path", F.lower(F.coalesce("label", F.lit(""))).alias("_l"), F.lower(F.coalesce("path", F.lit(""))).alias("_p"))
-    at = own.withColumn("gram", F.explode(F.array_distinct(F.concat(_grams(F.col("_l")), _grams(F.col("_p"))))))
-    often = at.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in ("label", "path")]
+    at = nodes.select("node_id", "label", "path", F.explode(F.array_distinct(F.concat(*map(_grams, low)))).alias("gram"))
+    # hints, as Spark takes what is made from a small file for small, and would broadcast it
+    often = cut(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     longest = F.filter(_grams(F.col("name")), lambda g: F.length(g) == F.least(F.length("name"), F.lit(3)))
-    asked = n.withColumn("gram", F.explode(longest)).join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    key = asked.groupBy("name").agg(F.min(F.struct("n", "gram")).alias("k")).filter("k.n > 0").select("name", F.col("k.gram").alias("gram"))  # a gram that no node has: no match
-    hit = at.join(key, "gram").filter(F.contains("_l", F.col("name")) | F.contains("_p", F.col("name")))
+    asked = n.withColumn("gram", F.explode(longest)).join(often.hint("merge"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    key = cut(asked.groupBy("name").agg(F.min(F.struct("n", "gram")).alias("k")).filter("k.n > 0").select("name", "k.gram", "k.n"))  # a gram that no node has: no match
+    if key.limit(few + 1).count() <= few:
+        met = at.join(F.broadcast(key.drop("n")), "gram")
+    else:
+        # no more strings are sent out than have several slices, which are 100,000 at most
+        rows = max(most, (often.agg(F.sum("n")).first()[0] or 0) // 100_000)
+        slices = F.ceil(F.col("n") / rows)
+        cut_up = often.filter(F.col("n") > rows).select("gram", slices.alias("_slices"))
+        placed = at.join(F.broadcast(cut_up), "gram", "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64("node_id", "label", "path"), F.col("_slices")), F.lit(0).cast("bigint"))).drop("_slices")
+        sent = key.select("name", "gram", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("_slice"))
+        met = placed.hint("merge").join(sent, ["gram", "_slice"])
+    hit = met.filter(F.contains(low[0], F.col("name")) | F.contains(low[1], F.col("name")))
     return hit.dropDuplicates(["node_id", "path"]).select("node_id", "label", "path")
 
 

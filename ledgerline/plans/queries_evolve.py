@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import exprs as X
 from ledgerline.operators import evolve, graph
 from ledgerline.plans.queries_checks import VALIDATE_SQL, duck_uuid5, validate_contract
-from ledgerline.plans.registry import query, read
+from ledgerline.plans.registry import query, read, spread
 
 OLD = [
     ("facts", "confidence", "number", True, None, 0.0, 1.0), ("facts", "fact_id", "string", True, None, None, None), ("facts", "kind", "string", True, ["a", "b"], None, None),
@@ -97,7 +97,7 @@ def direct_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT p_partkey::VARCHAR AS node_id, p_name AS label, p_brand AS path FROM part, (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT 'brand#1') n WHERE name <> '' AND (contains(lower(p_name), lower(name)) OR contains(lower(p_brand), lower(name)))")
 def lineage_match_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as nodes, whose name or brand holds a first word of any part, or a brand."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"))
     nodes = p.select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("path"))
     names = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).unionByName(spark.createDataFrame([("brand#1",)], "name string"))
     return graph.lineage_matches(nodes, names)

@@ -294,3 +294,18 @@ def test_facts_are_made_once(spark):
     assert "Filter" not in plan.replace("Filter isnotnull(_place", "")  # one by the array's size would make all facts again
     odd = spark.createDataFrame([("c", []), ("d", None), ("e", [None, ("1", "t", [], 0.5, 1, "t")])], f"doc_id string, extracted_facts array<struct<{flatten.FACT.replace(' ', ':').replace(',:', ',')}>>")
     assert sorted((r["doc_id"], r["fact_id"] or "") for r in flatten.facts(odd).collect()) == [("e", ""), ("e", "1")]
+
+
+def test_names_meet_common_strings_in_slices(spark):
+    nodes = spark.createDataFrame([(str(i), f"part {i}", "brand") for i in range(60)], "node_id string, label string, path string")
+    names = spark.createDataFrame([(n,) for n in ["par", "PART 1", "brand", "7", "nd", "none"]], "name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = graph.lineage_matches(nodes, names)
+        assert "BroadcastHashJoin" in one._jdf.queryExecution().executedPlan().toString()  # and no string's nodes in one task
+        for n in (names, names.filter("name in ('PART 1', '7', 'none')")):
+            got = [graph.lineage_matches(nodes, n, *more).collect() for more in ((), (0, 7), (0, 1000))]
+            want = sorted(str(i) for i in range(60) if any(x.lower() in f"part {i} brand" for (x,) in n.collect()))
+            assert all(sorted(r["node_id"] for r in g) == want for g in got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
