@@ -44,7 +44,9 @@ def quartiles(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, column_name, cardinality, p25, p50, p75) from value_counts; quartiles are interpolated linearly."""
     keys = [*by, "column_name"]
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(counts.repartitionByRange(parts, *keys, "v")).withColumn("_part", F.spark_partition_id())
+    # texts are all one in v, and go by their hashes, without themselves
+    hashed = counts.select(*keys, "v", "n", F.when(F.col("v").isNull(), F.xxhash64("s")).alias("_h"))
+    ranged = cut(hashed.repartitionByRange(parts, *keys, "v", "_h")).withColumn("_part", F.spark_partition_id())
     # a row a range and column
     sums = ranged.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     w = Window.partitionBy(*keys)

@@ -309,3 +309,14 @@ def test_names_meet_common_strings_in_slices(spark):
             assert all(sorted(r["node_id"] for r in g) == want for g in got)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_profile_cuts_texts_to_ranges(spark, monkeypatch):
+    seen = []
+    own = profile.cut
+    monkeypatch.setattr(profile, "cut", lambda df: seen.append(own(df)) or seen[-1])
+    df = spark.range(4000).select(F.concat(F.lit("text "), "id").alias("t"), F.lit(None).cast("string").alias("none"), (F.col("id") % 7).alias("k"))
+    got = {r["column_name"]: r["cardinality"] for r in profile.profile(df).collect()}
+    assert got == {"t": 4000, "none": 0, "k": 7}
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4007 and max(sizes) < 2000
