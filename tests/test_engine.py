@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs as X
 from ledgerline.operators import checks, drift, etl, evolve, flatten, graph, infer, profile, report, rules, textchecks, validation
+from ledgerline.plans import registry
 from ledgerline.plans.contract import Config, Contract, Enforcement, Field, ForeignKey, Registry, Rule, Table
 from ledgerline.sources import readers, sinks
 from ledgerline.streaming import enforce
@@ -320,3 +321,9 @@ def test_profile_cuts_texts_to_ranges(spark, monkeypatch):
     assert got == {"t": 4000, "none": 0, "k": 7}
     sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 4007 and max(sizes) < 2000
+
+
+@pytest.mark.parametrize("name", ["etl_extraction_facts", "etl_extraction_records"])
+def test_rows_of_much_work_are_in_tasks_for_all_cores(spark, sf, name):
+    registry.load()
+    assert registry.QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4
