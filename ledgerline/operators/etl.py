@@ -307,15 +307,15 @@ def _field(text: Column, names: str, value: str) -> Column:
 def criteria(text: Column) -> Column:
     """array<struct<criterion, score, evidence, notes>>: the scored sections of an audit report, each under a heading ``### Criterion: name`` (or Dimension)."""
     mark = "\u0001"
-    cut_up = F.split(F.regexp_replace(text, r"(?im)^[^\S\n]*###[^\S\n]+(?:Dimension|Criterion)[^\S\n]*:[^\S\n]*([a-z0-9_\-]+)[^\S\n]*$", f"{mark}$1{mark}"), mark)
-    bodies = F.transform(F.sequence(F.lit(1), F.size(cut_up) - 1, F.lit(2)), lambda i: F.struct(F.get(cut_up, i).alias("criterion"), F.regexp_replace(F.coalesce(F.get(cut_up, i + 1), F.lit("")), r"(?s)\n### .*$", "").alias("body")))
-    bodies = F.when(F.size(cut_up) > 2, bodies).otherwise(F.array().cast("array<struct<criterion:string,body:string>>"))
+    pieces = F.split(F.regexp_replace(text, r"(?im)^[^\S\n]*###[^\S\n]+(?:Dimension|Criterion)[^\S\n]*:[^\S\n]*([a-z0-9_\-]+)[^\S\n]*$", f"{mark}$1{mark}"), mark)
+    paired = lambda cut_up: F.transform(F.sequence(F.lit(1), F.size(cut_up) - 1, F.lit(2)), lambda i: F.struct(F.get(cut_up, i).alias("criterion"), F.regexp_replace(F.coalesce(F.get(cut_up, i + 1), F.lit("")), r"(?s)\n### .*$", "").alias("body")))
+    bodies = _once(pieces, lambda cut_up: F.when(F.size(cut_up) > 2, paired(cut_up)).otherwise(F.array().cast("array<struct<criterion:string,body:string>>")))
     split_up = lambda s: F.filter(F.transform(F.split(s, r"\s*[,;]\s*"), X.squeeze), lambda x: x != "")
     evidence = lambda b: F.array_distinct(F.flatten(F.concat(*[F.transform(F.regexp_extract_all(b, F.lit(p), 1), split_up) for p in _EVIDENCE])))
     note = lambda b, names: F.nullif(X.squeeze(F.regexp_extract(b, rf"(?is)\*\*{names}:\*\*\s*(.+?)(?:\n\s*\n|\n###\s+|\z)", 1)), F.lit(""))
     one = lambda s: F.struct(
         s["criterion"].alias("criterion"), F.nullif(F.regexp_extract(s["body"], r"(?i)\*\*Final Score:\*\*\s*(\d+(?:\.\d+)?)/5", 1), F.lit("")).try_cast("double").alias("score"),
-        F.when(F.size(evidence(s["body"])) > 0, evidence(s["body"])).otherwise(F.array(F.concat(F.lit("section "), s["criterion"]))).alias("evidence"),
+        _once(evidence(s["body"]), lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(F.concat(F.lit("section "), s["criterion"])))).alias("evidence"),
         F.coalesce(note(s["body"], "Dissent Summary"), note(s["body"], "Deterministic Resolution"), F.concat(F.lit("from section "), s["criterion"])).alias("notes"),
     )
     return F.filter(F.transform(bodies, one), lambda s: s["score"].isNotNull())

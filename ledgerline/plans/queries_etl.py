@@ -313,7 +313,7 @@ _OVERALL = "round((c_custkey % 5 + c_nationkey % 5) / 2, 2)"
 @query(f"SELECT 'repo ' || c_custkey AS target_ref, sha256('Depth_1' || chr(10) || 'safety') AS rubric_id, CASE WHEN c_custkey % 3 = 0 THEN 'CONDITIONAL_PASS' WHEN {_OVERALL} >= 3.5 THEN 'PASS' WHEN {_OVERALL} >= 2.5 THEN 'CONDITIONAL' ELSE 'BLOCK' END AS overall_verdict, {_OVERALL}::DOUBLE AS overall_score, CASE WHEN c_custkey % 4 = 0 THEN 1.0 ELSE round(least(greatest(0.70 + 0.06 * {_OVERALL} - 0.01 * abs(c_custkey % 5 - c_nationkey % 5), 0.5), 0.99), 2) END::DOUBLE AS confidence, '2024-01-0' || (c_custkey % 9 + 1) AS evaluated_at, 'a.py|b.py' AS evidence, 'not all agree' AS notes, 'from section safety' AS more_notes FROM customer")
 def etl_verdict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict records of audit reports."""
-    d = read(spark, sf_dir, "customer").select(F.expr(_AUDIT).alias("text"), F.concat(F.lit("reports/"), F.col("c_custkey"), F.lit(".md")).alias("path"))
+    d = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).select(F.expr(_AUDIT).alias("text"), F.concat(F.lit("reports/"), F.col("c_custkey"), F.lit(".md")).alias("path"))
     r = etl.verdict_records(d, "text", "path")
     first = F.col("scores")["Depth_1"]
     return r.select("target_ref", "rubric_id", "overall_verdict", "overall_score", "confidence", "evaluated_at", F.array_join(first["evidence"], "|").alias("evidence"), first["notes"].alias("notes"), F.col("scores")["safety"]["notes"].alias("more_notes"))

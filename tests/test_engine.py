@@ -323,7 +323,7 @@ def test_profile_cuts_texts_to_ranges(spark, monkeypatch):
     assert sum(sizes) == 4007 and max(sizes) < 2000
 
 
-@pytest.mark.parametrize("name", ["etl_extraction_facts", "etl_extraction_records"])
+@pytest.mark.parametrize("name", ["etl_extraction_facts", "etl_extraction_records", "etl_verdict_records"])
 def test_rows_of_much_work_are_in_tasks_for_all_cores(spark, sf, name):
     registry.load()
     assert registry.QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4
