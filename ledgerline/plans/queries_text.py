@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import exprs as X
 from ledgerline.operators import ai
 from ledgerline.operators import textchecks as T
-from ledgerline.plans.registry import query, read
+from ledgerline.plans.registry import query, read, spread
 
 _BAG = "SELECT {by} token, sum(1.0 / n) / any_value(texts) AS weight FROM (SELECT {by} unnest(w) AS token, len(w) AS n, texts FROM (SELECT *, count(*) OVER ({over}) AS texts FROM (SELECT *, list_filter(string_split_regex(lower({column}), '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) > 0)) GROUP BY ALL"
 
@@ -104,7 +104,7 @@ _KINDS = f"""(SELECT event_id, CASE WHEN t IS NULL OR t = 'NULL' THEN ['missing_
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer an event, of all kinds of violation and none."""
-    return read(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.expr(_ANSWER)).alias("answer"))
+    return spread(read(spark, sf_dir, "events").select("event_id", "event_type", "value")).select("event_id", F.try_parse_json(F.expr(_ANSWER)).alias("answer"))
 
 
 @query(f"SELECT violation, count(*)::BIGINT AS records FROM (SELECT unnest(kinds) AS violation FROM {_KINDS}) GROUP BY 1")
