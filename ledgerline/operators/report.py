@@ -197,7 +197,8 @@ def runs(log: DataFrame, order: str) -> DataFrame:
 def latest_run(log: DataFrame) -> DataFrame:
     """Per contract the rows of the run with the largest time, then id."""
     last = log.groupBy("contract_id").agg(F.max(F.struct("run_timestamp", "run_id")).alias("m"))
-    return log.join(last.select("contract_id", F.col("m.run_id").alias("run_id"), F.col("m.run_timestamp").alias("run_timestamp")), ["contract_id", "run_id", "run_timestamp"], "left_semi")
+    last = last.select("contract_id", F.col("m.run_id").alias("run_id"), F.col("m.run_timestamp").alias("run_timestamp"))
+    return log.join(F.broadcast(last), ["contract_id", "run_id", "run_timestamp"], "left_semi")  # a row a contract
 
 
 def recommendations(results: DataFrame, checks: DataFrame | None = None, changes: DataFrame | None = None, violations: DataFrame | None = None, each: int = 3, warned: int = 2) -> DataFrame:
